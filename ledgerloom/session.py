@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_local_folders: dict[str, str] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,10 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     (tests on one machine) does a fresh local folder stand in for it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
+    return _local_folders[app]
 
 
 def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
