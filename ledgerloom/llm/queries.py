@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, pii
+from ledgerloom.llm import bpe, lattice_lm, pii
 from ledgerloom.session import load
 
 #: Where the public tokenizers' files lie; a deployment may set another folder.
@@ -24,12 +24,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(load(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(load(spark, sf_dir, "documents"))
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_lattice_lm": op3_lattice_lm,
     "op10_pii": op10_pii,
 }
 _ORACLES: dict[str, str] = {}
