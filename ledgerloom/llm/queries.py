@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, lattice_lm, near_dedup, pii
+from ledgerloom.llm import bpe, lattice_lm, near_dedup, pii, quality
 from ledgerloom.session import load
 
 #: Where the public tokenizers' files lie; a deployment may set another folder.
@@ -28,6 +28,10 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_lattice_lm": op3_lattice_lm,
+    "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
 }
