@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, hash_forest, lattice_lm, near_dedup, pii, quality
+from ledgerloom.llm import bpe, hash_forest, lattice_lm, media, near_dedup, pii, quality
 from ledgerloom.session import load
 
 #: Where the public tokenizers' files lie; a deployment may set another folder.
@@ -28,6 +28,10 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(load(spark, sf_dir, "documents"))
+
+
 def op7_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.nearest(load(spark, sf_dir, "embeddings"))
 
@@ -47,6 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_lattice_lm": op3_lattice_lm,
+    "op5_media": op5_media,
     "op7_hash_forest": op7_hash_forest,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
