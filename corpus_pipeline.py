@@ -1,4 +1,57 @@
-"""Placeholder until the stages exist."""
+"""Corpus preparation: quality, near-duplicates, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  ``run`` applies
+them to the documents; every stage's result is written as Parquet and read
+again, so that each works on just what its predecessor kept.  All stages but the
+last return the columns of the documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import near_dedup, packing, pii, quality
+from ledgerloom.session import load, materialise
+
+#: Ids of dropped documents that are broadcast at most; more go by a shuffled join.
+BROADCAST_IDS = 500_000
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return quality.keep_good(docs, load(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    dropped = materialise(near_dedup.near_duplicates(docs).filter("not kept").select("doc_id"), "dropped")
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data masked; character counts follow the new texts."""
+    masked = pii.mask(docs)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin of every part of every document."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("pii", pii_stage), ("packing", packing_stage)]
+
+#: No SQL: the stages learn, hash and pack.  The tests hold them against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

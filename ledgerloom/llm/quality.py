@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.session import ship_package
@@ -196,7 +196,12 @@ class TwoLayerNet:
         return net
 
 
-def score(
+def held_out(key: Column, modulus: int, remainder: int) -> Column:
+    """Whether a row is held out from learning, by the checksum of its id."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def train(
     docs: DataFrame,
     labels: DataFrame,
     text_col: str = "text",
@@ -204,30 +209,24 @@ def score(
     label_col: str = "quality",
     modulus: int = 4,
     held_out_remainder: int = 2,
-    threshold: float = 0.7,
     max_labelled: int = 20_000,
     cells: int = 1 << 14,
     dims: int = 64,
     window: int = 2,
-) -> DataFrame:
-    """Score every document; learn labels only from rows that are not held out.
+) -> tuple[object, TwoLayerNet | None]:
+    """Broadcast word vectors, learnt from all documents, and the network.
 
     ``max_labelled`` bounds the labelled rows that the network is fitted on
-    (those of the smallest hash).  Returns ``id_col``, ``held_out``, ``score``,
-    ``predicted``.
+    (those of the smallest hash).  The network is None if the labels that may
+    be used hold fewer than two classes.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    texts = docs.select(F.col(text_col).cast("string").alias("t"))
-    vectors = context_vectors(texts, cells, dims, window)
+    vectors = context_vectors(docs.select(F.col(text_col).cast("string").alias("t")), cells, dims, window)
     shared = spark.sparkContext.broadcast(vectors)
-
-    def held(key):
-        return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == held_out_remainder
-
     sample = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-        .filter(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held(F.col("id")))
+        .filter(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id"), modulus, held_out_remainder))
         .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").drop("top")
         .orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     )
@@ -244,25 +243,58 @@ def score(
         .select("id", "t", "y").mapInArrow(vectorise, f"id {kind}, y int, x binary").dropDuplicates(["id"])
     )
     rows = sorted(((zlib.crc32(str(r.id).encode()), r.id, r.y, r.x) for r in fitted.toLocalIterator()), key=lambda r: (r[0], r[1]))
-    net = None
-    if len({r[2] for r in rows}) == 2:
-        net = TwoLayerNet.fit(np.array([np.frombuffer(r[3], "<f4") for r in rows], float), np.array([r[2] for r in rows]))
+    if len({r[2] for r in rows}) < 2:
+        return shared, None
+    return shared, TwoLayerNet.fit(np.array([np.frombuffer(r[3], "<f4") for r in rows], float), np.array([r[2] for r in rows]))
+
+
+def judge(texts: list[str | None], vectors: np.ndarray, net: TwoLayerNet | None) -> np.ndarray:
+    """Probability of good quality of each text."""
+    scores = [np.zeros(0)]
+    for at in range(0, len(texts), 500):
+        x = pool(texts[at : at + 500], vectors)
+        scores.append(net(x) if net is not None else np.full(len(x), 0.5))
+    return np.concatenate(scores)
+
+
+def score(
+    docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.7,
+    modulus: int = 4, held_out_remainder: int = 2, **settings,
+) -> DataFrame:
+    """Score every document; learn labels only from rows that are not held out.
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``settings`` go to ``train``.  Returns ``id_col``, ``held_out``, ``score``,
+    ``predicted``.
+    """
+    shared, net = train(docs, labels, text_col, id_col, modulus=modulus, held_out_remainder=held_out_remainder, **settings)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_texts = batch.column(1).to_pylist()
-            scores = []
-            for at in range(0, len(all_texts), 500):
-                x = pool(all_texts[at : at + 500], shared.value)
-                scores.append(net(x) if net is not None else np.full(len(x), 0.5))
-            values = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.record_batch([batch.column(0), pa.array(values)], names=["id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(judge(batch.column(1).to_pylist(), shared.value, net))], names=["id", "score"])
 
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-        .mapInArrow(judge, f"id {kind}, score double")
+        .mapInArrow(work, f"id {kind}, score double")
         .select(
-            F.col("id").alias(id_col), held(F.col("id")).alias("held_out"), "score",
+            F.col("id").alias(id_col), held_out(F.col("id"), modulus, held_out_remainder).alias("held_out"), "score",
             (F.col("score") >= threshold).cast("int").alias("predicted"),
         )
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.7, **settings) -> DataFrame:
+    """The documents that score at least ``threshold``, with all of their columns.
+
+    Where nothing can be learnt (no labels of both classes), all are kept.
+    """
+    shared, net = train(docs, labels, text_col, id_col, **settings)
+    if net is None:
+        return docs
+    place = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(place).to_pylist(), shared.value, net) >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, hash_forest, html_text, lattice_lm, media, near_dedup, pii, quality
+from ledgerloom.llm import bpe, hash_forest, html_text, lattice_lm, media, near_dedup, packing, pii, quality, secrets
 from ledgerloom.session import load
 
 #: Where the public tokenizers' files lie; a deployment may set another folder.
@@ -32,6 +32,14 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(load(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(load(spark, sf_dir, "documents"))
 
@@ -56,6 +64,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_text": op2_html_text,
     "op3_lattice_lm": op3_lattice_lm,
+    "op4_secrets": op4_secrets,
+    "op6_packing": op6_packing,
     "op5_media": op5_media,
     "op7_hash_forest": op7_hash_forest,
     "op8_quality": op8_quality,
