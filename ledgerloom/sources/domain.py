@@ -137,7 +137,7 @@ class Domain:
     @cached_property
     def echeance(self) -> DataFrame:
         k = F.col("p_partkey")
-        kinds = F.array(*map(F.lit, ("ponctuel", "periodique", "campagnes", "paliers", "evenement_dependant")))
+        kinds = F.array(*map(F.lit, ("ponctuel", "periodique", "campagnes", "paliers", "dependant_evenement")))
         steps = F.expr("array(named_struct('intervalle_ans', 1, 'nombre_occurrences', 4), named_struct('intervalle_ans', 3, 'nombre_occurrences', 5))")
         return self.raw("part").select(
             k.alias("id"), (k % 100).alias("projet_id"), F.concat(F.lit("E"), k.cast("string")).alias("cle"), F.concat(F.lit("A"), (k % 60).cast("string")).alias("action_cle"),
@@ -146,6 +146,7 @@ class Domain:
             (k % 4 + 1 + F.when(k % 2 == 0, 0.5).otherwise(0.0)).cast("double").alias("intervalle_ans"), (k % 6 + 2).cast("int").alias("duree_ans"),
             (k % 3 + 1).cast("int").alias("occurrences_par_an"), F.when(k % 15 == 3, F.slice(steps, 1, 0)).otherwise(steps).alias("paliers"),
             F.when(k % 6 != 0, (k % 100) / 100.0).alias("confiance"), F.split("p_name", " ").alias("unites"),
+            F.when(k % 8 == 0, F.array(F.lit("ancrage_annee"))).otherwise(F.array().cast("array<string>")).alias("champs_a_confirmer"),
         )
 
     @cached_property
@@ -225,10 +226,10 @@ SQL_TABLES = {
         'Budget v' || v AS libelle, CAST(c_acctbal AS DECIMAL(18,2)) AS total_ht FROM customer, (VALUES (0), (1)) t(v) WHERE (c_custkey + v) % 3 <> 0""",
     "d_echeance": """SELECT p_partkey AS id, p_partkey % 100 AS projet_id, 'E' || p_partkey AS cle, 'A' || (p_partkey % 60) AS action_cle,
         lower(substr(p_brand, 1, 2)) || ' ' || (p_partkey % 30) AS code_operation, p_name AS libelle,
-        ['ponctuel','periodique','campagnes','paliers','evenement_dependant'][p_partkey % 5 + 1] AS type, CAST(CASE WHEN p_partkey % 9 <> 0 THEN 1990 + p_size END AS INTEGER) AS ancrage_annee,
+        ['ponctuel','periodique','campagnes','paliers','dependant_evenement'][p_partkey % 5 + 1] AS type, CAST(CASE WHEN p_partkey % 9 <> 0 THEN 1990 + p_size END AS INTEGER) AS ancrage_annee,
         CAST(p_partkey % 4 + 1 + CASE WHEN p_partkey % 2 = 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS intervalle_ans, CAST(p_partkey % 6 + 2 AS INTEGER) AS duree_ans,
         CAST(p_partkey % 3 + 1 AS INTEGER) AS occurrences_par_an, p_partkey % 15 = 3 AS sans_palier, CASE WHEN p_partkey % 6 <> 0 THEN (p_partkey % 100) / 100.0::DOUBLE END AS confiance,
-        string_split(p_name, ' ') AS unites FROM part""",
+        string_split(p_name, ' ') AS unites, CASE WHEN p_partkey % 8 = 0 THEN ['ancrage_annee'] ELSE [] END AS champs_a_confirmer FROM part""",
     "d_fiche": """SELECT p_partkey AS id, 'A' || p_partkey AS cle, upper(p_brand) AS code, p_name AS titre, CASE p_partkey % 4 WHEN 0 THEN 'R1.1' WHEN 1 THEN 'autre' END AS lib_thema
         FROM part WHERE p_partkey < 50""",
     "d_message": """SELECT conv_id * 1000 + turn AS id, conv_id AS demande_id, turn, CASE WHEN role = 'user' THEN 'be' ELSE 'dreal' END AS acteur, text AS corps,
