@@ -59,12 +59,24 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most so many rows, unless the session set its own number.
+
+    Rows are whole texts, so Spark's default of 10,000 would hold tens of MB,
+    several times over, in each task's JVM and Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(rows))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 
     The archive goes through Spark's own file server, so executors need no
     folder in common with the driver.
     """
+    bound_batches(spark)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
