@@ -40,7 +40,7 @@ class WordCells(dict):
         self.cells = cells
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         # The last cell is the mark of repetition.
         value = self[word] = zlib.crc32(word.encode()) % (self.cells - 1)
