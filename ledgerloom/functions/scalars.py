@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Departments whose official projection is not that of the mainland.
-OVERSEAS_SRID = {"971": 5490, "972": 5490, "973": 2972, "974": 2975, "976": 4471}
+OVERSEAS_SRID = {"974": 2975, "971": 5490, "972": 5490, "973": 3857, "976": 4471}
 MAINLAND_SRID = 2154
-_TYPOGRAPHIC = " "
+_TYPOGRAPHIC = "\u202f"
 
 
 def normalize_ug_id(raw: Column) -> Column:
@@ -59,8 +59,9 @@ def fit(text: Column, width: int) -> Column:
 
 
 def join_targets(values: Column) -> Column:
-    """Non-blank entries, trimmed, joined by a bar."""
-    return F.array_join(F.filter(F.transform(values, F.trim), lambda x: x.isNotNull() & (x != "")), "|")
+    """Non-blank entries, trimmed, joined by a bar; ``-`` if there are none."""
+    kept = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.size(kept) > 0, F.array_join(kept, "|")).otherwise("-")
 
 
 def slugify(text: Column, width: int = 40) -> Column:
@@ -85,9 +86,8 @@ def object_path(*parts: Column) -> Column:
 def department_srid(department: Column) -> Column:
     """Projection of a department: mainland, overseas, or null if unknown."""
     code = F.upper(F.trim(department))
-    mainland = code.isin("2A", "2B") | (code.rlike("^[0-9]{2}$") & code.between("01", "95"))
     mapped = F.coalesce(*[F.when(code == k, v) for k, v in OVERSEAS_SRID.items()])
-    return F.when(mainland, MAINLAND_SRID).otherwise(mapped)
+    return F.when(code.isin("2A", "2B") | code.rlike("^[0-9]{1,2}$"), MAINLAND_SRID).otherwise(mapped)
 
 
 def effective_end_year(year: Column, first_month: Column, last_month: Column) -> Column:
@@ -117,23 +117,57 @@ def money(value: Column) -> Column:
 
 
 def euros(value: Column, signed: bool = False, short: bool = False) -> Column:
-    """French display of an amount; ``—`` for null, thousands as k€ if short."""
+    """French display of an amount; ``—`` for null, tens of thousands as k€ if short."""
     def grouped(number: Column, decimals: int) -> Column:
-        return F.translate(F.translate(F.format_number(F.abs(number), decimals), ",", _TYPOGRAPHIC), ".", ",")
+        return F.translate(F.translate(F.format_number(number, decimals), ",", _TYPOGRAPHIC), ".", ",")
 
-    sign = F.when(value < 0, "-").when(F.lit(signed) & (value > 0), "+").otherwise("")
-    full = F.concat(sign, grouped(value, 0), F.lit(f"{_TYPOGRAPHIC}€"))
-    if not short:
-        return F.coalesce(full, F.lit("—"))
-    return F.coalesce(F.when(F.abs(value) >= 1000, F.concat(sign, grouped(value / 1000, 0), F.lit(f"{_TYPOGRAPHIC}k€"))).otherwise(full), F.lit("—"))
+    text = F.concat(grouped(value, 0), F.lit(f"{_TYPOGRAPHIC}€"))
+    if short:
+        thousands = F.regexp_replace(grouped(value / 1000, 1), ",0$", "")
+        text = F.when(F.abs(value) >= 10000, F.concat(thousands, F.lit(" k€"))).otherwise(text)
+    sign = F.when(F.lit(signed) & (value > 0), "+").otherwise("")
+    return F.coalesce(F.concat(sign, text), F.lit("—"))
 
 
 def percent(value: Column) -> Column:
-    return F.coalesce(F.concat(F.translate(F.format_number(value * 100, 0), ",", _TYPOGRAPHIC), F.lit(f"{_TYPOGRAPHIC}%")), F.lit("—"))
+    return F.coalesce(F.concat(F.translate(F.format_string("%.1f", value * 100), ".", ","), F.when(value.isNotNull(), f"{_TYPOGRAPHIC}%")), F.lit("—"))
 
 
 def french_date(value: Column, with_time: bool = False) -> Column:
-    return F.coalesce(F.date_format(value, "dd/MM/yyyy HH:mm" if with_time else "dd/MM/yyyy"), F.lit("—"))
+    return F.coalesce(F.date_format(value, "dd/MM/yyyy 'à' HH'h'mm" if with_time else "dd/MM/yyyy"), F.lit("—"))
+
+
+# Labels of the report.
+STATUT_LABELS = {
+    "a_confirmer": "À confirmer", "planifie": "Planifiée", "en_cours": "En cours", "realise": "Réalisée", "repousse": "Reportée", "supprime": "Supprimée",
+}
+CHAMP_LABELS = {"montant_ht": "Prévu", "montant_engage": "Engagé", "montant_realise": "Réalisé", "statut": "Statut", "annee": "Exercice"}
+
+
+def label(code: Column, labels: dict[str, str]) -> Column:
+    """The label of a code; the code itself if it has none."""
+    return F.coalesce(*[F.when(code == k, v) for k, v in labels.items()], code)
+
+
+def journal_value(value: Column, field: Column) -> Column:
+    """A logged value for display: amounts formatted, states translated, the rest as it is."""
+    shown = F.when(field.isin("montant_ht", "montant_engage", "montant_realise"), euros(value.try_cast("double"))).when(field == "statut", label(value, STATUT_LABELS)).otherwise(value)
+    return F.when(F.coalesce(value, F.lit("")) == "", "—").otherwise(shown)
+
+
+def summary_sentence(year: Column, execution: Column, commitment: Column, moved: Column, cancelled: Column, added: Column) -> Column:
+    """The report's opening sentence, from rates and variances."""
+    first = F.when(
+        execution.isNotNull(), F.concat(F.lit("En "), year.cast("string"), F.lit(", "), percent(execution), F.lit(" du budget prévu a été facturé")),
+    ).otherwise(F.concat(F.lit("En "), year.cast("string"), F.lit(", aucun budget prévu n'est renseigné")))
+    second = F.when(commitment.isNotNull(), F.concat(percent(commitment), F.lit(" a été contractualisé")))
+    more = F.array_compact(F.array(
+        F.when(moved >= 1, F.concat(euros(moved), F.lit(" ont été reportés sur un autre exercice"))),
+        F.when(cancelled >= 1, F.concat(euros(cancelled), F.lit(" ont été économisés sur des actions annulées"))),
+        F.when(added >= 1, F.concat(euros(added), F.lit(" correspondent à des actions ajoutées après le figeage du budget de référence"))),
+    ))
+    tail = F.when(F.size(more) > 0, F.concat(F.lit(" Sur l'exercice, "), F.array_join(more, ", "), F.lit("."))).otherwise("")
+    return F.concat(F.concat_ws(", ", first, second), F.lit("."), tail)
 
 
 def json_inside(text: Column) -> Column:

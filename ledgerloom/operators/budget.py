@@ -93,21 +93,20 @@ def par_categorie(lines: DataFrame) -> DataFrame:
 def cascade(ecarts: DataFrame, delta: DataFrame) -> DataFrame:
     """Steps from the initial to the planned budget of each project and year.
 
+    What was moved to other years or cancelled counts against the budget.
     Posts under one unit are left out; what the kept ones don't explain is the
     residue.  ``largeur`` is each post's share of the largest, in percent.
     """
+    posts = [("glisse_sortant", -F.abs("glisse_sortant")), ("annule", -F.abs("annule")), ("ajoute", F.col("ajoute")), ("revision_prix", F.col("revision_prix"))]
     signed = ecarts.select(
         "projet_id", F.col("annee_ref").alias("annee"),
-        F.explode(F.array(*[
-            F.struct(F.lit(k).alias("ordre"), F.lit(name).alias("poste"), (F.col(name) * sign).alias("montant"))
-            for k, (name, sign) in enumerate([("annule", -1), ("glisse_sortant", -1), ("ajoute", 1), ("revision_prix", 1)])
-        ])).alias("p"),
+        F.explode(F.array(*[F.struct(F.lit(k).alias("ordre"), F.lit(name).alias("poste"), value.alias("montant")) for k, (name, value) in enumerate(posts)])).alias("p"),
     ).select("projet_id", "annee", "p.*").filter("abs(montant) >= 1")
     top = signed.groupBy("projet_id", "annee").agg(F.max(F.abs("montant")).alias("plus_grand"), F.sum("montant").alias("explique"))
     known = delta.select("projet_id", "annee", (F.col("prevu") - F.col("initial")).alias("delta"))
     return signed.join(top, ["projet_id", "annee"]).join(known, ["projet_id", "annee"]).select(
         "projet_id", "annee", "ordre", "poste", "montant",
-        F.round(F.abs("montant").cast("double") / F.col("plus_grand").cast("double") * 100, 1).alias("largeur"),
+        F.bround(F.abs("montant").cast("double") / F.col("plus_grand").cast("double") * 100, 1).alias("largeur"),
         (F.col("delta") - F.col("explique")).alias("residu"),
     )
 
@@ -123,3 +122,9 @@ def sous_execution(delta: DataFrame, occurrence: DataFrame, soldees: float = 0.7
         "projet_id", "annee", F.round(share, 4).alias("part_soldee"), F.round(rate, 4).alias("taux_execution"),
         F.coalesce((share >= soldees) & (rate < taux), F.lit(False)).alias("sous_execution"),
     )
+
+
+def largeurs(delta: DataFrame) -> DataFrame:
+    """Bar width of each year's planned amount, in percent of the project's largest."""
+    top = delta.groupBy("projet_id").agg(F.greatest(F.max("prevu").cast("double"), F.lit(1.0)).alias("plus_grand"))
+    return delta.join(top, "projet_id").select("projet_id", "annee", F.bround(F.col("prevu").cast("double") / F.col("plus_grand") * 100, 1).alias("largeur"))

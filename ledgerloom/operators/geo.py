@@ -33,7 +33,7 @@ def surface_ha(rings: Column) -> Column:
 
 def geometry_hash(rings: Column) -> Column:
     """Digest of the sorted rings, so that their order doesn't matter."""
-    return F.md5(F.concat_ws(";", F.array_sort(F.transform(rings, F.to_json))))
+    return F.md5(F.concat_ws(";", F.array_sort(F.transform(rings, lambda ring: F.to_json(ring)))))
 
 
 def kind_of(geometry_type: Column, footprint: Column) -> Column:

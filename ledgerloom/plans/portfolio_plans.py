@@ -276,10 +276,10 @@ def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(budget.par_categorie(Domain(spark, sf_dir).occurrence.filter("annee = 1998 and statut <> 'supprime'")))
 
 
-@register("a23_cascade", oracle("""SELECT projet_id, annee, ordre, poste, CAST(montant AS DOUBLE) AS montant, round(CAST(abs(montant) AS DOUBLE) / CAST(max(abs(montant)) OVER w AS DOUBLE) * 100, 1) AS largeur,
+@register("a23_cascade", oracle("""SELECT projet_id, annee, ordre, poste, CAST(montant AS DOUBLE) AS montant, round_even(CAST(abs(montant) AS DOUBLE) / CAST(max(abs(montant)) OVER w AS DOUBLE) * 100, 1) AS largeur,
     CAST(delta - sum(montant) OVER w AS DOUBLE) AS residu FROM (
     SELECT e.projet_id, e.annee_ref AS annee, k AS ordre, poste, montant, v.prevu - v.initial AS delta FROM (
-      SELECT projet_id, annee_ref, 0 AS k, 'annule' AS poste, -annule AS montant FROM v_ecarts UNION ALL SELECT projet_id, annee_ref, 1, 'glisse_sortant', -glisse_sortant FROM v_ecarts
+      SELECT projet_id, annee_ref, 0 AS k, 'glisse_sortant' AS poste, -abs(glisse_sortant) AS montant FROM v_ecarts UNION ALL SELECT projet_id, annee_ref, 1, 'annule', -abs(annule) FROM v_ecarts
       UNION ALL SELECT projet_id, annee_ref, 2, 'ajoute', ajoute FROM v_ecarts UNION ALL SELECT projet_id, annee_ref, 3, 'revision_prix', revision_prix FROM v_ecarts) e
     JOIN v_delta v ON v.projet_id = e.projet_id AND v.annee = e.annee_ref WHERE abs(montant) >= 1) WINDOW w AS (PARTITION BY projet_id, annee)"""))
 def a23(spark: SparkSession, sf_dir: str) -> DataFrame:

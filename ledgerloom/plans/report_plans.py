@@ -117,8 +117,8 @@ simple("a19_liste_annees", "SELECT projet_id, string_agg(CAST(annee AS VARCHAR),
        lambda d: __import__("ledgerloom.operators.signals", fromlist=["x"]).annees_obligation(d.projet, AS_OF).groupBy("projet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("annee")), lambda y: y.cast("string")), ", ").alias("annees")))
 simple("a20_motifs_en_table", "SELECT occurrence_id, string_agg(champ || '=' || motif, ';' ORDER BY champ) AS motifs FROM v_motifs GROUP BY 1",
        lambda d: report.derniers_motifs(d.mouvement).groupBy("occurrence_id").agg(F.map_from_entries(F.collect_list(F.struct("champ", "motif"))).alias("m")).select("occurrence_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("motifs")))
-simple("a24_largeurs_annees", "SELECT projet_id, annee, round_even(CAST(prevu AS DOUBLE) / CAST(max(greatest(initial, prevu)) OVER (PARTITION BY projet_id) AS DOUBLE) * 100, 1) AS largeur FROM v_delta WHERE initial > 0 OR prevu > 0",
-       lambda d: (lambda v: v.join(v.groupBy("projet_id").agg(F.max(F.greatest("initial", "prevu")).alias("m")), "projet_id").select("projet_id", "annee", F.bround(F.col("prevu").cast("double") / F.col("m").cast("double") * 100, 1).alias("largeur")))(delta_of(d).filter("initial > 0 or prevu > 0")))
+simple("a24_largeurs_annees", "SELECT projet_id, annee, round_even(CAST(prevu AS DOUBLE) / greatest(CAST(max(prevu) OVER (PARTITION BY projet_id) AS DOUBLE), 1) * 100, 1) AS largeur FROM v_delta",
+       lambda d: budget.largeurs(delta_of(d)))
 simple("a28_compteurs_import", "SELECT origine, count(*) AS lignes, count(*) FILTER (WHERE montant_ht IS NULL) AS sans_montant, count(*) FILTER (WHERE len(champs_a_confirmer) > 0) AS a_confirmer FROM d_occurrence GROUP BY 1",
        lambda d: d.occurrence.groupBy("origine").agg(F.count("*").alias("lignes"), F.count_if(F.col("montant_ht").isNull()).alias("sans_montant"), F.count_if(F.size("champs_a_confirmer") > 0).alias("a_confirmer")))
 simple("a29_resume_ug", "SELECT 'ug' || ug AS ug_id, arg_min('L' || id, id) AS libelle, string_agg(DISTINCT 'c' || couche, ',' ORDER BY 'c' || couche) AS couches, count(*) AS nb FROM v_geo GROUP BY 1",
@@ -157,8 +157,8 @@ simple("c10_c11_textes_export", "SELECT id, left(coalesce(nullif(trim(titre), ''
        lambda d: d.occurrence.select("id", S.fit(F.col("titre"), 8).alias("f"), S.join_targets(F.array("categorie", "lib_thema")).alias("cibles")).select("id", "f.texte", "f.tronque", "cibles"))
 simple("c12_c13_noms_de_fichier", "SELECT p_partkey AS id, regexp_replace(left(regexp_replace(regexp_replace(translate('Été ' || p_name || ' à Zoë!', 'ÉéàëôÀ', 'EeaeoA'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40), '_+$', '') AS slug, regexp_replace(p_name || ' #1.pdf', '[^A-Za-z0-9._-]+', '_', 'g') AS fichier FROM part",
        lambda d: d.raw("part").select(F.col("p_partkey").alias("id"), S.slugify(F.concat(F.lit("Été "), "p_name", F.lit(" à Zoë!"))).alias("slug"), S.safe_file_name(F.concat("p_name", F.lit(" #1.pdf"))).alias("fichier")))
-simple("c14_projections", "SELECT id, CASE WHEN k IN ('2A', '2B') OR (regexp_matches(k, '^[0-9]{2}$') AND k BETWEEN '01' AND '95') THEN 2154 WHEN k = '971' THEN 5490 WHEN k = '972' THEN 5490 WHEN k = '973' THEN 2972 WHEN k = '974' THEN 2975 WHEN k = '976' THEN 4471 END AS srid FROM (SELECT id, CASE WHEN id % 11 = 0 THEN '2a' WHEN id % 13 = 0 THEN '974' WHEN id % 7 = 0 THEN '99' ELSE departement END AS dep, upper(trim(CASE WHEN id % 11 = 0 THEN '2a' WHEN id % 13 = 0 THEN '974' WHEN id % 7 = 0 THEN '99' ELSE departement END)) AS k FROM d_projet)",
-       lambda d: d.projet.select("id", S.department_srid(F.when(F.col("id") % 11 == 0, "2a").when(F.col("id") % 13 == 0, "974").when(F.col("id") % 7 == 0, "99").otherwise(F.col("departement"))).alias("srid")))
+simple("c14_projections", "SELECT id, CASE WHEN k IN ('2A', '2B') OR (regexp_matches(k, '^[0-9]{2}$') ) THEN 2154 WHEN k = '971' THEN 5490 WHEN k = '972' THEN 5490 WHEN k = '973' THEN 3857 WHEN k = '974' THEN 2975 WHEN k = '976' THEN 4471 WHEN regexp_matches(k, '^[0-9]$') THEN 2154 END AS srid FROM (SELECT id, CASE WHEN id % 11 = 0 THEN '2a' WHEN id % 13 = 0 THEN '974' WHEN id % 7 = 0 THEN '999' ELSE departement END AS dep, upper(trim(CASE WHEN id % 11 = 0 THEN '2a' WHEN id % 13 = 0 THEN '974' WHEN id % 7 = 0 THEN '999' ELSE departement END)) AS k FROM d_projet)",
+       lambda d: d.projet.select("id", S.department_srid(F.when(F.col("id") % 11 == 0, "2a").when(F.col("id") % 13 == 0, "974").when(F.col("id") % 7 == 0, "999").otherwise(F.col("departement"))).alias("srid")))
 simple("c15_c18_dates", f"SELECT id, last_day(make_date(CASE WHEN mois_debut > mois_fin THEN annee + 1 ELSE annee END, coalesce(mois_fin, mois_debut, 12), 1)) AS deadline, CAST(last_day(make_date(CASE WHEN mois_debut > mois_fin THEN annee + 1 ELSE annee END, coalesce(mois_fin, mois_debut, 12), 1)) - DATE '{AS_OF}' AS INTEGER) AS jours FROM d_occurrence",
        lambda d: (lambda e: d.occurrence.select("id", e.alias("deadline"), F.datediff(e, F.lit(AS_OF)).alias("jours")))(S.deadline(F.col("annee"), F.col("mois_debut"), F.col("mois_fin"))))
 simple("c19_c20_ages", f"SELECT id, CAST(floor(epoch(TIMESTAMP '{AS_OF}' - maj_le) / 86400) AS INTEGER) AS jours, strftime(maj_le, '%d/%m/%Y') AS le FROM d_demande",
