@@ -6,10 +6,14 @@ tokenizer's vocabulary; a new word's probability is the sum over all of its
 segmentations, by a forward recursion in log space.  The vocabulary's own
 scores (ranks) give the first weights, as 1 / (rank + 2);
 expectation-maximisation over the distinct training words then adapts them.
-The share of new words is the share of words counted once (Good and Turing).
-Within a document, words recur: its marginal probability integrates over a
-Dirichlet prior around those word probabilities, so a word seen earlier in the
-document costs less.  After each word the document ends or goes on.
+
+Word weights are held per class of documents (their language, where a column
+tells it), backed off to all classes and then to the lattice, each step by the
+share of words that occur once (Good and Turing).  A document's own class is
+not used to score it: its probability is the sum over all classes.  Within a
+document, words recur: its marginal probability integrates over a Dirichlet
+prior around the word weights, so a word seen earlier in the document costs
+less.  After each word the document ends or goes on.
 
 Words are counted over all training documents.  Blocks of documents keep, per
 distinct word, one row; the counts and the lattice scores return to the block
@@ -166,19 +170,19 @@ class _Index(dict):
         return value
 
 
-def _count_blocks(block_bytes: int, names: list[str]):
+def _count_blocks(block_bytes: int, classes: int, names: list[str]):
     """Task: rows of documents -> rows of distinct words and rows of documents, by block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, size = TaskContext.get().partitionId() << 24, 0, 0
-        index, ids, held, docs = _Index(), [], [], []
+        index, ids, held, kinds, docs = _Index(), [], [], [], []
         id_type = pa.int64()
 
         def flush() -> pa.RecordBatch:
-            known = np.zeros(len(index), np.int64)
-            for (words, counts), out in zip(docs, held):
+            known = np.zeros((classes, len(index)), np.int64)
+            for (words, counts), out, kind in zip(docs, held, kinds):
                 if not out:
-                    known[words] += counts
+                    known[kind, words] += counts
             n, d = len(index), len(docs)
             number = pa.array(np.arange(n), pa.int32())
             tokens = pa.array([int(c.sum()) + 1 for _, c in docs], pa.int64())
@@ -186,25 +190,28 @@ def _count_blocks(block_bytes: int, names: list[str]):
             columns = [
                 pa.array(np.full(n + d, part + block)),
                 pa.concat_arrays([pa.array(index.keys(), pa.binary()), pa.nulls(d, pa.binary())]),
-                pa.concat_arrays([pa.array(known), tokens]),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), tokens]),
                 pa.concat_arrays([number, pa.nulls(d, pa.int32())]),
                 pa.concat_arrays([pa.nulls(n, id_type), pa.array(ids, id_type)]),
                 pa.concat_arrays([pa.nulls(n, pa.bool_()), pa.array(held, pa.bool_())]),
                 pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(packed, pa.binary())]),
+                pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(kinds, pa.int32())]),
+                *[pa.concat_arrays([pa.array(k), pa.nulls(d, pa.int64())]) for k in known],
             ]
             return pa.record_batch(columns, names=names)
 
         for batch in batches:
             id_type = batch.column(0).type
-            for key, text, out in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, text, out, kind in zip(*(c.to_pylist() for c in batch.columns)):
                 words = list(map(index.__getitem__, split_words(text)))
                 docs.append(np.unique(np.array(words, np.int32), return_counts=True))
                 ids.append(key)
                 held.append(out)
+                kinds.append(kind)
                 size += len(text or "") + 64
                 if size > block_bytes:
                     yield flush()
-                    index, ids, held, docs = _Index(), [], [], []
+                    index, ids, held, kinds, docs = _Index(), [], [], [], []
                     block, size = block + 1, 0
         if docs:
             yield flush()
@@ -212,49 +219,83 @@ def _count_blocks(block_bytes: int, names: list[str]):
     return work
 
 
+def _lgamma(t: np.ndarray) -> np.ndarray:
+    """Log of the gamma function by Stirling's series; for arguments of 16 and more."""
+    return (t - 0.5) * np.log(t) - t + 0.5 * math.log(2 * math.pi) + 1 / (12 * t) - 1 / (360 * t**3) + 1 / (1260 * t**5)
+
+
+def log_rising(x: np.ndarray, log_x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log of x (x + 1) ... (x + n - 1), for rows of x and their n."""
+    out = log_x.copy()
+    for k in range(1, 16):
+        many = np.flatnonzero(n > k)
+        if not len(many):
+            return out
+        out[many] += np.log(x[many] + k)
+    many = np.flatnonzero(n > 16)
+    out[many] += _lgamma(x[many] + n[many, None]) - _lgamma(x[many] + 16.0)
+    return out
+
+
 def score(
     docs: DataFrame,
     model_file: str,
     text_col: str = "text",
     id_col: str = "doc_id",
+    class_col: str | None = "lang",
+    max_classes: int = 8,
     modulus: int = 7,
     held_out_remainder: int = 2,
     rounds: int = 2,
     prior_weight: float = 1000.0,
-    concentration: float = 1600.0,
+    concentration: float = 3200.0,
     block_bytes: int = 24 << 20,
 ) -> DataFrame:
     """Score every document under a model of the documents that are not held out.
 
     ``rounds`` passes of expectation-maximisation start from the vocabulary's
     own weights, which stay in as ``prior_weight`` pseudo-pieces.
-    ``concentration`` is the strength of the Dirichlet prior.  Returns
-    ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
-    ``base_score`` (add-one word unigrams) and ``score``, both log10.
+    ``concentration`` is the strength of the Dirichlet prior.  ``class_col``, if
+    the table has it, tells the classes of training documents; the
+    ``max_classes`` most frequent values have one each, all others share one
+    more.  Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``,
+    ``train_tokens``, ``base_score`` (add-one word unigrams) and ``score``,
+    both log10.
     """
     spark = docs.sparkSession
     ship_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     rest = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
+    values: list = []
+    if class_col in docs.columns:
+        found = docs.groupBy(F.col(class_col).cast("string").alias("z")).count().filter("z is not null").orderBy(F.desc("count"), "z").limit(max_classes)
+        values = [r.z for r in found.collect()]  # at most max_classes rows
+    classes = len(values) + 1
+    kind = F.coalesce(*[F.when(F.col(class_col).cast("string") == v, k) for k, v in enumerate(values)], F.lit(len(values)))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), (rest == held_out_remainder).alias("held"),
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), (rest == held_out_remainder).alias("held"), kind.cast("int").alias("z"),
     )
-    names = ["block", "word", "n", "idx", "id", "held", "packed"]
-    schema = f"block long, word binary, n long, idx int, id {id_type}, held boolean, packed binary"
-    blocks = materialise(rows.mapInArrow(_count_blocks(block_bytes, names), schema), "lm-blocks")
+    per_class = [f"c{z}" for z in range(classes)]
+    names = ["block", "word", "n", "idx", "id", "held", "packed", "z", *per_class]
+    schema = f"block long, word binary, n long, idx int, id {id_type}, held boolean, packed binary, z int, {', '.join(f'{c} long' for c in per_class)}"
+    blocks = materialise(rows.mapInArrow(_count_blocks(block_bytes, classes, names), schema), "lm-blocks")
 
     word = Window.partitionBy("word")
     counted = (
-        blocks.filter("word is not null").select("block", "idx", "word", "n")
-        .withColumn("c", F.sum("n").over(word))
-        .withColumn("first", F.row_number().over(word.orderBy("block")) == 1)
-        .drop("n")
+        blocks.filter("word is not null").select("block", "idx", "word", *[F.sum(c).over(word).alias(c) for c in per_class], (F.row_number().over(word.orderBy("block")) == 1).alias("first"))
+        .withColumn("c", sum((F.col(c) for c in per_class), F.lit(0)))
     )
     counted = materialise(counted, "lm-words")
     known = counted.filter("first and c > 0")
-    n_words, n_distinct, n_once = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
-    n_ends = blocks.filter("word is null and not held").count()
-    train_tokens, distinct = n_words + n_ends, n_distinct + (n_ends > 0)
+    totals = known.agg(
+        F.count("*").alias("distinct"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in per_class], *[F.count_if(F.col(c) == 1).alias(f"once_{c}") for c in per_class],
+        *[F.count_if((F.col(c) == 1) & (F.col("c") == 1)).alias(f"new_{c}") for c in per_class],
+    ).first()
+    n_words = sum(totals[f"n_{c}"] for c in per_class)
+    trained = {r.z: r["count"] for r in blocks.filter("word is null and not held").groupBy("z").count().collect()}  # one row per class
+    n_ends = sum(trained.values())
+    train_tokens, distinct = n_words + n_ends, totals["distinct"] + (n_ends > 0)
 
     pieces, prior = zip(*read_pieces(model_file))
     prior = np.array(prior) / sum(prior)
@@ -264,45 +305,42 @@ def score(
         uses = _expected_uses(known, shared_pieces, weights)
         weights = (uses + prior_weight * prior) / (uses.sum() + prior_weight)
 
-    returned = counted.select("block", "idx", "word", "c").mapInArrow(_word_scores(shared_pieces, weights), "block long, scores binary")
-    # At least a pseudo-count for new words and for either way to go on, so that no text is impossible.
-    new = (n_once + 1.0) / (n_words + 2.0)
+    # Pseudo-counts keep every text possible.  Per class: all words, the share of words
+    # new to the class, and the share of those that are new to all classes.
+    sizes = np.array([max(totals[f"n_{c}"], 1) for c in per_class], float)
+    new_here = np.array([(totals[f"once_{c}"] + 1.0) / (totals[f"n_{c}"] + 2.0) for c in per_class])
+    new_anywhere = np.array([(totals[f"new_{c}"] + 1.0) / (totals[f"once_{c}"] + 2.0) for c in per_class])
+    if not n_words:
+        new_here[:], new_anywhere[:] = 1.0, 1.0
+    class_logs = np.log([(trained.get(z, 0) + 1.0) / (n_ends + classes) for z in range(classes)])
+    record = np.dtype([("idx", "<i4"), ("c", "<i8"), ("lp", "<f4", (classes,))])
+    scored = _word_scores(shared_pieces, weights, record, sizes, new_here, new_anywhere, max(n_words, 1))
+    returned = counted.select("block", "idx", "word", "c", *per_class).mapInArrow(scored, "block long, scores binary")
     ends = (n_ends + 1.0) / (n_words + n_ends + 2.0)
     add_one = float(np.log10(train_tokens + distinct + 1))
     end_base = float(np.log10(n_ends + 1)) - add_one
 
-    def log_rising(x: np.ndarray, log_x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Log of x (x + 1) ... (x + n - 1)."""
-        out = log_x.copy()
-        many = np.flatnonzero(n > 1)
-        gamma = math.lgamma
-        out[many] += [gamma(a + k) - gamma(a + 1.0) for a, k in zip(x[many].tolist(), n[many].tolist())]
-        return out
-
     def join_block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        record = np.dtype([("idx", "<i4"), ("c", "<i8"), ("lp", "<f8")])
         table = np.frombuffer(b"".join(right.column("scores").to_pylist()), record)
-        count, lattice = np.zeros(len(table), np.int64), np.zeros(len(table))
-        count[table["idx"]], lattice[table["idx"]] = table["c"], table["lp"]
-        base = np.log10(count + 1.0) - add_one
-        log_p = np.logaddexp(np.log(np.maximum(count, 1e-300) * ((1.0 - new) / max(n_words, 1))), lattice + math.log(new))
-        log_x = log_p + math.log(concentration)
-        x = np.exp(log_x)
-        n_known, base_sum, lattice_sum = [], [], []
+        count, log_x = np.zeros(len(table), np.int64), np.zeros((len(table), classes))
+        count[table["idx"]], log_x[table["idx"]] = table["c"], table["lp"] + math.log(concentration)
+        base, x = np.log10(count + 1.0) - add_one, np.exp(log_x)
+        n_known, base_sum, marginal = [], [], []
         for blob in left.column("packed").to_pylist():
             words, times = np.frombuffer(blob, "<u4").astype(np.int64).reshape(2, -1)
             words = np.cumsum(words)
             n_known.append(int(times[count[words] > 0].sum()) + (n_ends > 0))
             base_sum.append(float((base[words] * times).sum()) + end_base)
             size = int(times.sum())
-            gone_on = size * math.log1p(-ends) + math.log(ends)
-            recur = float(log_rising(x[words], log_x[words], times).sum()) - math.lgamma(concentration + size) + math.lgamma(concentration)
-            lattice_sum.append((recur + gone_on) / math.log(10.0))
+            by_class = class_logs + log_rising(x[words], log_x[words], times).sum(axis=0)
+            top = by_class.max()
+            recur = top + math.log(np.exp(by_class - top).sum()) - math.lgamma(concentration + size) + math.lgamma(concentration)
+            marginal.append((recur + size * math.log1p(-ends) + math.log(ends)) / math.log(10.0))
         rows = left.num_rows
         return pa.table({
             "id": left.column("id"), "held_out": left.column("held"), "n_tokens": left.column("n"),
             "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([train_tokens] * rows, pa.int64()),
-            "base_score": pa.array(base_sum, pa.float64()), "score": pa.array(lattice_sum, pa.float64()),
+            "base_score": pa.array(base_sum, pa.float64()), "score": pa.array(marginal, pa.float64()),
         })
 
     result = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -347,19 +385,24 @@ def _expected_uses(known: DataFrame, shared_pieces, weights: np.ndarray) -> np.n
     return out
 
 
-def _word_scores(shared_pieces, weights: np.ndarray):
-    """Task: counted words -> packed (idx, count, log probability by pieces), one row per block and batch."""
+def _word_scores(shared_pieces, weights: np.ndarray, record: np.dtype, sizes: np.ndarray, new_here: np.ndarray, new_anywhere: np.ndarray, n_words: int):
+    """Task: counted words -> packed (idx, count, log probability by class), one row per block and batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared_pieces)
-        record = np.dtype([("idx", "<i4"), ("c", "<i8"), ("lp", "<f8")])
         for batch in batches:
             words = batch.column(2).to_pylist()
             place = {}
             where = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+            count = batch.column(3).to_numpy()
+            spelt = lattice.log_probs(list(place), weights)[where, None]
+            here = np.stack([batch.column(4 + z).to_numpy() for z in range(len(sizes))], axis=1)
+            seen = (1 - new_here) * (here / sizes) + new_here * (1 - new_anywhere) * (count[:, None] / n_words)
+            with np.errstate(divide="ignore"):  # words that were never seen
+                mixed = np.logaddexp(np.log(seen), np.log(new_here * new_anywhere) + spelt)
             table = np.empty(len(words), record)
-            table["idx"], table["c"] = batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            table["lp"] = lattice.log_probs(list(place), weights)[where]
+            table["idx"], table["c"] = batch.column(1).to_numpy(), count
+            table["lp"] = mixed
             block = batch.column(0).to_numpy()
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order])) + 1
