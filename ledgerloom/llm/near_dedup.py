@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.grouped import groups_of
-from ledgerloom.llm.shingles import CirculantMinHash, band_keys, shingle_set, words_of
+from ledgerloom.llm.shingles import CirculantMinHash, band_keys, shingle_set, word_hashes
 from ledgerloom.session import discard, materialise, ship_package
 
 _hashers: dict[int, CirculantMinHash] = {}
@@ -48,10 +48,10 @@ def _sign(width: int, bands: int, rows: int):
         for batch in batches:
             digests, sizes, signatures = [], [], []
             for text in batch.column(1):
-                words = words_of(text.as_py())
+                words = word_hashes((text.as_py() or "").encode())
                 shingles = shingle_set(words, width)
                 sizes.append(len(shingles))
-                digests.append(hashlib.sha256(b" ".join(words)).digest() if words else None)
+                digests.append(hashlib.sha256(words.tobytes()).digest() if len(words) else None)
                 signatures.append(hasher(shingles))
             keys = band_keys(np.array(signatures).reshape(len(sizes), bands * rows), rows)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel())
@@ -67,7 +67,7 @@ def _sets(width: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(words_of(t.as_py()), width).tobytes() for t in batch.column(1)]
+            sets = [shingle_set(word_hashes((t.as_py() or "").encode()), width).tobytes() for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return work

@@ -2,42 +2,61 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95  # odd, so that its powers can be undone
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SEGMENT = 1 << 17
+_tables: list[np.ndarray] = []
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words; starts anew when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, for n places at least."""
+    if not _tables or len(_tables[0]) < n:
+        size = max(n, _SEGMENT)
+        _tables[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _tables
 
-_word_hash = _WordHashes()
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text in UTF-8, in order.
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words in lower case (A to Z only), cut at ASCII white space."""
-    return text.encode().lower().split() if text else []
-
-
-def shingle_set(words: list[bytes], width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of all runs of ``width`` words.
+    Words are cut at ASCII white space and hashed in lower case (A to Z only).
+    A word's hash is a polynomial in its bytes: the difference of two running
+    sums over the text, shifted back to where the word starts.
+    """
+    data = data.lower()
+    parts, at = [], 0
+    while at < len(data):
+        to = at + _SEGMENT
+        if to < len(data):  # segments end where a word does
+            ahead = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, offset=to)]) if not _SPACE[data[to]] else [0]
+            to = to + int(ahead[0]) if len(ahead) else len(data)
+        part = np.frombuffer(data[at:to], np.uint8)
+        power, inverse = _powers(len(part) + 1)
+        edges = np.flatnonzero(np.diff(_SPACE[part], prepend=True, append=True))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+        starts, ends = edges[0::2], edges[1::2]
+        parts.append((sums[ends] - sums[starts]) * inverse[starts])
+        at = to
+    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    hashes ^= hashes >> np.uint64(31)
+    return hashes * _MIX
+
+
+def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of all runs of ``width`` words, given the words' hashes.
 
     Fewer words count, all together, as one shingle; no words give an empty set.
     """
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
-    span = min(width, len(words))
-    mixed = np.full(len(words) - span + 1, span, np.uint64)
+    if not len(hashes):
+        return hashes
+    span = min(width, len(hashes))
+    mixed = np.full(len(hashes) - span + 1, span, np.uint64)
     for k in range(span):
         mixed = (mixed ^ hashes[k : len(hashes) - span + 1 + k]) * _MIX + _STEP
         mixed ^= mixed >> np.uint64(29)

@@ -6,7 +6,7 @@ import pytest
 
 from ledgerloom.llm import near_dedup
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.shingles import CirculantMinHash, band_keys, shingle_set
+from ledgerloom.llm.shingles import CirculantMinHash, band_keys, shingle_set, word_hashes
 
 
 def plain_sets(text):
@@ -90,7 +90,7 @@ def test_exact_links_compare_every_pair():
 
 def test_circulant_signature_estimates_jaccard():
     words = [f"w{k}" for k in range(600)]
-    a, b = shingle_set([w.encode() for w in words[:500]]), shingle_set([w.encode() for w in words[50:550]])
+    a, b = (shingle_set(word_hashes(" ".join(w).encode())) for w in (words[:500], words[50:550]))
     hasher = CirculantMinHash(400)
     same = (hasher(a) == hasher(b)).mean()
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
@@ -102,3 +102,16 @@ def test_components_of_long_chains(spark):
     chain = [(k, k + 1) for k in range(0, 60)] + [(100, 101), (103, 101), (200, 200)]
     got = dict(connected_components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert set(got[k] for k in range(61)) == {0} and got[103] == 100 and 200 not in got
+
+
+def test_word_hashes_follow_the_words():
+    rng = random.Random(6)
+    bits = ["a", "B", "b", " ", "\t", "\n", "\x0b", "\r\n", "é", "É", "\x1c", "\x85", "zz", "0", "\x00"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts += [" ".join(f"w{k % 977}" for k in range(60_000)), "x" * 300_000 + " y", "x" * 131_072 + " y", ("ab " * 50_000)]
+    by_word, by_hash = {}, {}
+    for text in texts:
+        words, hashes = text.encode().lower().split(), word_hashes(text.encode()).tolist()
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes):
+            assert by_word.setdefault(w, h) == h and by_hash.setdefault(h, w) == w
