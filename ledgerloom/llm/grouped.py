@@ -1,4 +1,4 @@
-"""Groups of rows that arrive sorted by key, as Arrow batches."""
+"""Streams of Arrow batches: groups of rows sorted by key, and larger batches."""
 
 from __future__ import annotations
 
@@ -25,3 +25,15 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             held.append(part)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def in_bulk(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Join small batches to ones of about so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

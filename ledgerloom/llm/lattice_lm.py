@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.grouped import in_bulk
 from ledgerloom.session import materialise, ship_package
 
 WORD_MARK = b" "  # no word holds a space
@@ -255,7 +256,7 @@ def score(
 
     ``rounds`` passes of expectation-maximisation start from the vocabulary's
     own weights, which stay in as ``prior_weight`` pseudo-pieces.
-    ``concentration`` is the strength of the Dirichlet prior.  ``class_col``, if
+    ``concentration`` (16 or more) is the strength of the Dirichlet prior.  ``class_col``, if
     the table has it, tells the classes of training documents; the
     ``max_classes`` most frequent values have one each, all others share one
     more.  Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``,
@@ -266,12 +267,15 @@ def score(
     ship_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     rest = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
-    values: list = []
+    values: list = [None]
     if class_col in docs.columns:
-        found = docs.groupBy(F.col(class_col).cast("string").alias("z")).count().filter("z is not null").orderBy(F.desc("count"), "z").limit(max_classes)
-        values = [r.z for r in found.collect()]  # at most max_classes rows
-    classes = len(values) + 1
-    kind = F.coalesce(*[F.when(F.col(class_col).cast("string") == v, k) for k, v in enumerate(values)], F.lit(len(values)))
+        found = docs.groupBy(F.col(class_col).cast("string").alias("z")).count().orderBy(F.desc("count"), "z").limit(max_classes + 1)
+        values = [r.z for r in found.collect()] or values  # at most max_classes + 1 rows
+    # Nulls and what is beyond max_classes share the last class, if there are any.
+    shared_last = None in values or len(values) > max_classes
+    values = [v for v in values if v is not None][:max_classes]
+    classes = len(values) + shared_last
+    kind = F.coalesce(*[F.when(F.col(class_col).cast("string") == v, k) for k, v in enumerate(values)], F.lit(classes - 1))
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), (rest == held_out_remainder).alias("held"), kind.cast("int").alias("z"),
     )
@@ -325,17 +329,28 @@ def score(
         count, log_x = np.zeros(len(table), np.int64), np.zeros((len(table), classes))
         count[table["idx"]], log_x[table["idx"]] = table["c"], table["lp"] + math.log(concentration)
         base, x = np.log10(count + 1.0) - add_one, np.exp(log_x)
-        n_known, base_sum, marginal = [], [], []
-        for blob in left.column("packed").to_pylist():
-            words, times = np.frombuffer(blob, "<u4").astype(np.int64).reshape(2, -1)
-            words = np.cumsum(words)
-            n_known.append(int(times[count[words] > 0].sum()) + (n_ends > 0))
-            base_sum.append(float((base[words] * times).sum()) + end_base)
-            size = int(times.sum())
-            by_class = class_logs + log_rising(x[words], log_x[words], times).sum(axis=0)
-            top = by_class.max()
-            recur = top + math.log(np.exp(by_class - top).sum()) - math.lgamma(concentration + size) + math.lgamma(concentration)
-            marginal.append((recur + size * math.log1p(-ends) + math.log(ends)) / math.log(10.0))
+        blobs = [np.frombuffer(b, "<u4").astype(np.int64).reshape(2, -1) for b in left.column("packed").to_pylist()]
+        sizes = np.array([b.shape[1] for b in blobs])
+        tokens, n_known, base_sum, by_class = np.zeros(len(blobs), np.int64), np.zeros(len(blobs), np.int64), np.zeros(len(blobs)), np.zeros((len(blobs), classes))
+        reach = np.cumsum(sizes)
+        at = 0
+        while at < len(blobs):  # some documents at a time, so many (document, word) pairs
+            to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + 200_000, "right")))
+            words, times = np.concatenate([np.cumsum(b[0]) for b in blobs[at:to]]), np.concatenate([b[1] for b in blobs[at:to]])
+            filled = at + np.flatnonzero(sizes[at:to])
+            if len(filled):
+                starts = np.concatenate([[0], np.cumsum(sizes[filled])[:-1]])
+                tokens[filled] = np.add.reduceat(times, starts)
+                n_known[filled] = np.add.reduceat(np.where(count[words] > 0, times, 0), starts)
+                base_sum[filled] = np.add.reduceat(base[words] * times, starts)
+                by_class[filled] = np.add.reduceat(log_rising(x[words], log_x[words], times), starts, axis=0)
+            at = to
+        by_class += class_logs
+        top = by_class.max(axis=1)
+        recur = top + np.log(np.exp(by_class - top[:, None]).sum(axis=1)) - _lgamma(concentration + tokens) + float(_lgamma(np.float64(concentration)))
+        marginal = (recur + tokens * math.log1p(-ends) + math.log(ends)) / math.log(10.0)
+        n_known += n_ends > 0
+        base_sum += end_base
         rows = left.num_rows
         return pa.table({
             "id": left.column("id"), "held_out": left.column("held"), "n_tokens": left.column("n"),
@@ -371,7 +386,7 @@ def _expected_uses(known: DataFrame, shared_pieces, weights: np.ndarray) -> np.n
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, uses = _lattice(shared_pieces), 0.0
-        for batch in batches:
+        for batch in in_bulk(batches, 20_000):
             counts = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             uses = uses + lattice.expected(batch.column(0).to_pylist(), 1.0 / counts, weights)
         if np.ndim(uses):
@@ -390,7 +405,7 @@ def _word_scores(shared_pieces, weights: np.ndarray, record: np.dtype, sizes: np
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared_pieces)
-        for batch in batches:
+        for batch in in_bulk(batches, 20_000):
             words = batch.column(2).to_pylist()
             place = {}
             where = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
