@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 from collections.abc import Callable
 
@@ -13,7 +12,7 @@ from ledgerloom.llm import bpe, hash_forest, html_text, lattice_lm, media, near_
 from ledgerloom.session import load
 
 #: Where the public tokenizers' files lie; a deployment may set another folder.
-TOKENIZER_FOLDER = os.environ.get("LEDGERLOOM_TOKENIZERS") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
+TOKENIZER_FOLDER = os.environ.get("LEDGERLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def tokenizer(name: str) -> str:
