@@ -85,8 +85,9 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     together = np.zeros((n, n), np.float32 if sizes.max(initial=0) < 1 << 24 else np.float64)
-    step = max(64, 4_000_000 // n)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    step = max(1, min(columns, max(64, 4_000_000 // n)))
+    for low in range(0, columns, step):
         at, to = np.searchsorted(column, [low, low + step])
         part = np.zeros((n, step), together.dtype)
         part[owner[at:to], column[at:to] - low] = 1
