@@ -172,7 +172,7 @@ def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contractors.rechercher(Domain(spark, sf_dir).prestataire, "00002").select("id", "nom", "siret_norm")
 
 
-_INCOMING = "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'Firme ' || s_suppkey END AS nom, '123' || lpad(CAST(s_suppkey * 2 AS VARCHAR), 6, '0') || ' 00011' AS siret FROM supplier WHERE s_suppkey % 3 = 0"
+_INCOMING = "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'Firme ' || s_suppkey END AS nom, '123' || lpad(CAST(s_suppkey * 2 AS VARCHAR), 6, '0') || ' 00011' AS siret FROM supplier"
 
 
 @register("k08_rattacher_prestataires", oracle(f"""SELECT p.id, coalesce(nullif(i.nom, ''), p.nom) AS nom, p.siret_norm, FALSE AS cree FROM d_prestataire p LEFT JOIN (SELECT *, regexp_replace(siret, '[^0-9]', '', 'g') AS n FROM ({_INCOMING})) i ON i.n = p.siret_norm
@@ -180,7 +180,7 @@ _INCOMING = "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'Fi
 def k08(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
     k = F.col("s_suppkey")
-    incoming = d.raw("supplier").filter(k % 3 == 0).select(
+    incoming = d.raw("supplier").select(
         k.alias("ordre"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("Firme "), k.cast("string"))).alias("nom"), F.concat(F.lit("123"), F.lpad((k * 2).cast("string"), 6, "0"), F.lit(" 00011")).alias("siret"))
     return contractors.rattacher(d.prestataire, incoming).select("id", "nom", "siret_norm", "cree")
 
@@ -191,35 +191,34 @@ def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contractors.lier(d.projet_prestataire, d.occurrence.filter("prestataire_id is not null")).select("projet_id", "prestataire_id")
 
 
-@register("k09_detacher_prestataires", oracle("""SELECT projet_id, prestataire_id FROM d_projet_prestataire l WHERE NOT (prestataire_id % 2 = 0 AND NOT EXISTS (
-    SELECT 1 FROM d_occurrence o WHERE o.projet_id = l.projet_id AND o.prestataire_id = l.prestataire_id AND o.statut <> 'supprime'))"""))
+@register("k09_detacher_prestataires", oracle("""SELECT projet_id, prestataire_id FROM d_projet_prestataire l WHERE EXISTS (
+    SELECT 1 FROM d_occurrence o WHERE o.projet_id = l.projet_id AND o.prestataire_id = l.prestataire_id AND o.statut <> 'supprime')"""))
 def k09(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
-    unwanted = d.projet_prestataire.filter("prestataire_id % 2 = 0").select("projet_id", "prestataire_id")
+    unwanted = d.projet_prestataire.select("projet_id", "prestataire_id")
     return contractors.detacher(d.projet_prestataire, unwanted, d.occurrence).select("projet_id", "prestataire_id")
 
 
 # Mutations: old and new state are made from the same rows by a rule on the id.
-_FICHES = "SELECT p_partkey % 80 AS cle, 'neuf ' || p_partkey AS titre, CAST(p_size AS INTEGER) AS rang FROM part WHERE p_partkey BETWEEN 100 AND 150"
+_FICHES = "SELECT s_suppkey * 3 AS cle, 'neuf ' || s_suppkey AS titre, CAST(s_nationkey AS INTEGER) AS rang FROM supplier"
 
 
 @register("k03_upsert", oracle(f"""SELECT coalesce(i.cle, t.cle) AS cle, coalesce(i.titre, t.titre) AS titre, coalesce(i.rang, t.rang) AS rang
-    FROM (SELECT p_partkey AS cle, p_name AS titre, CAST(p_size AS INTEGER) AS rang FROM part WHERE p_partkey < 50) t FULL JOIN ({_FICHES}) i ON i.cle = t.cle"""))
+    FROM (SELECT p_partkey AS cle, p_name AS titre, CAST(p_size AS INTEGER) AS rang FROM part) t FULL JOIN ({_FICHES}) i ON i.cle = t.cle"""))
 def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.upsert(*_fiches(spark, sf_dir), ["cle"])
 
 
 @register("k04_upsert_partiel", oracle(f"""SELECT coalesce(i.cle, t.cle) AS cle, coalesce(i.titre, t.titre) AS titre, CASE WHEN t.cle IS NULL THEN i.rang ELSE t.rang END AS rang
-    FROM (SELECT p_partkey AS cle, p_name AS titre, CAST(p_size AS INTEGER) AS rang FROM part WHERE p_partkey < 50) t FULL JOIN ({_FICHES}) i ON i.cle = t.cle"""))
+    FROM (SELECT p_partkey AS cle, p_name AS titre, CAST(p_size AS INTEGER) AS rang FROM part) t FULL JOIN ({_FICHES}) i ON i.cle = t.cle"""))
 def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.upsert(*_fiches(spark, sf_dir), ["cle"], keep=["rang"])
 
 
 def _fiches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    part = Domain(spark, sf_dir).raw("part")
-    rang = F.col("p_size").cast("int").alias("rang")
-    old = part.filter("p_partkey < 50").select(F.col("p_partkey").alias("cle"), F.col("p_name").alias("titre"), rang)
-    new = part.filter("p_partkey between 100 and 150").select((F.col("p_partkey") % 80).alias("cle"), F.concat(F.lit("neuf "), F.col("p_partkey").cast("string")).alias("titre"), rang)
+    d = Domain(spark, sf_dir)
+    old = d.raw("part").select(F.col("p_partkey").alias("cle"), F.col("p_name").alias("titre"), F.col("p_size").cast("int").alias("rang"))
+    new = d.raw("supplier").select((F.col("s_suppkey") * 3).alias("cle"), F.concat(F.lit("neuf "), F.col("s_suppkey").cast("string")).alias("titre"), F.col("s_nationkey").cast("int").alias("rang"))
     return old, new
 
 
@@ -235,10 +234,10 @@ def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.insert_ignore(part(0), part(1), ["e", "annee"], "id", F.col("origine") == "ia")
 
 
-@register("k06_reensemencer", oracle("""SELECT id, annee, origine FROM d_occurrence WHERE NOT (origine = 'ia' AND modifie_le IS NULL) UNION ALL SELECT id + 1000000, annee, 'ia' FROM d_occurrence WHERE id % 9 = 0"""))
+@register("k06_reensemencer", oracle("""SELECT id, annee, origine FROM d_occurrence WHERE NOT (origine = 'ia' AND modifie_le IS NULL) UNION ALL SELECT id + 1000000000, annee, 'ia' FROM d_occurrence"""))
 def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Domain(spark, sf_dir).occurrence
-    fresh = rows.filter("id % 9 = 0").select((F.col("id") + 1000000).alias("id"), "annee", F.lit("ia").alias("origine"), F.lit(None).cast("timestamp_ntz").alias("modifie_le"))
+    fresh = rows.select((F.col("id") + 1000000000).alias("id"), "annee", F.lit("ia").alias("origine"), F.lit(None).cast("timestamp_ntz").alias("modifie_le"))
     return mutations.reseed(rows.select("id", "annee", "origine", "modifie_le"), fresh).drop("modifie_le")
 
 
@@ -284,12 +283,12 @@ def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("k15_justifier", oracle("""SELECT m.id, m.occurrence_id, champ, CASE WHEN c.id IS NOT NULL THEN 'justifie' ELSE motif END AS motif FROM d_mouvement m LEFT JOIN (
-      SELECT id FROM d_mouvement WHERE coalesce(motif, '') = '' AND occurrence_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY occurrence_id
+      SELECT id FROM d_mouvement WHERE coalesce(motif, '') = '' QUALIFY row_number() OVER (PARTITION BY occurrence_id
         ORDER BY list_position(['montant_ht', 'montant_engage', 'montant_realise', 'annee', 'statut'], champ), modifie_le DESC, id DESC) = 1) c ON c.id = m.id
-    UNION ALL SELECT NULL, o.id, 'montant_ht', 'justifie' FROM d_occurrence o WHERE o.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM d_mouvement m WHERE m.occurrence_id = o.id AND coalesce(m.motif, '') = '')"""))
+    UNION ALL SELECT NULL, o.id, 'montant_ht', 'justifie' FROM d_occurrence o WHERE NOT EXISTS (SELECT 1 FROM d_mouvement m WHERE m.occurrence_id = o.id AND coalesce(m.motif, '') = '')"""))
 def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
-    ids = d.occurrence.filter("id % 2 = 0").select(F.col("id").alias("occurrence_id"))
+    ids = d.occurrence.select(F.col("id").alias("occurrence_id"))
     return mutations.justify(d.mouvement, d.occurrence, ids, "justifie", "be").select("id", "occurrence_id", "champ", "motif")
 
 
@@ -322,14 +321,14 @@ def k27(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.fill_by_name(rows, d.prestataire).select("id", "prestataire_id")
 
 
-@register("k28_supprimer", oracle("SELECT id, CASE WHEN id % 13 = 0 THEN 'supprime' ELSE statut END AS statut FROM d_occurrence"))
+@register("k28_supprimer", oracle("SELECT id, CASE WHEN annee < 1997 THEN 'supprime' ELSE statut END AS statut FROM d_occurrence"))
 def k28(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Domain(spark, sf_dir).occurrence
-    return mutations.remove(rows, rows.filter("id % 13 = 0").select("id")).select("id", "statut")
+    return mutations.remove(rows, rows.filter("annee < 1997").select("id")).select("id", "statut")
 
 
-@register("k13_modifier", oracle("SELECT id, CASE WHEN id % 10 = 3 THEN 'realise' ELSE statut END AS statut, CAST(CASE WHEN id % 10 = 3 THEN montant_ht ELSE montant_engage END AS DOUBLE) AS montant_engage FROM d_occurrence"))
+@register("k13_modifier", oracle("SELECT id, CASE WHEN statut = 'en_cours' THEN 'realise' ELSE statut END AS statut, CAST(CASE WHEN statut = 'en_cours' THEN montant_ht ELSE montant_engage END AS DOUBLE) AS montant_engage FROM d_occurrence"))
 def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Domain(spark, sf_dir).occurrence
-    changed = mutations.update_where(rows, F.col("id") % 10 == 3, {"statut": F.lit("realise"), "montant_engage": F.col("montant_ht")}, {"statut", "montant_engage"})
+    changed = mutations.update_where(rows, F.col("statut") == "en_cours", {"statut": F.lit("realise"), "montant_engage": F.col("montant_ht")}, {"statut", "montant_engage"})
     return plain(changed.select("id", "statut", "montant_engage"))

@@ -21,7 +21,7 @@ SQL_VIEWS.update({
         UNION ALL SELECT projet_id, 'lignes_sans_montant', 'avertissement', count(*), min(id) FROM v_lignes WHERE montant_ht IS NULL GROUP BY 1
         UNION ALL SELECT projet_id, 'champs_a_confirmer', 'avertissement', count(*), min(id) FROM v_lignes WHERE len(champs_a_confirmer) > 0 GROUP BY 1
         UNION ALL SELECT id, 'baseline_absente', 'bloquant', 0, NULL FROM d_projet p WHERE NOT EXISTS (SELECT 1 FROM d_baseline b WHERE b.projet_id = p.id)""",
-    "v_geo": "SELECT o_orderkey AS id, o_custkey AS projet_id, o_orderkey % 3 AS couche, o_orderkey % 9 AS ug FROM orders WHERE o_orderkey % 5 = 0",
+    "v_geo": "SELECT o_orderkey AS id, o_custkey AS projet_id, o_orderkey % 3 AS couche, o_orderkey % 9 AS ug FROM orders",
 })
 
 
@@ -82,7 +82,7 @@ simple("p22_contraintes", """SELECT id, CASE WHEN mois_debut IS NULL AND mois_fi
        lambda d: d.occurrence.select("id", F.when(F.col("mois_debut").isNull() & F.col("mois_fin").isNull(), "mois").when(F.col("montant_ht") < 0, "montant").when(F.col("annee") < F.col("annee_initiale"), "annee").alias("regle")).filter("regle is not null"))
 simple("p24_colonnes_derivees", "SELECT p.id, CAST(date_decision + to_years(duree_annees) AS DATE) AS date_fin, f.siret_norm FROM d_projet p LEFT JOIN d_prestataire f ON f.id = p.id",
        lambda d: d.projet.select("id", S.end_date(F.col("date_decision"), F.col("duree_annees")).alias("date_fin")).join(d.prestataire.select("id", S.normalize_siret(F.col("siret")).alias("siret_norm")), "id", "left"))
-simple("p25_documents_globaux", "SELECT doc_id, lang FROM documents WHERE doc_id % 4 <> 0 AND source = 'src3'", lambda d: d.raw("documents").filter((F.when(F.col("doc_id") % 4 == 0, F.col("doc_id"))).isNull() & (F.col("source") == "src3")).select("doc_id", "lang"))
+simple("p25_documents_globaux", "SELECT doc_id, lang FROM documents WHERE nullif(lang, 'en') IS NULL AND source <> 'src3'", lambda d: d.raw("documents").filter(F.nullif("lang", F.lit("en")).isNull() & (F.col("source") != "src3")).select("doc_id", "lang"))
 simple("p26_liste_par_projet", "SELECT id, code, titre FROM d_occurrence WHERE projet_id = 11 ORDER BY annee, code, id", lambda d: d.occurrence.filter("projet_id = 11").orderBy("annee", "code", "id").select("id", "code", "titre"))
 simple("p27_vocabulaire", "SELECT categorie, count(*) AS nb FROM d_occurrence WHERE categorie NOT IN ('TE', 'TU', 'MR') GROUP BY 1", lambda d: d.occurrence.filter(~F.col("categorie").isin("TE", "TU", "MR")).groupBy("categorie").agg(F.count("*").alias("nb")))
 simple("p28_valeurs_par_defaut", "SELECT id, CAST(coalesce(montant_ht, 0) AS DOUBLE) AS montant_ht, coalesce(confiance, 0) AS confiance, len(champs_a_confirmer) AS n FROM d_occurrence",
@@ -134,7 +134,7 @@ simple("k26_apparier_geometries", """SELECT g.projet_id, g.n, geom_id, ug_id FRO
 
 
 def _layer(d: Domain, k: int) -> DataFrame:
-    rows = d.raw("orders").filter((F.col("o_orderkey") % 5 == 0) & (F.col("o_orderkey") % 3 == k))
+    rows = d.raw("orders").filter(F.col("o_orderkey") % 3 == k)
     return rows.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("projet_id"), F.lit(f"c{k}").alias("couche"), F.concat(F.lit("ug"), (F.col("o_orderkey") % 9).cast("string")).alias("ug_id"),
                        F.concat(F.lit("L"), F.col("o_orderkey").cast("string")).alias("libelle"), F.col("o_orderkey").alias("ordre"))
 
@@ -163,8 +163,8 @@ simple("c15_c18_dates", f"SELECT id, last_day(make_date(CASE WHEN mois_debut > m
        lambda d: (lambda e: d.occurrence.select("id", e.alias("deadline"), F.datediff(e, F.lit(AS_OF)).alias("jours")))(S.deadline(F.col("annee"), F.col("mois_debut"), F.col("mois_fin"))))
 simple("c19_c20_ages", f"SELECT id, CAST(floor(epoch(TIMESTAMP '{AS_OF}' - maj_le) / 86400) AS INTEGER) AS jours, strftime(maj_le, '%d/%m/%Y') AS le FROM d_demande",
        lambda d: d.demande.select("id", S.age_in_days(F.col("maj_le"), F.lit(AS_OF).cast("timestamp_ntz")).alias("jours"), S.french_date(F.col("maj_le")).alias("le")))
-simple("c21_c28_arrondis", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) / 3, 2) AS tiers, floor(l_quantity / 7) AS paquets, least(l_discount, l_tax) AS moindre FROM lineitem WHERE l_orderkey % 10 = 0",
-       lambda d: d.raw("lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice").cast(MONEY).cast("double") / 3, 2).alias("tiers"), F.floor(F.col("l_quantity") / 7).cast("double").alias("paquets"), F.least("l_discount", "l_tax").alias("moindre")))
+simple("c21_c28_arrondis", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) / 3, 2) AS tiers, floor(l_quantity / 7) AS paquets, least(l_discount, l_tax) AS moindre FROM lineitem",
+       lambda d: d.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice").cast(MONEY).cast("double") / 3, 2).alias("tiers"), F.floor(F.col("l_quantity") / 7).cast("double").alias("paquets"), F.least("l_discount", "l_tax").alias("moindre")))
 simple("c22_mois", "SELECT k AS id, CASE WHEN m BETWEEN 1 AND 12 THEN m END AS mois FROM (SELECT o_orderkey AS k, TRY_CAST(string_split(CASE WHEN o_orderkey % 3 = 0 THEN 'xx-01' ELSE (o_orderkey % 15) || '-15' END, '-')[1] AS INTEGER) AS m FROM orders)",
        lambda d: d.raw("orders").select(F.col("o_orderkey").alias("id"), S.month_of(F.when(F.col("o_orderkey") % 3 == 0, "xx-01").otherwise(F.concat((F.col("o_orderkey") % 15).cast("string"), F.lit("-15")))).alias("mois")))
 simple("c26_chemins", "SELECT id, concat_ws('/', 'projets', CAST(projet_id AS VARCHAR), CASE WHEN id % 2 = 0 THEN 'occ' || id END, 'f.pdf') AS chemin FROM d_occurrence", lambda d: d.occurrence.select("id", S.object_path(F.lit("projets"), F.col("projet_id").cast("string"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("occ"), F.col("id").cast("string"))), F.lit("f.pdf")).alias("chemin")))
