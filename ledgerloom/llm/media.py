@@ -10,7 +10,10 @@ against every digest before its samples are read.
 
 Null texts count as empty.  Equal texts are one file, so copies never multiply
 the work; they have equal values.  Rows with a null id, and repeated ids, are
-reported each.  An empty table gives an empty result.
+reported each; in the notes of the store the digest of its text stands for a
+null id, so such a file lends and borrows like any other.  A file or chunk that
+is missing when it is read back is an error, never a missing row.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,14 +100,15 @@ def _digest(data: bytes) -> bytes:
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: (id, text) -> (id, digest of the file, digests of its chunks)."""
+    """Task: (id, text, key) -> (id, key, digest of the file, digests of its chunks)."""
     for batch in batches:
         media, chunks = [], []
         for text in batch.column(1):
             data = to_wav(to_payload(text.as_py())[0])
             media.append(_digest(data))
             chunks.append([_digest(c) for c in cut(data)])
-        yield pa.record_batch([batch.column(0), pa.array(media, pa.binary()), pa.array(chunks, pa.list_(pa.binary()))], names=["id", "media", "chunks"])
+        columns = [batch.column(0), batch.column(2), pa.array(media, pa.binary()), pa.array(chunks, pa.list_(pa.binary()))]
+        yield pa.record_batch(columns, names=["id", "key", "media", "chunks"])
 
 
 _STORE = "media binary, n_bytes long, chunks array<binary>, own array<binary>, lent array<int>, borrows boolean"
@@ -163,7 +167,9 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [[] for _ in _RESULT_NAMES]
         for media, n_bytes, digests, own, extra in zip(*(c.to_pylist() for c in batch.columns)):
             have = {_digest(c): c for c in [*own, *(extra or ())]}
-            data = b"".join(have[d] for d in digests)  # a chunk whose bytes changed is not found under its digest
+            if missing := sum(d not in have for d in digests):  # a chunk whose bytes changed is not found under its digest
+                raise ValueError(f"media {media.hex()} lacks {missing} of its {len(digests)} chunks")
+            data = b"".join(have[d] for d in digests)
             if _digest(data) != media:
                 raise ValueError(f"media {media.hex()} does not match its digest")
             payload = from_wav(data)
@@ -188,9 +194,10 @@ def store(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", broad
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    lists = materialise(texts.mapInArrow(_lists, f"id {kind}, media binary, chunks array<binary>"), "media-lists")
+    texts = texts.withColumn("key", F.coalesce(F.col("id").cast("string"), F.sha2(F.coalesce("t", F.lit("")), 256)))
+    lists = materialise(texts.mapInArrow(_lists, f"id {kind}, key string, media binary, chunks array<binary>"), "media-lists")
 
-    files = lists.groupBy("media").agg(F.min("id").alias("keeper"))
+    files = lists.groupBy("media").agg(F.min("key").alias("keeper"))
     refs = (
         lists.select("media", "chunks").dropDuplicates(["media"])
         .select("media", F.posexplode("chunks").alias("seq", "digest"))
@@ -205,18 +212,18 @@ def store(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", broad
     # A note for whoever is not simply the keeper of all of its chunks.
     nothing = F.array().cast("array<int>")
     keepers = files.join(borrowed.join(lent, "media", "full"), "media").select(
-        F.col("keeper").alias("id"),
+        F.col("keeper").alias("key"),
         F.struct("media", F.lit(False).alias("copy"), F.coalesce("borrowed", nothing).alias("borrowed"), F.coalesce("lent", nothing).alias("lent")).alias("note"),
     )
     copies = (
-        lists.select("id", "media").distinct().join(files, "media").filter("id <> keeper")
-        .select("id", F.struct("media", F.lit(True).alias("copy"), nothing.alias("borrowed"), nothing.alias("lent")).alias("note"))
+        lists.select("key", "media").distinct().join(files, "media").filter("key <> keeper")
+        .select("key", F.struct("media", F.lit(True).alias("copy"), nothing.alias("borrowed"), nothing.alias("lent")).alias("note"))
     )
-    notes = keepers.union(copies).filter("id is not null").groupBy("id").agg(F.collect_list("note").alias("notes"))
+    notes = keepers.union(copies).groupBy("key").agg(F.collect_list("note").alias("notes"))
     notes = materialise(notes, "media-notes")
     if notes.count() <= broadcast_notes:
         notes = F.broadcast(notes)
-    noted = texts.join(notes, "id", "left").select("t", "notes")
+    noted = texts.join(notes, "key", "left").select("t", "notes")
     return lists.select("id", "media"), materialise(noted.mapInArrow(_keep, _STORE), "media-store"), loans.select("media", "digest").distinct()
 
 
@@ -224,8 +231,8 @@ def load_back(kept: DataFrame, loans: DataFrame) -> DataFrame:
     """Rebuild, verify and read every stored file; one row of values per file."""
     alone = kept.filter("not borrows").select("media", "n_bytes", "chunks", "own", F.lit(None).cast("array<binary>").alias("extra"))
     chunks = kept.filter("size(lent) > 0").select("chunks", "own", "lent").mapInArrow(_lend, "digest binary, chunk binary").dropDuplicates(["digest"])
-    fetched = loans.join(chunks, "digest").groupBy("media").agg(F.collect_list("chunk").alias("extra"))
-    borrowing = kept.filter("borrows").join(fetched, "media").select("media", "n_bytes", "chunks", "own", "extra")
+    fetched = loans.join(chunks, "digest", "left").groupBy("media").agg(F.collect_list("chunk").alias("extra"))
+    borrowing = kept.filter("borrows").join(fetched, "media", "left").select("media", "n_bytes", "chunks", "own", "extra")
     parts = [part.mapInArrow(_rebuild, _RESULT) for part in (alone, borrowing)]
     return parts[0].union(parts[1]).dropDuplicates(["media"])
 
@@ -234,4 +241,6 @@ def media_features(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """Store all texts as media, read them back, and give each document its file's values."""
     documents, kept, loans = store(docs, text_col, id_col)
     values = load_back(kept, loans)
-    return documents.join(values, "media").drop("media").withColumnRenamed("id", id_col)
+    every = documents.join(values, "media", "left")
+    found = F.when(F.col("n_chunks").isNotNull(), F.col("n_bytes")).otherwise(F.raise_error(F.concat(F.lit("nothing stored for media "), F.lower(F.hex("media")))))
+    return every.withColumn("n_bytes", found).drop("media").withColumnRenamed("id", id_col)

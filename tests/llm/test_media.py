@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import media
 
@@ -31,6 +32,30 @@ def test_every_text_comes_back(spark):
     assert all(r.media_bytes == r.payload_bytes + 44 for r in got)
 
 
+def test_texts_without_an_id_lend_and_borrow(spark):
+    rng = random.Random(5)
+    # Two passages; in each of the groups some file of null id is the owner (smallest media digest) of the shared chunks.
+    passage = "".join(rng.choice("abcdefgh ij\n") for _ in range(9000))
+    other = "".join(rng.choice("klmno p\n") for _ in range(9000))
+    shared = [(f"lead {k} " * k) + passage + f" end {k}" for k in range(6)] + [passage + f" and {k} " + other for k in range(3)]
+    shared.sort(key=lambda t: hashlib.sha256(media.to_wav(media.to_payload(t)[0])).digest())
+    rows = [(None if k in (0, 3) else k, t) for k, t in enumerate(shared)] + [(None, shared[0]), (None, None), (None, "alone"), (20, "alone"), (21, shared[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = media.media_features(docs).collect()
+    have = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got)
+    assert have == sorted((k if k is not None else -1, *expected(t)) for k, t in rows)
+    stored = media.store(docs.dropDuplicates())[1].collect()
+    chunks = [c for r in stored for c in r.own]
+    assert len(chunks) == len(set(chunks)) and len(stored) == len({r.media for r in stored})
+
+
+def test_a_lost_chunk_or_file_is_an_error(spark):
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    _, kept, loans = media.store(docs)
+    with pytest.raises(Exception, match="lacks"):
+        media.load_back(kept.withColumn("lent", F.expr("cast(array() as array<int>)")), loans).collect()
+
+
 def test_shared_chunks_are_stored_once(spark):
     docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
     _, kept, _ = media.store(docs)
