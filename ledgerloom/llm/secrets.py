@@ -1,7 +1,8 @@
 """Secret scans: patterns propose, a random forest removes false positives.
 
 Patterns find long runs of key-like characters and the values of assignments to
-secret-sounding names.  Each finding is described by its length, the
+secret-sounding names, compound ones (``DB_PASSWORD``, ``dbPassword``,
+``client_secret_key``) among them.  Each finding is described by its length, the
 transitions between character classes, its entropy, the share covered by
 dictionary words, whether it looks like a path, and the words near it.  A
 random forest (Spark ML), trained on labelled findings, gives its probability
@@ -47,9 +48,15 @@ DICTIONARY = (
     "transfer tree true type under undefined union unit update upload user value variable vector version video view visible water website week width window "
     "word work world write year your"
 ).split()
+# A name with such a word anywhere in it; what follows the word is set off by a separator, a digit or a capital ("author" is no such name).
+_NAME = (
+    r"[A-Za-z0-9_.-]*(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential)(?i:s|key|id|value)?"
+    r"(?:[0-9_.-][A-Za-z0-9_.-]*|(?<=[a-z])[A-Z][A-Za-z0-9_.-]*)?"
+)
+_NAMED = re.compile(_NAME)
 CANDIDATE = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-    r"|(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential)s?[\"']?\s{0,3}(?:[:=]|:=|=>)\s{0,3}[\"']?)([^\s\"'<>]{6,})"
+    rf"|(?<![A-Za-z0-9_.-]){_NAME}[\"']?\s{{0,3}}(?:[:=]|:=|=>)\s{{0,3}}[\"']?([^\s\"'<>]{{6,}})"
     r"|[A-Za-z0-9+/_=.-]{20,}"
 )
 FEATURES = ["length", "transitions", "entropy", "digits", "upper", "dictionary", "path", "hex", "repeat", "secret_word", "harmless_word", "assigned", "quoted"]
@@ -58,17 +65,19 @@ _WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) >= 4), key=
 
 def describe(text: str, start: int, end: int) -> list[float]:
     """Features of one finding, from the value and 60 characters before it."""
-    value, lead = text[start:end], text[max(0, start - 60) : start].lower()
+    value, before = text[start:end], text[max(0, start - 60) : start]
+    lead = before.lower()
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value]
     counts = Counter(value)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     covered = sum(len(m[0]) for m in _WORDS.finditer(value.lower()))
     near = re.findall(r"[a-z0-9_-]+", lead)[-4:]
+    named = any(w.lower() in SECRET_NAMES or _NAMED.fullmatch(w) for w in re.findall(r"[A-Za-z0-9_-]+", before)[-4:])
     return [
         float(min(n, 200)), sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), entropy, kinds.count("d") / n, kinds.count("u") / n, covered / n,
         float(value.count("/") >= 2 or "://" in lead[-8:] or value.count(".") >= 2), float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None),
-        max(counts.values()) / n, float(any(w in SECRET_NAMES for w in near)), float(any(w in HARMLESS_NAMES for w in near)),
+        max(counts.values()) / n, float(named), float(any(w in HARMLESS_NAMES for w in near)),
         float(re.search(r"[:=]\s{0,3}[\"']?$", lead) is not None), float(lead[-1:] in "\"'" and lead != ""),
     ]
 
@@ -84,8 +93,8 @@ def find(text: str | None) -> list[tuple[int, int]]:
 def labelled_findings(n: int = 3000, seed: int = 23) -> list[tuple[str, int, int, int]]:
     """Made-up labelled findings: (text, start, end, label), alike in every run.
 
-    Secrets are random strings of usual formats behind telling names; the
-    others are what such scans usually report by mistake: checksums, ids,
+    Secrets are random strings of usual formats, and short passwords, behind
+    telling names, simple or compound; the others are what such scans usually report by mistake: checksums, ids,
     paths, identifiers, placeholders and plain words.
     """
     rng = random.Random(seed)
@@ -104,9 +113,11 @@ def labelled_findings(n: int = 3000, seed: int = 23) -> list[tuple[str, int, int
             value = rng.choice([
                 lambda: pick(hexes, rng.choice([32, 40, 64])), lambda: pick(hexes, 40).upper(), lambda: pick(base, rng.randint(16, 48)),
                 lambda: "AKIA" + pick(low.upper() + digits, 16), lambda: "ghp_" + pick(base, 36), lambda: pick(base + "+/", 40) + "=",
-                lambda: pick(base + "!#$%&*", rng.randint(9, 18)),
+                lambda: pick(base + "!#$%&*", rng.randint(9, 18)), lambda: pick(base, rng.randint(8, 15)),
+                lambda: pick(low, rng.randint(4, 8)) + pick(digits, rng.randint(2, 4)) + pick(low, rng.randint(0, 1)),
             ])()
             name = rng.choice(SECRET_NAMES[:12])
+            name = rng.choice([name, name, f"{rng.choice(DICTIONARY)}_{name}", rng.choice(DICTIONARY) + name.title(), f"{name}_{rng.choice(['key', 'value', 'prod', '2'])}", f"db.{name}"])
             lead = rng.choice([f'{name} = "', f"{name}: ", f"{name.upper()}=", f'"{name}": "', f"my {name} is ", f'{word} {name} = "'])
         else:
             value, lead = rng.choice([
@@ -119,6 +130,10 @@ def labelled_findings(n: int = 3000, seed: int = 23) -> list[tuple[str, int, int
                 lambda: (rng.choice(["x", "*", "0"]) * rng.randint(8, 30), rng.choice(["password = ", "token: ", 'secret="'])),
                 lambda: (rng.choice(["changeme", "your_token_here", "example_password", "insert-key-here", "os.environ.get"]), rng.choice(["password = ", 'token = "', "secret: "])),
                 lambda: ("".join(rng.choice(["th", "er", "on", "an", "re", "st", "ung", "che", "ion", "ar", "os"]) for _ in range(rng.randint(8, 14))), rng.choice([word + " ", "the ", ""])),
+                lambda: (
+                    rng.choice(["changeme", "your_" + rng.choice(DICTIONARY), "example_" + rng.choice(DICTIONARY), rng.choice(DICTIONARY) + "." + rng.choice(DICTIONARY), rng.choice(DICTIONARY) + rng.choice(DICTIONARY)]),
+                    rng.choice(["DB_PASSWORD=", 'client_secret = "', '"dbPassword": "', "userToken = ", "secret_key: "]),
+                ),
                 lambda: ("www." + rng.choice(DICTIONARY) + rng.choice(DICTIONARY) + ".example.com/" + word, "https://"),
             ])()
         head = f"{rng.choice(DICTIONARY)} {rng.choice(DICTIONARY)} {lead}"

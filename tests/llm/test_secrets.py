@@ -33,3 +33,22 @@ def test_repeated_rows_and_empty_table(spark, model):
     docs = spark.createDataFrame([(1, "token: 04dbebab91ab85687d33eeaaf9ac699e1188f962")] * 2, "doc_id long, text string")
     assert secrets.scan(docs, model).count() == 2
     assert secrets.scan(docs.limit(0), model).count() == 0
+
+
+COMPOUND = [
+    ("DB_PASSWORD: hunter22x", "hunter22x"), ('client_secret = "a8Kd93kfQ2"', "a8Kd93kfQ2"), ('"dbPassword": "S3cr3tPw9"', "S3cr3tPw9"), ("export MY_LONG_APPLICATION_TOKEN=q7Lw02kdPz", "q7Lw02kdPz"),
+    ("secret_key: Zx81mQ04tt", "Zx81mQ04tt"), ("apiKeyProd = 'mK29sVb71x'", "mK29sVb71x"), ("spring.datasource.password=pL4kk92a", "pL4kk92a"), ("password2 => tR55yolk9", "tR55yolk9"),
+]
+
+
+def test_compound_names(spark, model):
+    for text, value in COMPOUND:
+        assert [text[s:e] for s, e in secrets.find(text)] == [value]
+    rows = [(k, f"some lines of a file\n{text}\nand more") for k, (text, _) in enumerate(COMPOUND)] + [(100, "DB_PASSWORD: changeme"), (101, 'client_secret = "your_secret"')]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {r.doc_id for r in found if r.is_secret} == set(range(len(COMPOUND)))
+
+
+def test_names_that_only_begin_like_a_secret():
+    assert secrets.find("author: Johnathan Smith, AUTHOR: Johnathan, authority: ministry, secretary = somebody, tokenizer: wordpiece") == []
+    assert secrets.find("a_" * 200_000 + "-password") == [(0, 400_009)]
