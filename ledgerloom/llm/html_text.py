@@ -4,9 +4,12 @@ The standard library's parser streams events; block elements cut the page into
 lines, and each line has a ratio of text to tags (link text counts as none).
 A Gaussian smooths the ratios along the page, and a threshold between two
 cluster centres marks the lines that lie in content regions.  The regions vote,
-by their text, for the element that holds the article; every block inside it is
-then part of the text, whatever its own length, but for blocks that stand in
-menus, headers, footers, asides, adverts, forms or reader comments.
+by their text, for the element that holds the article, which grows while what
+its parents add is not mostly links; every block inside it is then part of the
+text, whatever its own length, but for blocks that stand in menus, headers,
+footers, asides, adverts, forms or reader comments.  A class, id or role that
+names such a region counts for nothing on a wrapper around the article or
+around nearly all of the page's text.
 
 White space inside a block becomes one space, blocks are joined by two line
 ends, nothing else is dropped or cut.  Null and empty pages give an empty text;
@@ -44,16 +47,20 @@ OUTSIDE_WORDS = re.compile(
 )
 HEADER_WORDS = re.compile(r"(?:^|[^a-z])(?:page|site|top|main|global)?[-_]?header(?:$|[^a-z])")
 CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|content|entry|main|post|story|text|body)(?:$|[^a-z])")
+# Such a word says what a wrapper has or lacks ("with-sidebar", "no-nav"), not what it is.
+ABOUT_OTHERS = re.compile(r"(?<![a-z])(?:with|without|has|no)[-_]+\S*")
 _SPACE = re.compile(r"\s+")
 # An open paragraph (or item, row, cell) ends where one of these starts.
 _ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
 class _Element:
-    __slots__ = ("name", "parent", "outside", "hidden", "holder")
+    # ``barred``: outside by an element's kind, its own or a parent's; ``worded``: by the words of its own class, id or role.
+    __slots__ = ("name", "parent", "barred", "worded", "outside", "hidden", "holder", "size")
 
-    def __init__(self, name: str, parent: "_Element | None", outside: bool, hidden: bool, holder: bool):
-        self.name, self.parent, self.outside, self.hidden, self.holder = name, parent, outside, hidden, holder
+    def __init__(self, name: str, parent: "_Element | None", barred: bool, worded: bool, hidden: bool, holder: bool):
+        self.name, self.parent, self.barred, self.worded, self.hidden, self.holder = name, parent, barred, worded, hidden, holder
+        self.outside, self.size = barred or worded, 0
 
 
 class PageLines(HTMLParser):
@@ -62,7 +69,8 @@ class PageLines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, _Element]] = []
-        self._top = self._open = _Element("", None, False, False, False)
+        self._top = self._open = _Element("", None, False, False, False, False)
+        self._elements = [self._top]
         self._parts: list[str] = []
         self._tags = self._linked = self._in_link = 0
 
@@ -91,15 +99,17 @@ class PageLines(HTMLParser):
             ended = _ENDED_BY.get(self._open.name)
         up = self._open
         named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")).lower()
+        named = ABOUT_OTHERS.sub(" ", named)
         holder = tag in HOLDERS
         # An article's own header belongs to it; a page's header does not.
-        outside = up.outside or tag in OUTSIDE and not (tag == "header" and self._inside_holder(up))
+        barred = up.barred or tag in OUTSIDE and not (tag == "header" and self._inside_holder(up))
+        worded = False
         if named and not holder and tag not in ("html", "body"):
-            outside = outside or bool(OUTSIDE_WORDS.search(named))
-            outside = outside or bool(HEADER_WORDS.search(named)) and not self._inside_holder(up)
+            worded = bool(OUTSIDE_WORDS.search(named)) or bool(HEADER_WORDS.search(named)) and not self._inside_holder(up)
         if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
-            outside = True
-        self._open = _Element(tag, up, outside, up.hidden or tag in HIDDEN, holder or bool(named and CONTENT_WORDS.search(named)))
+            barred = True
+        self._open = _Element(tag, up, barred, worded, up.hidden or tag in HIDDEN, holder or bool(named and CONTENT_WORDS.search(named)))
+        self._elements.append(self._open)
 
     @staticmethod
     def _inside_holder(element: _Element | None) -> bool:
@@ -145,6 +155,40 @@ class PageLines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._break()
+        while self._settle():
+            pass
+
+    def _settle(self) -> bool:
+        """Spread the words' verdicts downwards; true if one of them was lifted, so that they spread anew.
+
+        An article's wrapper is no menu: verdicts above an article or main
+        element are lifted if it holds more than what would be left without it,
+        or, beside another that is not outside, nine tenths of both.  On a page
+        without such an element, so are those on whatever holds nine tenths.
+        """
+        for e in self._elements:
+            e.outside, e.size = e.barred or e.worded or e.parent is not None and e.parent.outside, 0
+        if not any(e.worded for e in self._elements):
+            return False
+        for text, _, _, e in self.lines:
+            if not e.barred:
+                e.size += len(text)
+        for e in reversed(self._elements):  # a parent stands before its children
+            if e.parent is not None and not e.worded:
+                e.parent.size += e.size
+        left = self._top.size
+        settled = any(e.name in HOLDERS and e.size and not e.outside for e in self._elements)
+
+        def enough(e: _Element) -> bool:
+            if e.name in HOLDERS:
+                return e.size > (0.9 if settled else 0.5) * (e.size + left)
+            return e.worded and not settled and e.size >= 0.9 * (e.size + left)
+
+        best = max((e for e in self._elements if e.size and e.outside and not e.barred and enough(e)), key=lambda e: (e.name in HOLDERS, e.size), default=None)
+        at = best
+        while at is not None:
+            at.worded, at = False, at.parent
+        return best is not None
 
 
 def content_lines(lines: list[tuple[str, int, int, _Element]], spread: float = 1.0) -> np.ndarray:
@@ -194,6 +238,7 @@ def main_text(html: str | None) -> str:
     elif votes:
         # The innermost element that still holds nearly all of the content.
         holder = min((e for e in votes if votes[e] >= 0.9 * total and e.name not in _ENDED_BY), key=lambda e: (votes[e], -_depth(e)), default=parser._top)
+        holder = _grown(holder, lines)
 
     kept = []
     for text, _, _, element in lines:
@@ -202,6 +247,26 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(kept)
 
 
+def _grown(holder: _Element, lines: list[tuple[str, int, int, _Element]]) -> _Element:
+    """The furthest parent up to which no level adds text that is mostly links."""
+    parents = [holder]
+    while parents[-1].parent is not None:
+        parents.append(parents[-1].parent)
+    level = {e: k for k, e in enumerate(parents)}
+    added, linked = [0] * len(parents), [0] * len(parents)
+    for text, links, _, element in lines:
+        if not element.outside:
+            at = element
+            while at not in level:
+                at = at.parent
+            added[level[at]] += len(text)
+            linked[level[at]] += links
+    top = 0
+    while top + 1 < len(parents) and 2 * linked[top + 1] <= added[top + 1]:
+        top += 1
+    return parents[top]
+
+
 def _depth(element: _Element) -> int:
     n = 0
     while element.parent is not None:

@@ -33,6 +33,33 @@ def test_broken_markup(broken):
     assert main_text(broken) == WANT
 
 
+@pytest.mark.parametrize("named", ["layout with-sidebar", "no-sidebar", "container has-nav", "page search-result", "layout layout--has-left-sidebar", "widget-area"])
+@pytest.mark.parametrize("inner", [ARTICLE, ARTICLE.replace("article>", "main>"), "<div>" + ARTICLE[9:-10] + "</div>"])
+def test_wrappers_named_for_what_they_hold(named, inner):
+    long = "A sidebar's words, many of them and none of them of the article. " * 3
+    inside = f"<div class='{named}'><div class='top'>{inner}</div><div class='sidebar'>{long if 'p>' in inner and 'div' not in inner else 'Side.'}</div></div>"
+    assert main_text(f"<html><body><nav><a href='/'>Home</a></nav>{inside}<footer>f</footer></body></html>") == WANT
+
+
+def test_words_still_hold_beside_an_article():
+    long = "<p>Many words that are not of the article at all.</p>" * 40
+    for region in ("comments", "ad", "related", "sidebar"):
+        assert main_text(page(ARTICLE + f"<div class='{region}'>{long}</div>")) == WANT
+    cards = "".join(f"<article><p>A card about another text, number {k}.</p></article>" for k in range(9))
+    assert main_text(page(ARTICLE + f"<section class='related'>{cards}</section>")) == WANT
+    assert main_text(page("<div>" + ARTICLE[9:-10] + f"</div><section class='related'>{cards}</section>")) == WANT
+
+
+def test_title_and_lead_beside_the_body_are_kept():
+    body = "<div>" + "".join(f"<p>Paragraph {k} of a long text without any mark of an article around it, as many pages have.</p>" for k in range(12)) + "</div>"
+    inside = f"<div><h1>A title</h1><p>A lead.</p>{body}<p>An end.</p></div>"
+    for html in (page(inside), f"<html><body>{inside}</body></html>", page(inside[5:-6])):
+        got = main_text(html).split("\n\n")
+        assert got[:2] == ["A title", "A lead."] and got[-1] == "An end." and len(got) == 15
+    links = "<ul><li><a href='/a'>One thing</a></li><li><a href='/b'>Another thing</a></li></ul>"
+    assert "thing" not in main_text(f"<html><body>{links}{inside}</body></html>")
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<nav>x</nav>") == ""
     assert main_text("just text & no tags") == "just text & no tags"
