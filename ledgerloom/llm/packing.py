@@ -10,7 +10,9 @@ clusters; bins of equal rest and equal bitmaps are searched as one.
 
 Rows are dealt to shards of bounded size by a hash, and a shard is packed by
 one task, so shards pack side by side at any scale; a cluster or a source that
-holds a third of all rows is spread over all of them.
+holds a third of all rows is spread over all of them.  Rows that agree in id and
+text, such as copies without ids, are dealt one by one where they are many;
+which of them goes where follows the partitions of the input.
 
 A text longer than a bin becomes several parts, all full but the last.  Null
 and empty texts have length 0 and fit anywhere without conflict.  A null source
@@ -105,7 +107,15 @@ def pack(
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("length"), F.xxhash64(F.lower(F.trim(text))).alias("cluster"),
-    ).withColumn("shard", F.pmod(F.xxhash64("id", "cluster", F.lit(5)), F.lit(shards)))
+    )
+    deal = F.xxhash64("id", "cluster", F.lit(5))
+    if shards > 1:
+        # Of pairs with so many rows there are at most 10 a shard, so they can be broadcast.
+        many = rows.groupBy("id", "cluster").count().filter(F.col("count") > max(1, shard_rows // 10))
+        many = F.broadcast(many.select(F.col("id").alias("many_id"), F.col("cluster").alias("many_cluster")))
+        rows = rows.join(many, F.col("id").eqNullSafe(F.col("many_id")) & (F.col("cluster") == F.col("many_cluster")), "left")
+        deal = F.when(F.col("many_cluster").isNotNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(deal)
+    rows = rows.select("id", "source", "length", "cluster", F.pmod(deal, F.lit(shards)).alias("shard"))
 
     def work(key: tuple, shard: pa.Table) -> pa.Table:
         shard = shard.sort_by([("id", "ascending"), ("cluster", "ascending")])

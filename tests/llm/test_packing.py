@@ -89,3 +89,16 @@ def test_table(spark):
         fills[r.bin_id] = fills.get(r.bin_id, 0) + r.length
     assert all(fills[r.bin_id] == r.bin_fill for r in got)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_copies_without_ids_are_spread_over_shards(spark):
+    rows = [(None, "a copy of one text", f"s{k % 7}") for k in range(3000)] + [(5, "Repeated row", None)] * 1500 + [(k, f"text {k} of its own", f"s{k % 90}") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(16)
+    got = packing.pack(docs, shard_rows=300).collect()
+    assert sorted((r.doc_id or -1, r.length, r.source or "") for r in got) == sorted((k or -1, len(t.split()), s or "") for k, t, s in rows)
+    shards = {}
+    for r in got:
+        shards[r.bin_id >> 32] = shards.get(r.bin_id >> 32, 0) + 1
+    assert max(shards.values()) < 600
+    texts = [(r.bin_id, r.cluster) for r in got]
+    assert len(set(texts)) == len(texts)
