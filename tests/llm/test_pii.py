@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -78,4 +79,71 @@ def test_mask_replaces_each_span_once(spark):
 
 
 def test_empty_table(spark):
-    assert pii.span_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.span_digests(empty).count() == 0 and pii.mask(empty).count() == 0
+
+
+def plain_mask(text, spans):
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: (s.start, s.rank, s.end)):
+        if s.start >= at:
+            out += [text[at : s.start], f"<{s.kind}>"]
+        at = max(at, s.end)
+    return "".join(out) + text[at:]
+
+
+def test_mask_equals_plain_replacement(spark):
+    long = "x 😀 a@b.co, " * 300 + "é" * 3000 + " 10.0.0.1 " + "z" * 1023 + "+44 20 7946 0958" + "w" * 1024
+    rows = list(enumerate([t for t in texts() if t and len(t) < 20_000] + [long, "a@b.co", "a@b.co" + "y" * 5000 + "a@b.co"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_spans(docs).collect()}
+    got = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert any(spans.values())
+    for k, text in rows:
+        assert got[k] == plain_mask(text, spans[k]), text[:80]
+
+
+def test_ibans_of_all_lengths_before_other_words(spark):
+    def checked(country, body):
+        digits = "".join(str(int(c, 36)) for c in body + country + "00")
+        return f"{country}{98 - int(digits) % 97:02d}{body}"
+
+    made = [checked(code, "12A4" * 2 + "7" * (n - 12)) for n, codes in pii.IBAN_LENGTHS.items() for code in codes.split()]
+    spaced = [" ".join(m[k : k + 4] for k in range(0, len(m), 4)) for m in made]
+    rows = []
+    for m in made + spaced:
+        bad = m[:-1] + ("8" if m[-1] != "8" else "9")
+        rows += [(m, f"to {m} EUR 12", 1), (m, f"{m}. Done", 1), (m, f"x {m}", 1), (m, f"{m}9", 0), (m, bad + " EUR", 0), (m, f"A{m}", 0)]
+    docs = spark.createDataFrame([(k, t) for k, (_, t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [t for t in r.spans if t.kind == "iban"] for r in pii.find_spans(docs).collect()}
+    for k, (m, text, n) in enumerate(rows):
+        assert [text[s.start : s.end] for s in got[k]] == [m] * n, text
+
+
+def test_score_decides_on_added_spans_and_is_returned(spark):
+    rows = [
+        (1, "Tel. 0151 23456789 only", "tel:5:18", "0.6"), (2, "item 0151 23456789 only", "", ""), (3, "serial GB82WEST12345698765432", "", ""),
+        (4, "bank account, serial GB82WEST12345698765432", "iban:21:43", "0.6"), (5, "mail a@b.co", "email:5:11", "0.9"), (6, "build 10.0.0.1", "ip:6:14", "0.3"),
+        (7, "GB82WEST12345698765432 is the iban", "iban:0:22", "0.9"),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.span_digests(docs).collect()}
+    for k, _, spans, scores in rows:
+        assert (got[k].spans, got[k].scores) == (spans, scores)
+    assert got[1].n_tel == 1 and got[4].n_iban == 1
+    assert [r.text for r in pii.mask(docs).orderBy("doc_id").collect()][:3] == ["Tel. <tel> only", rows[1][1], rows[2][1]]
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 32_000
+    docs = spark.createDataFrame([(1, "user@example.org and 10.0.0.1; " * n)], "doc_id long, text string")
+    begun = time.monotonic()
+    one = pii.span_digests(docs).first()
+    assert (one.n_email, one.n_ip) == (n, n)
+    assert pii.mask(docs).first().text == "<email> and <ip>; " * n
+    assert time.monotonic() - begun < 60
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a@b.co", "x", "y", "z")], "doc_id long, text string, spans string, Spans_ string, __spans string")
+    assert pii.mask(docs).first().asDict() == {"doc_id": 1, "text": "<email>", "spans": "x", "Spans_": "y", "__spans": "z"}
