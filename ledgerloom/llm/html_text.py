@@ -2,19 +2,29 @@
 
 The standard library's parser streams events; block elements cut the page into
 lines, and each line has a ratio of text to tags (link text counts as none).
-A Gaussian smooths the ratios along the page, and a threshold between two
-cluster centres marks the lines that lie in content regions.  The regions vote,
-by their text, for the element that holds the article, which grows while what
-its parents add is not mostly links; every block inside it is then part of the
-text, whatever its own length, but for blocks that stand in menus, headers,
-footers, asides, adverts, forms or reader comments.  A class, id or role that
-names such a region counts for nothing on a wrapper around the article or
-around nearly all of the page's text.
+A Gaussian smooths the ratios along the page, on a scale of logarithms, and a
+threshold between two cluster centres marks the lines of the content region:
+they, and what lies between them, are the text.  At its two ends the region
+takes in what stands in the same part of the page (a short title or lead before
+the first marked line, a short end after the last): the innermost element that
+holds nearly all marked text, grown while what its parents add is not mostly
+links.
+
+What a line stands in only lowers its ratio.  In menus, headers, footers,
+asides, forms and what is hidden, and under a class, id or role that is the name
+of a menu, advert, sidebar, notice or of readers' comments, it is zero; beside
+the article or main element that holds most of the page's text, and (outside of
+such an element) under names that merely hint at these things, it is a tenth.  A
+lowered line gets no help from its neighbours: it belongs to the text only if
+its own lowered ratio reaches the threshold, so never if that is zero.  A name
+says nothing on an element that holds nine tenths of the page's text.
 
 White space inside a block becomes one space, blocks are joined by two line
 ends, nothing else is dropped or cut.  Null and empty pages give an empty text;
 broken markup is read as far as the parser gets, unclosed elements end with
-their parents.  Repeated rows are each extracted; extra columns are ignored.
+their parents.  Time grows in proportion to the page, however long or deep.
+Repeated rows and rows with a null id are each extracted; extra columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,32 +45,42 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-HIDDEN = frozenset("script style template noscript title head svg math iframe object canvas audio video textarea select datalist".split())
+HIDDEN = frozenset("script style template noscript title head iframe object canvas audio video textarea select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 OUTSIDE = frozenset("nav header footer aside form menu dialog button fieldset".split())
 HOLDERS = frozenset("article main".split())
-# Words in classes, ids and roles that name something other than the article.
-OUTSIDE_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|side|footer\w*|masthead|breadcrumbs?|cookies?|consent|"
-    r"notice|notices|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|disqus|replies|"
-    r"reader-comments?|pagination|pager|widget\w*|copyright|legal|toolbar|complementary|contentinfo|navigation)(?:$|[^a-z])"
+# A class, id or role that is wholly one of these names something beside the article.
+_REGION = re.compile(
+    r"(?:ads?|advert\w*|ad[-_](?:slot|box|banner|unit|container|wrapper)|sponsor(?:ed)?|promo(?:tion)?s?|nav|nav[-_]?bar|navigation|menu|[a-z]+[-_](?:nav|menu)|breadcrumbs?|"
+    r"side[-_]?bar(?:[-_]\w+)?|(?:left|right|page|site)[-_]?side(?:[-_]?bar)?|(?:page|site|global)[-_]?(?:header|footer)|footer|masthead|banner|cookies?|(?:cookie|consent|privacy)[-_](?:notice|banner|bar|consent|box)|"
+    r"notices?|popup|modal|newsletter(?:[-_]\w+)?|subscribe|subscription|sign[-_]?up|log[-_]?in|search(?:[-_]?(?:form|box|bar))?|share|sharing|social(?:[-_]\w+)?|"
+    r"related(?:[-_](?:posts|articles|links|stories|content|items))?|recommend(?:ed|ations)|(?:reader|user)?[-_]?comments?(?:[-_]?(?:list|section|area|thread|box|form|item|body|text|wrapper))?|"
+    r"disqus(?:[-_]thread)?|replies|pagination|pager|widgets?|copyright|toolbar|complementary|contentinfo)"
+)
+# A name that holds one of these words hints at such a thing.
+_HINT = re.compile(
+    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|side|footer\w*|header|masthead|breadcrumbs?|cookies?|consent|notices?|popup|"
+    r"modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|replies|pagination|pager|widget\w*|copyright|legal|toolbar)(?:$|[^a-z])"
 )
-HEADER_WORDS = re.compile(r"(?:^|[^a-z])(?:page|site|top|main|global)?[-_]?header(?:$|[^a-z])")
-CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|content|entry|main|post|story|text|body)(?:$|[^a-z])")
 # Such a word says what a wrapper has or lacks ("with-sidebar", "no-nav"), not what it is.
-ABOUT_OTHERS = re.compile(r"(?<![a-z])(?:with|without|has|no)[-_]+\S*")
+_ABOUT_OTHERS = re.compile(r"(?<![a-z])(?:with|without|has|no)[-_]+\S*")
+LOWERED = 0.1
 _SPACE = re.compile(r"\s+")
-# An open paragraph (or item, row, cell) ends where one of these starts.
-_ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+# An open paragraph (or item, row, cell, page head) ends where one of these starts.
+_ENDED_BY = {
+    "p": BLOCKS, "head": BLOCKS - {"html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
+    "option": {"option"},
+}
 
 
 class _Element:
-    # ``barred``: outside by an element's kind, its own or a parent's; ``worded``: by the words of its own class, id or role.
-    __slots__ = ("name", "parent", "barred", "worded", "outside", "hidden", "holder", "size")
+    __slots__ = ("name", "parent", "place", "barred", "hidden", "inside", "share", "size", "factor")
 
-    def __init__(self, name: str, parent: "_Element | None", barred: bool, worded: bool, hidden: bool, holder: bool):
-        self.name, self.parent, self.barred, self.worded, self.hidden, self.holder = name, parent, barred, worded, hidden, holder
-        self.outside, self.size = barred or worded, 0
+    def __init__(self, name: str, parent: "_Element | None", place: int, barred: bool, hidden: bool, share: float):
+        self.name, self.parent, self.place, self.barred, self.hidden = name, parent, place, barred, hidden
+        # ``inside``: in an article or main element; ``share``: what its own names leave of a ratio.
+        self.inside = name in HOLDERS or parent is not None and parent.inside
+        self.share, self.size, self.factor = share, 0, 1.0
 
 
 class PageLines(HTMLParser):
@@ -69,8 +89,10 @@ class PageLines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, _Element]] = []
-        self._top = self._open = _Element("", None, False, False, False, False)
-        self._elements = [self._top]
+        self.elements = [_Element("", None, 0, False, False, 1.0)]  # parents stand before their children
+        self._open = self.elements[0]
+        self._names: dict[str, int] = {}  # how many open elements have a name
+        self._regions: list[dict[str, int]] = [{}]  # the same since each open region began
         self._parts: list[str] = []
         self._tags = self._linked = self._in_link = 0
 
@@ -82,6 +104,15 @@ class PageLines(HTMLParser):
             self._parts = []
         self._tags = self._linked = 0
 
+    def _leave(self) -> None:
+        """Close the innermost open element."""
+        name = self._open.name
+        self._names[name] -= 1
+        self._regions[-1][name] -= 1
+        if name in OUTSIDE or name in HOLDERS:
+            self._regions.pop()
+        self._open = self._open.parent
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
         if tag == "br":
@@ -93,31 +124,26 @@ class PageLines(HTMLParser):
             return
         if tag == "a":
             self._in_link += 1
-        ended = _ENDED_BY.get(self._open.name)
-        while ended and tag in ended:
-            self._open = self._open.parent
-            ended = _ENDED_BY.get(self._open.name)
+        while tag in _ENDED_BY.get(self._open.name, ()):
+            self._leave()
         up = self._open
-        named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")).lower()
-        named = ABOUT_OTHERS.sub(" ", named)
-        holder = tag in HOLDERS
         # An article's own header belongs to it; a page's header does not.
-        barred = up.barred or tag in OUTSIDE and not (tag == "header" and self._inside_holder(up))
-        worded = False
-        if named and not holder and tag not in ("html", "body"):
-            worded = bool(OUTSIDE_WORDS.search(named)) or bool(HEADER_WORDS.search(named)) and not self._inside_holder(up)
-        if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
-            barred = True
-        self._open = _Element(tag, up, barred, worded, up.hidden or tag in HIDDEN, holder or bool(named and CONTENT_WORDS.search(named)))
-        self._elements.append(self._open)
-
-    @staticmethod
-    def _inside_holder(element: _Element | None) -> bool:
-        while element is not None:
-            if element.name in HOLDERS:
-                return True
-            element = element.parent
-        return False
+        barred = up.barred or tag in OUTSIDE and not (tag == "header" and up.inside)
+        barred = barred or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+        named = [v.lower() for k, v in attrs if v and k in ("class", "id", "role")]
+        share = 1.0
+        if named and tag not in HOLDERS and tag not in ("html", "body"):
+            names = _ABOUT_OTHERS.sub(" ", " ".join(named)).split()
+            if any(_REGION.fullmatch(n) for n in names):
+                share = 0.0
+            elif not up.inside and any(_HINT.search(n) for n in names):
+                share = LOWERED
+        self._open = _Element(tag, up, len(self.elements), barred, up.hidden or tag in HIDDEN, share)
+        self.elements.append(self._open)
+        self._names[tag] = self._names.get(tag, 0) + 1
+        if tag in OUTSIDE or tag in HOLDERS:
+            self._regions.append({})
+        self._regions[-1][tag] = self._regions[-1].get(tag, 0) + 1
 
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
@@ -128,23 +154,11 @@ class PageLines(HTMLParser):
             self._break()
         if tag == "a" and self._in_link:
             self._in_link -= 1
-        element = self._open
-        while element.parent is not None and element.name != tag:
-            if element.name in HOLDERS or element.name in OUTSIDE:
-                # A stray end tag doesn't close the region around it.
-                if not self._has(element.parent, tag) or tag not in BLOCKS:
-                    return
-            element = element.parent
-        if element.parent is not None:
-            self._open = element.parent
-
-    @staticmethod
-    def _has(element: _Element | None, tag: str) -> bool:
-        while element is not None:
-            if element.name == tag:
-                return True
-            element = element.parent
-        return False
+        # A stray end tag closes nothing; an inline one doesn't close the region around it.
+        if self._regions[-1].get(tag) or tag in BLOCKS and self._names.get(tag):
+            while self._open.name != tag:
+                self._leave()
+            self._leave()
 
     def handle_data(self, data: str) -> None:
         if not self._open.hidden:
@@ -155,58 +169,56 @@ class PageLines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._break()
-        while self._settle():
-            pass
+        self._weigh()
 
-    def _settle(self) -> bool:
-        """Spread the words' verdicts downwards; true if one of them was lifted, so that they spread anew.
-
-        An article's wrapper is no menu: verdicts above an article or main
-        element are lifted if it holds more than what would be left without it,
-        or, beside another that is not outside, nine tenths of both.  On a page
-        without such an element, so are those on whatever holds nine tenths.
-        """
-        for e in self._elements:
-            e.outside, e.size = e.barred or e.worded or e.parent is not None and e.parent.outside, 0
-        if not any(e.worded for e in self._elements):
-            return False
+    def _weigh(self) -> None:
+        """What each element leaves of the ratios of its lines."""
         for text, _, _, e in self.lines:
             if not e.barred:
                 e.size += len(text)
-        for e in reversed(self._elements):  # a parent stands before its children
-            if e.parent is not None and not e.worded:
+        for e in reversed(self.elements):
+            if e.parent is not None:
                 e.parent.size += e.size
-        left = self._top.size
-        settled = any(e.name in HOLDERS and e.size and not e.outside for e in self._elements)
-
-        def enough(e: _Element) -> bool:
-            if e.name in HOLDERS:
-                return e.size > (0.9 if settled else 0.5) * (e.size + left)
-            return e.worded and not settled and e.size >= 0.9 * (e.size + left)
-
-        best = max((e for e in self._elements if e.size and e.outside and not e.barred and enough(e)), key=lambda e: (e.name in HOLDERS, e.size), default=None)
-        at = best
+        total = self.elements[0].size
+        holder = max((e for e in self.elements if e.name in HOLDERS and not e.barred and e.parent is not None), key=lambda e: e.size, default=None)
+        if holder is not None and 2 * holder.size <= total:
+            holder = None
+        above = set()
+        at = holder
         while at is not None:
-            at.worded, at = False, at.parent
-        return best is not None
+            above.add(at)
+            at = at.parent
+        for e in self.elements:
+            # A name is wrong on a wrapper around the article, or around nearly all text of a page without one.
+            whole = 10 * e.size >= 9 * total and holder is None or e in above
+            e.factor = (1.0 if e.parent is None or e is holder else e.parent.factor) * (1.0 if whole else e.share)
+            if e.barred:
+                e.factor = 0.0
+        if holder is not None:
+            inner = [False] * len(self.elements)
+            for e in self.elements:
+                inner[e.place] = e is holder or e.parent is not None and inner[e.parent.place]
+                if not inner[e.place]:
+                    e.factor *= LOWERED
 
 
 def content_lines(lines: list[tuple[str, int, int, _Element]], spread: float = 1.0) -> np.ndarray:
-    """Which lines lie in content regions, by smoothed text-to-tag ratios."""
-    ratios = np.array([max(0, len(text) - linked) / max(1, tags) * (0.0 if e.outside else 1.0) for text, linked, tags, e in lines])
+    """Which lines lie in the content region, by smoothed text-to-tag ratios."""
+    factors = np.array([e.factor for _, _, _, e in lines])
+    own = np.log1p(np.array([max(0, len(text) - linked) / max(1, tags) for text, linked, tags, _ in lines]) * factors)
     reach = max(1, int(3 * spread))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / spread) ** 2)
-    smooth = np.convolve(ratios, kernel, "same") / np.convolve(np.ones(len(ratios)), kernel, "same") if len(ratios) > 2 * reach else ratios
-    low, high = smooth.min(), smooth.max()
+    smooth = np.convolve(own, kernel, "same") / np.convolve(np.ones(len(own)), kernel, "same") if len(own) > 2 * reach else own
+    ratios = np.where(factors < 1.0, np.minimum(own, smooth), smooth)
+    low, high = ratios.min(), ratios.max()
     for _ in range(20):  # two cluster centres on a line
         split = (low + high) / 2
-        above, below = smooth[smooth > split], smooth[smooth <= split]
+        above, below = ratios[ratios > split], ratios[ratios <= split]
         new = (below.mean() if len(below) else low, above.mean() if len(above) else high)
         if new == (low, high):
             break
         low, high = new
-    # Long articles hold short blocks: a third of the way up is already content.
-    return smooth >= low + (high - low) / 3 if high > low else smooth > 0
+    return (ratios >= (low + high) / 2 if high > low else ratios > 0) & (factors > 0)
 
 
 def main_text(html: str | None) -> str:
@@ -217,69 +229,56 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     lines = parser.lines
-    if not any(not e.outside for _, _, _, e in lines):
+    if not any(e.factor for _, _, _, e in lines):
         return ""
-    chosen = content_lines(lines)
-    votes: dict[_Element, int] = {}
-    marked: dict[_Element, int] = {}
-    total = 0
-    for (text, _, _, element), content in zip(lines, chosen):
-        if content and not element.outside:
-            total += len(text)
-            at: _Element | None = element
-            while at is not None:
-                votes[at] = votes.get(at, 0) + len(text)
-                if at.name in HOLDERS:
-                    marked[at] = marked.get(at, 0) + len(text)
-                at = at.parent
-    holder = parser._top
-    if marked and max(marked.values()) * 2 > total:
-        holder = max(marked, key=marked.__getitem__)
-    elif votes:
-        # The innermost element that still holds nearly all of the content.
-        holder = min((e for e in votes if votes[e] >= 0.9 * total and e.name not in _ENDED_BY), key=lambda e: (votes[e], -_depth(e)), default=parser._top)
-        holder = _grown(holder, lines)
-
+    marked = content_lines(lines)
+    if not marked.any():
+        return ""
+    first, last = int(np.argmax(marked)), len(lines) - 1 - int(np.argmax(marked[::-1]))
+    inside = _holder(parser, marked)
     kept = []
-    for text, _, _, element in lines:
-        if not element.outside and _within(element, holder):
+    for k, (text, _, _, e) in enumerate(lines):
+        # A whole line is in by standing between marked ones, or in the same part of the page; a lowered one by its own ratio.
+        if marked[k] or e.factor == 1.0 and (first < k < last or inside[e.place]):
             kept.append(text)
     return "\n\n".join(kept)
 
 
-def _grown(holder: _Element, lines: list[tuple[str, int, int, _Element]]) -> _Element:
-    """The furthest parent up to which no level adds text that is mostly links."""
-    parents = [holder]
-    while parents[-1].parent is not None:
-        parents.append(parents[-1].parent)
-    level = {e: k for k, e in enumerate(parents)}
-    added, linked = [0] * len(parents), [0] * len(parents)
-    for text, links, _, element in lines:
-        if not element.outside:
-            at = element
-            while at not in level:
-                at = at.parent
-            added[level[at]] += len(text)
-            linked[level[at]] += links
+def _holder(parser: PageLines, marked: np.ndarray) -> list[bool]:
+    """For each element, whether it lies in the part of the page that holds the marked lines."""
+    elements, votes = parser.elements, [0] * len(parser.elements)
+    for (text, _, _, e), m in zip(parser.lines, marked):
+        if m:
+            votes[e.place] += len(text)
+    for e in reversed(elements):
+        if e.parent is not None:
+            votes[e.parent.place] += votes[e.place]
+    # Going down while one child holds nearly all of the marked text; items and paragraphs are no parts.
+    holder = elements[0]
+    for e in elements:
+        if e.parent is holder and 10 * votes[e.place] >= 9 * votes[0] and e.name not in _ENDED_BY:
+            holder = e
+    chain, at = [], holder
+    while at is not None:
+        chain.append(at)
+        at = at.parent
+    # The level of the chain at which each element hangs, and what each level adds to the one below.
+    level = [len(chain)] * len(elements)
+    for k, e in enumerate(chain):
+        level[e.place] = k
+    known = {e.place for e in chain}
+    for e in elements:
+        if e.place not in known:
+            level[e.place] = level[e.parent.place]
+    added, linked = [0] * len(chain), [0] * len(chain)
+    for text, links, _, e in parser.lines:
+        if e.factor == 1.0:
+            added[level[e.place]] += len(text)
+            linked[level[e.place]] += links
     top = 0
-    while top + 1 < len(parents) and 2 * linked[top + 1] <= added[top + 1]:
+    while top + 1 < len(chain) and 2 * linked[top + 1] <= added[top + 1]:
         top += 1
-    return parents[top]
-
-
-def _depth(element: _Element) -> int:
-    n = 0
-    while element.parent is not None:
-        n, element = n + 1, element.parent
-    return n
-
-
-def _within(element: _Element | None, holder: _Element) -> bool:
-    while element is not None:
-        if element is holder:
-            return True
-        element = element.parent
-    return False
+    return [k <= top for k in level]
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:

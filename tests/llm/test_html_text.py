@@ -1,6 +1,9 @@
 import html
+import math
 import re
+import time
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm.html_text import extract, main_text
@@ -84,3 +87,89 @@ def test_null_pages_and_empty_table(spark):
     pages = spark.createDataFrame([(1, None, None), (1, "u", "")], "page_id long, url string, html string")
     assert [(r.text, r.n_chars) for r in extract(pages).collect()] == [("", 0), ("", 0)]
     assert extract(pages.limit(0)).count() == 0
+
+
+PROSE = "A block of an article that holds a fair number of words, as such blocks do, and {} among them."
+
+
+@pytest.mark.parametrize("wrap", ["article", "main"])
+def test_names_inside_an_article_take_no_content(wrap):
+    blocks = [
+        "<p>{}</p>", "<div class='legal'><p>{}</p></div>", "<section id='related-work'><p>{}</p></section>", "<p class='promo-code'>{}</p>", "<div class='search-results'>{}</div>",
+        "<div class='share-prices'><p>{}</p></div>", "<p id='notice-of-meeting'>{}</p>", "<p>x<sup>2</sup> <math><mi>y</mi></math> <svg><text>z</text></svg> {}</p>", "<p>{}</p>",
+    ]
+    texts = [PROSE.format(f"number {k}") for k in range(len(blocks))]
+    inside = "".join(b.format(t) for b, t in zip(blocks, texts))
+    want = [("x2 y z " if "math" in b else "") + t for b, t in zip(blocks, texts)]
+    assert main_text(page(f"<{wrap}>{inside}</{wrap}>")).split("\n\n") == want
+
+
+def test_regions_inside_an_article_go():
+    outside = (
+        "<aside><p>{0}</p></aside><div class='ad'>{0}</div><div class='box newsletter'><p>{0}</p></div><nav><a href='/'>{0}</a></nav><form><p>{0}</p></form>"
+        "<div role='complementary'>{0}</div><footer><p>{0}</p></footer><div id='cookie-notice'>{0}</div><section id='comments'><div><p>{0}</p><p>{0}</p></div></section>"
+    ).format(PROSE.format("nothing"))
+    assert main_text(page(ARTICLE[:-10] + outside + "</article>")) == WANT
+
+
+def test_the_clustering_decides(monkeypatch):
+    from ledgerloom.llm import html_text
+
+    paragraphs = "".join(f"<p>{PROSE.format(k)}</p>" for k in range(8))
+    teaser = "<div><p>A short teaser.</p></div>"
+    html = page(ARTICLE.replace("</article>", paragraphs + "</article>"))
+    bare = f"<html><body>{teaser}<div>{paragraphs}</div></body></html>"
+    whole, plain = main_text(html), main_text(bare)
+    assert whole.startswith(WANT) and len(whole.split("\n\n")) == 12 and len(plain.split("\n\n")) >= 8
+    real = html_text.content_lines
+    monkeypatch.setattr(html_text, "content_lines", lambda lines, spread=1.0: real(lines, spread) & False)
+    assert main_text(html) == main_text(bare) == ""
+
+    # Marking one part or the other of a page without an article gives one text or the other.
+    links = "<ul>" + "<li><a href='/x'>Some other page of the site</a></li>" * 6 + "</ul>"
+    parts = f"<html><body><div><p>One part.</p><p>{PROSE}</p></div>{links}<div><p>{PROSE}</p><p>Other part.</p></div></body></html>"
+    for keep, want in ((slice(0, 2), ["One part.", PROSE]), (slice(8, 10), [PROSE, "Other part."])):
+
+        def only(lines, spread=1.0):
+            found = np.zeros(len(lines), bool)
+            found[keep] = True
+            return found
+
+        monkeypatch.setattr(html_text, "content_lines", only)
+        assert main_text(parts).split("\n\n") == want
+
+
+def test_threshold_of_smoothed_ratios():
+    from ledgerloom.llm.html_text import PageLines, content_lines
+
+    parser = PageLines()
+    parser.feed("<ul>" + "<li><a href='/'>link text here</a></li>" * 8 + "</ul>" + f"<p>{PROSE}</p>" * 3 + "<h2>Short</h2>" + f"<p>{PROSE}</p>" * 3 + "<p class='ad'>Short.</p>")
+    parser.close()
+    lines = parser.lines
+    own = np.log1p([max(0, len(t) - linked) / max(1, tags) * e.factor for t, linked, tags, e in lines])
+    weights = [math.exp(-d * d / 2) for d in range(4)]
+    smooth = []
+    for k in range(len(own)):
+        near = [(weights[abs(k - j)], own[j]) for j in range(len(own)) if abs(k - j) < 4]
+        smooth.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+    smooth[-1] = own[-1]  # the advert has no help from its neighbours
+    marked = content_lines(lines).tolist()
+    low, high = (np.mean([s for s, m in zip(smooth, marked) if m is side]) for side in (False, True))
+    assert marked == [bool(s >= (low + high) / 2) for s in smooth]
+    assert marked[11] and not marked[0] and not marked[-1]
+
+
+def test_deep_pages_take_linear_time():
+    def seconds(html):
+        begun = time.monotonic()
+        main_text(html)
+        return time.monotonic() - begun
+
+    for level, stray in (("<div class='content'>", ""), ("<div class='menu'>", "</b>"), ("<section><i>", "</b></p>"), ("<article><b>", "</i>"), ("<b><nav>", "</b>")):
+        short, long = ((level * n + "<p>deep text</p>" + stray * n) for n in (5_000, 50_000))
+        assert seconds(long) < 12 and seconds(long) < 40 * max(seconds(short), 0.05)
+    assert main_text("<div>" * 50_000 + PROSE) == PROSE
+
+
+def test_head_without_an_end_hides_nothing_of_the_body():
+    assert main_text(f"<html><head><title>T</title><body><p>{PROSE}</p></body></html>") == PROSE
