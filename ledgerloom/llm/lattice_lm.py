@@ -1,28 +1,34 @@
 """Language-model scores: subword lattices over an existing vocabulary.
 
-A word is either one that the training documents hold (an edge over the whole
-word, weighted by its count) or a new one, spelt by pieces of a public
-tokenizer's vocabulary; a new word's probability is the sum over all of its
-segmentations, by a forward recursion in log space.  The vocabulary's own
-scores (ranks) give the first weights, as 1 / (rank + 2);
-expectation-maximisation over the distinct training words then adapts them.
-
-Word weights are held per class of documents (their language, where a column
-tells it), backed off to all classes and then to the lattice, each step by the
-share of words that occur once (Good and Turing).  A document's own class is
-not used to score it: its probability is the sum over all classes.  Within a
-document, words recur: its marginal probability integrates over a Dirichlet
-prior around the word weights, so a word seen earlier in the document costs
-less.  After each word the document ends or goes on.
+A text is a run of words, each with a mark of where it starts; a word is spelt
+by pieces of a public tokenizer's vocabulary, and its probability is the sum
+over all of its segmentations, each weighted by the vocabulary's own scores, by
+a forward recursion in log space.  No piece spans two words, so a document's
+marginal probability is the product over its words; after each word it ends or
+goes on, with the share of ends among the tokens of the training documents.
+That is ``score``.  The vocabulary's scores are ranks (see ``read_pieces``);
+for ``score`` they are never refitted.
+
+``word_score`` is what the training documents add: a word that they hold also
+has an edge over the whole of it, weighted by its count, and the pieces' weights
+are adapted by expectation-maximisation over the distinct training words.  The
+weights of words are held per class of documents (their language, where a column tells it), backed off to
+all classes and then to the lattice, each step by the share of words that occur
+once (Good and Turing).  A document's own class is not used to score it: its
+probability is the sum over all classes.  Within a document, words recur: its
+marginal probability integrates over a Dirichlet prior around the word weights.
 
 Words are counted over all training documents.  Blocks of documents keep, per
-distinct word, one row; the counts and the lattice scores return to the block
-by a shuffle on the word and one on the block.  Nothing grows on the driver: it
-holds one weight per piece of the vocabulary.
+distinct word, one row; a word's counts are summed before its lattice is
+walked, once, and return to the blocks by a join on the word, of which each
+block has one row at most, and a shuffle on the block.  Nothing grows on the
+driver: it holds one weight per piece of the vocabulary.
 
 Null and empty texts consist of the end alone.  Rows with a null id count as
 training rows and are scored like the others.  Repeated rows are scored, and
-counted, each.  An empty table gives an empty result.
+counted, each.  Texts and words are read whole, however long.  Extra columns
+are ignored, whatever their names (but for ``class_col``); an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.grouped import in_bulk
@@ -43,7 +49,12 @@ WORD_MARK = b" "  # no word holds a space
 
 
 def read_pieces(model_file: str) -> list[tuple[bytes, float]]:
-    """Pieces of a sentencepiece model that can occur in a marked word, with first weights."""
+    """Pieces of a sentencepiece model that can occur in a marked word, with their weights.
+
+    The scores of such a file are ranks of merges (0, -1, -2, ...), not log
+    probabilities, so they become weights by Zipf's law: 1 / (rank + 2); a
+    single byte has the last rank.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -252,16 +263,18 @@ def score(
     concentration: float = 3200.0,
     block_bytes: int = 24 << 20,
 ) -> DataFrame:
-    """Score every document under a model of the documents that are not held out.
-
-    ``rounds`` passes of expectation-maximisation start from the vocabulary's
-    own weights, which stay in as ``prior_weight`` pseudo-pieces.
-    ``concentration`` (16 or more) is the strength of the Dirichlet prior.  ``class_col``, if
-    the table has it, tells the classes of training documents; the
-    ``max_classes`` most frequent values have one each, all others share one
-    more.  Returns ``id_col``, ``held_out``, ``n_tokens``, ``n_known``,
-    ``train_tokens``, ``base_score`` (add-one word unigrams) and ``score``,
-    both log10.
+    """Score every document; counts come from the documents that are not held out.
+
+    For ``word_score``, ``rounds`` passes of expectation-maximisation start from
+    the vocabulary's own weights, which stay in as ``prior_weight``
+    pseudo-pieces; ``concentration`` (16 or more) is the strength of the
+    Dirichlet prior.
+    ``class_col``, if the table has it, tells the classes of training
+    documents; the ``max_classes`` most frequent values have one each, all
+    others share one more.  Returns ``id_col``, ``held_out``, ``n_tokens``,
+    ``n_known``, ``train_tokens``, ``base_score`` (add-one word unigrams),
+    ``score`` (lattices under the vocabulary's scores) and ``word_score``
+    (lattices with word edges); the scores are log10.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -284,13 +297,13 @@ def score(
     schema = f"block long, word binary, n long, idx int, id {id_type}, held boolean, packed binary, z int, {', '.join(f'{c} long' for c in per_class)}"
     blocks = materialise(rows.mapInArrow(_count_blocks(block_bytes, classes, names), schema), "lm-blocks")
 
-    word = Window.partitionBy("word")
-    counted = (
-        blocks.filter("word is not null").select("block", "idx", "word", *[F.sum(c).over(word).alias(c) for c in per_class], (F.row_number().over(word.orderBy("block")) == 1).alias("first"))
-        .withColumn("c", sum((F.col(c) for c in per_class), F.lit(0)))
-    )
-    counted = materialise(counted, "lm-words")
-    known = counted.filter("first and c > 0")
+    pieces, weights = zip(*read_pieces(model_file))
+    weights = np.array(weights) / sum(weights)
+    shared_pieces = spark.sparkContext.broadcast(list(pieces))
+    of_words = blocks.filter("word is not null")
+    words = of_words.groupBy("word").agg(*[F.sum(c).alias(c) for c in per_class])
+    words = materialise(words.withColumn("c", sum((F.col(c) for c in per_class), F.lit(0))), "lm-words")
+    known = words.filter("c > 0")
     totals = known.agg(
         F.count("*").alias("distinct"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in per_class], *[F.count_if(F.col(c) == 1).alias(f"once_{c}") for c in per_class],
@@ -301,13 +314,10 @@ def score(
     n_ends = sum(trained.values())
     train_tokens, distinct = n_words + n_ends, totals["distinct"] + (n_ends > 0)
 
-    pieces, prior = zip(*read_pieces(model_file))
-    prior = np.array(prior) / sum(prior)
-    shared_pieces = spark.sparkContext.broadcast(list(pieces))
-    weights = prior
+    fitted = weights
     for _ in range(rounds if n_words else 0):
-        uses = _expected_uses(known, shared_pieces, weights)
-        weights = (uses + prior_weight * prior) / (uses.sum() + prior_weight)
+        uses = _expected_uses(known, shared_pieces, fitted)
+        fitted = (uses + prior_weight * weights) / (uses.sum() + prior_weight)
 
     # Pseudo-counts keep every text possible.  Per class: all words, the share of words
     # new to the class, and the share of those that are new to all classes.
@@ -317,21 +327,25 @@ def score(
     if not n_words:
         new_here[:], new_anywhere[:] = 1.0, 1.0
     class_logs = np.log([(trained.get(z, 0) + 1.0) / (n_ends + classes) for z in range(classes)])
-    record = np.dtype([("idx", "<i4"), ("c", "<i8"), ("lp", "<f4", (classes,))])
-    scored = _word_scores(shared_pieces, weights, record, sizes, new_here, new_anywhere, max(n_words, 1))
-    returned = counted.select("block", "idx", "word", "c", *per_class).mapInArrow(scored, "block long, scores binary")
+    record = np.dtype([("idx", "<i4"), ("c", "<i8"), ("spelt", "<f8"), ("lp", "<f4", (classes,))])
+    scored = _word_scores(record, sizes, new_here, new_anywhere, max(n_words, 1))
+    spelt = words.select("word", "c", *per_class).mapInArrow(
+        _spelt(shared_pieces, weights, fitted), f"word binary, c long, {', '.join(f'{c} long' for c in per_class)}, spelt double, fitted double",
+    )
+    returned = of_words.select("block", "idx", "word").join(spelt, "word").select("block", "idx", "c", "spelt", "fitted", *per_class).mapInArrow(scored, "block long, scores binary")
     ends = (n_ends + 1.0) / (n_words + n_ends + 2.0)
     add_one = float(np.log10(train_tokens + distinct + 1))
     end_base = float(np.log10(n_ends + 1)) - add_one
 
     def join_block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         table = np.frombuffer(b"".join(right.column("scores").to_pylist()), record)
-        count, log_x = np.zeros(len(table), np.int64), np.zeros((len(table), classes))
-        count[table["idx"]], log_x[table["idx"]] = table["c"], table["lp"] + math.log(concentration)
+        count, spelt, log_x = np.zeros(len(table), np.int64), np.zeros(len(table)), np.zeros((len(table), classes))
+        count[table["idx"]], spelt[table["idx"]], log_x[table["idx"]] = table["c"], table["spelt"], table["lp"] + math.log(concentration)
         base, x = np.log10(count + 1.0) - add_one, np.exp(log_x)
         blobs = [np.frombuffer(b, "<u4").astype(np.int64).reshape(2, -1) for b in left.column("packed").to_pylist()]
         sizes = np.array([b.shape[1] for b in blobs])
-        tokens, n_known, base_sum, by_class = np.zeros(len(blobs), np.int64), np.zeros(len(blobs), np.int64), np.zeros(len(blobs)), np.zeros((len(blobs), classes))
+        tokens, n_known, base_sum, lattice = np.zeros(len(blobs), np.int64), np.zeros(len(blobs), np.int64), np.zeros(len(blobs)), np.zeros(len(blobs))
+        by_class = np.zeros((len(blobs), classes))
         reach = np.cumsum(sizes)
         at = 0
         while at < len(blobs):  # some documents at a time, so many (document, word) pairs
@@ -343,22 +357,24 @@ def score(
                 tokens[filled] = np.add.reduceat(times, starts)
                 n_known[filled] = np.add.reduceat(np.where(count[words] > 0, times, 0), starts)
                 base_sum[filled] = np.add.reduceat(base[words] * times, starts)
+                lattice[filled] = np.add.reduceat(spelt[words] * times, starts)
                 by_class[filled] = np.add.reduceat(log_rising(x[words], log_x[words], times), starts, axis=0)
             at = to
         by_class += class_logs
         top = by_class.max(axis=1)
         recur = top + np.log(np.exp(by_class - top[:, None]).sum(axis=1)) - _lgamma(concentration + tokens) + float(_lgamma(np.float64(concentration)))
-        marginal = (recur + tokens * math.log1p(-ends) + math.log(ends)) / math.log(10.0)
+        lengths = tokens * math.log1p(-ends) + math.log(ends)
         n_known += n_ends > 0
         base_sum += end_base
         rows = left.num_rows
         return pa.table({
             "id": left.column("id"), "held_out": left.column("held"), "n_tokens": left.column("n"),
             "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([train_tokens] * rows, pa.int64()),
-            "base_score": pa.array(base_sum, pa.float64()), "score": pa.array(marginal, pa.float64()),
+            "base_score": pa.array(base_sum, pa.float64()),
+            "score": pa.array((lattice + lengths) / math.log(10.0), pa.float64()), "word_score": pa.array((recur + lengths) / math.log(10.0), pa.float64()),
         })
 
-    result = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    result = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double"
     documents = blocks.filter("word is null").select("block", "id", "held", "n", "packed")
     return (
         documents.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(join_block, result)
@@ -400,29 +416,35 @@ def _expected_uses(known: DataFrame, shared_pieces, weights: np.ndarray) -> np.n
     return out
 
 
-def _word_scores(shared_pieces, weights: np.ndarray, record: np.dtype, sizes: np.ndarray, new_here: np.ndarray, new_anywhere: np.ndarray, n_words: int):
-    """Task: counted words -> packed (idx, count, log probability by class), one row per block and batch."""
+def _spelt(shared_pieces, weights: np.ndarray, fitted: np.ndarray):
+    """Task: (word, counts) -> the same and the log of the word's lattice probability under both weights."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared_pieces)
         for batch in in_bulk(batches, 20_000):
-            words = batch.column(2).to_pylist()
-            place = {}
-            where = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
-            count = batch.column(3).to_numpy()
-            spelt = lattice.log_probs(list(place), weights)[where, None]
-            here = np.stack([batch.column(4 + z).to_numpy() for z in range(len(sizes))], axis=1)
+            found = [pa.array(lattice.log_probs(batch.column(0).to_pylist(), w), pa.float64()) for w in (weights, fitted)]
+            yield pa.record_batch([*batch.columns, *found], names=[*batch.schema.names, "spelt", "fitted"])
+
+    return work
+
+
+def _word_scores(record: np.dtype, sizes: np.ndarray, new_here: np.ndarray, new_anywhere: np.ndarray, n_words: int):
+    """Task: counted words -> packed (idx, count, log probabilities), one row per block and batch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_bulk(batches, 20_000):
+            count, spelt, fitted = (batch.column(k).to_numpy() for k in (2, 3, 4))
+            here = np.stack([batch.column(5 + z).to_numpy() for z in range(len(sizes))], axis=1)
             seen = (1 - new_here) * (here / sizes) + new_here * (1 - new_anywhere) * (count[:, None] / n_words)
             with np.errstate(divide="ignore"):  # words that were never seen
-                mixed = np.logaddexp(np.log(seen), np.log(new_here * new_anywhere) + spelt)
-            table = np.empty(len(words), record)
-            table["idx"], table["c"] = batch.column(1).to_numpy(), count
-            table["lp"] = mixed
+                mixed = np.logaddexp(np.log(seen), np.log(new_here * new_anywhere) + fitted[:, None])
+            table = np.empty(len(count), record)
+            table["idx"], table["c"], table["spelt"], table["lp"] = batch.column(1).to_numpy(), count, spelt, mixed
             block = batch.column(0).to_numpy()
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order])) + 1
             parts = np.split(table[order], cuts)
-            keys = block[order][np.concatenate([[0], cuts])] if len(words) else block[:0]
+            keys = block[order][np.concatenate([[0], cuts])] if len(count) else block[:0]
             yield pa.record_batch(
                 [pa.array(keys, pa.int64()), pa.array([p.tobytes() for p in parts if len(p)], pa.binary())], names=["block", "scores"],
             )

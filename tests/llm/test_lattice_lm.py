@@ -37,6 +37,43 @@ def test_sum_over_all_segmentations():
     assert np.isclose((uses * lengths).sum(), sum(len(w) + 1 for w in words))
 
 
+def test_score_is_the_sum_over_all_segmentations_under_the_vocabulary(spark):
+    """By hand: every segmentation of every word, weighted by the scores that stand in the vocabulary's file."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    weight = {}
+    for k in range(model.get_piece_size()):
+        if model.is_byte(k):
+            name, rank = bytes([int(model.id_to_piece(k)[3:5], 16)]), model.get_piece_size()
+        elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
+            name, rank = model.id_to_piece(k).replace("▁", " ").encode(), -model.get_score(k)
+        else:
+            continue
+        if b" " not in name[1:]:
+            weight[name] = max(weight.get(name, 0), 1 / (rank + 2))
+    total = sum(weight.values())
+
+    def segmentations(text):
+        if not text:
+            yield 1.0
+        for k in range(1, len(text) + 1):
+            if text[:k] in weight:
+                for rest in segmentations(text[k:]):
+                    yield weight[text[:k]] / total * rest
+
+    texts = ["the cat sat", "The  CAT\tsat", "", None, "über naïve", "xqzt", "a a a b", "日本 x", "information"]
+    rows = list(enumerate(texts))
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows}
+    words = {k: (t or "").encode().lower().split() for k, t in rows}
+    n_words, n_ends = (sum(f(k) for k, _ in rows if not held[k]) for f in (lambda k: len(words[k]), lambda k: 1))
+    end = (n_ends + 1) / (n_words + n_ends + 2)
+    got = {r.doc_id: r for r in lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), MODEL).collect()}
+    for k, _ in rows:
+        want = math.log10(end) + sum(math.log10((1 - end) * sum(segmentations(b" " + w))) for w in words[k])
+        assert math.isclose(got[k].score, want, rel_tol=1e-9), texts[k]
+
+
 def docs():
     base = ["the cat sat on the mat", "the dog ate the cat", "", None, "THE Cat", "über straße über", "zzz unknownword", "a a a a a a a", "x" * 3000]
     return [(k, base[k % len(base)] and base[k % len(base)] + (f" w{k}" if k % 5 == 0 else "")) for k in range(120)] + [(None, "the end")]
@@ -44,7 +81,7 @@ def docs():
 
 def test_base_score_and_counts(spark):
     rows = docs()
-    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as block", "2 as n")
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as block", "2 as n", "'w' as word")
     got = lattice_lm.score(table, MODEL, block_bytes=600).collect()
     assert len(got) == len(rows)
 
@@ -60,7 +97,7 @@ def test_base_score_and_counts(spark):
         assert r.held_out == held[k] and r.train_tokens == n and r.n_tokens == len(tokens(text))
         assert r.n_known == sum(counts[w] > 0 for w in tokens(text))
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(text)), rel_tol=1e-9)
-        assert r.score < 0 and math.isfinite(r.score)
+        assert r.score < 0 and math.isfinite(r.score) and r.word_score < 0 and math.isfinite(r.word_score)
 
 
 def test_probabilities_of_all_texts_stay_below_one(spark):
@@ -69,8 +106,9 @@ def test_probabilities_of_all_texts_stay_below_one(spark):
     probes = [" ".join(c) for n in range(0, 7) for c in itertools.product(["ab", "b"], repeat=n)]
     held = [k for k in range(1000, 9000) if zlib.crc32(str(k).encode()) % 7 == 2][: len(probes)]
     table = spark.createDataFrame(rows + list(zip(held, probes)), "doc_id long, text string")
-    mass = sum(10 ** r.score for r in lattice_lm.score(table, MODEL).collect() if r.doc_id >= 1000)
-    assert 0.5 < mass <= 1.0 + 1e-9
+    found = [r for r in lattice_lm.score(table, MODEL).collect() if r.doc_id >= 1000]
+    assert 0.5 < sum(10 ** r.word_score for r in found) <= 1.0 + 1e-9
+    assert sum(10 ** r.score for r in found) <= 1.0 + 1e-9
 
 
 @pytest.mark.parametrize("rows", [[], [(4, "only held out")]])
