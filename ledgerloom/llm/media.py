@@ -10,10 +10,11 @@ against every digest before its samples are read.
 
 Null texts count as empty.  Equal texts are one file, so copies never multiply
 the work; they have equal values.  Rows with a null id, and repeated ids, are
-reported each; in the notes of the store the digest of its text stands for a
-null id, so such a file lends and borrows like any other.  A file or chunk that
-is missing when it is read back is an error, never a missing row.  An empty
-table gives an empty result.
+reported each; rows that agree in id and text (or in text, without ids) are
+stored once.  Texts are read whole, however long, and a chunk or file that very
+many others share is spread over all tasks.  A file or chunk that is missing
+when it is read back is an error, never a missing row.  Extra columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import materialise, ship_package
+from ledgerloom.llm.skew import join_counted, row_key
+from ledgerloom.session import discard, materialise, ship_package
 
 SAMPLE_RATE = 8000
 _GEAR = np.random.default_rng(29).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -116,20 +118,19 @@ _STORE_NAMES = ["media", "n_bytes", "chunks", "own", "lent", "borrows"]
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: (text, notes on what differs from keeping all) -> rows of the store.
+    """Task: (text, note on what differs from keeping all) -> rows of the store.
 
-    ``own`` holds, in order, the chunks that this file keeps: those that no
-    note calls borrowed, each at its first place in the file.
+    ``own`` holds, in order, the chunks that this file keeps: those that the
+    note doesn't call borrowed, each at its first place in the file.
     """
     for batch in batches:
         out = [[] for _ in _STORE_NAMES]
-        for text, notes in zip(batch.column(0), batch.column(1).to_pylist()):
+        for text, note in zip(batch.column(0), batch.column(1).to_pylist()):
+            if note and note["copy"]:
+                continue
             payload, n_bytes = to_payload(text.as_py())
             data = to_wav(payload)
             media = _digest(data)
-            note = next((n for n in notes or () if n["media"] == media), None)
-            if note is not None and note["copy"]:
-                continue
             borrowed = set(note["borrowed"]) if note else set()
             chunks = cut(data)
             digests, own = [_digest(c) for c in chunks], []
@@ -182,65 +183,74 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=_RESULT_NAMES)
 
 
-def store(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", broadcast_notes: int = 500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def store(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", broadcast_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Store every text as media: (documents, store, loans).
 
     ``documents``: (id, media).  ``store``: one row per distinct file with its
     chunk list and the chunks that it keeps.  ``loans``: (media, digest), the
-    chunks that a file borrows.  Up to ``broadcast_notes`` notes on copies and
-    shared chunks are broadcast to the second read of the texts; more go by a
-    shuffled join.
+    chunks that a file borrows.  Notes on copies and shared chunks are broadcast
+    to the second read of the texts if they measure ``broadcast_bytes`` at most;
+    else they go by a shuffled join.
     """
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    texts = texts.withColumn("key", F.coalesce(F.col("id").cast("string"), F.sha2(F.coalesce("t", F.lit("")), 256)))
-    lists = materialise(texts.mapInArrow(_lists, f"id {kind}, key string, media binary, chunks array<binary>"), "media-lists")
-
-    files = lists.groupBy("media").agg(F.min("key").alias("keeper"))
-    refs = (
-        lists.select("media", "chunks").dropDuplicates(["media"])
-        .select("media", F.posexplode("chunks").alias("seq", "digest"))
-    )
-    shared = refs.groupBy("digest").agg(F.min(F.struct("media", "seq")).alias("owner"), F.count("*").alias("uses")).filter("uses > 1")
-    uses = materialise(refs.join(shared, "digest").select("media", "seq", "digest", "owner"), "media-uses")
-    loans = uses.filter("media <> owner.media").select("media", "seq", "digest")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("t"), row_key(F.col(id_col), text).alias("key"))
+    lists = materialise(texts.mapInArrow(_lists, f"id {kind}, key binary, media binary, chunks array<binary>"), "media-lists")
+
+    # The smallest key keeps the file.
+    files = materialise(lists.groupBy("media").agg(F.min("key").alias("keeper"), F.count("*").alias("rows")), "media-files")
+    refs = lists.select("media", "chunks").dropDuplicates(["media"]).select("media", F.posexplode("chunks").alias("seq", "digest"))
+    refs = materialise(refs, "media-refs")
+    shared = refs.groupBy("digest").agg(F.min(F.struct("media", "seq")).alias("owner"), F.count("*").alias("rows")).filter("rows > 1")
+    shared = materialise(shared, "media-shared")
+    loans = join_counted(refs, shared, "digest", refs.count()).filter("media <> owner.media").select("media", "seq", "digest")
+    loans = materialise(loans, "media-loans")
     borrowed = loans.groupBy("media").agg(F.collect_list("seq").alias("borrowed"))
-    lent = loans.select("digest").distinct().join(uses.select("digest", "owner").distinct(), "digest")
+    lent = loans.select("digest").distinct().join(shared, "digest")
     lent = lent.groupBy(F.col("owner.media").alias("media")).agg(F.collect_list("owner.seq").alias("lent"))
 
     # A note for whoever is not simply the keeper of all of its chunks.
     nothing = F.array().cast("array<int>")
-    keepers = files.join(borrowed.join(lent, "media", "full"), "media").select(
-        F.col("keeper").alias("key"),
-        F.struct("media", F.lit(False).alias("copy"), F.coalesce("borrowed", nothing).alias("borrowed"), F.coalesce("lent", nothing).alias("lent")).alias("note"),
-    )
-    copies = (
-        lists.select("key", "media").distinct().join(files, "media").filter("key <> keeper")
-        .select("key", F.struct("media", F.lit(True).alias("copy"), nothing.alias("borrowed"), nothing.alias("lent")).alias("note"))
-    )
-    notes = keepers.union(copies).groupBy("key").agg(F.collect_list("note").alias("notes"))
-    notes = materialise(notes, "media-notes")
-    if notes.count() <= broadcast_notes:
-        notes = F.broadcast(notes)
-    noted = texts.join(notes, "key", "left").select("t", "notes")
-    return lists.select("id", "media"), materialise(noted.mapInArrow(_keep, _STORE), "media-store"), loans.select("media", "digest").distinct()
+
+    def note(copy: bool, borrowed: Column, lent: Column) -> Column:
+        return F.struct(F.lit(copy).alias("copy"), borrowed.alias("borrowed"), lent.alias("lent")).alias("note")
+
+    keepers = files.join(borrowed.join(lent, "media", "full"), "media")
+    keepers = keepers.select(F.col("keeper").alias("key"), note(False, F.coalesce("borrowed", nothing), F.coalesce("lent", nothing)))
+    copies = join_counted(lists.select("key", "media"), files, "media", lists.count()).filter("key <> keeper").select("key").distinct()
+    # Of rows that agree in id and text, the first read leaves all out, and one comes back by itself.
+    again = materialise(lists.groupBy("key").count().filter("count > 1").select("key"), "media-again")
+    alone = keepers.join(again, "key", "left_anti")
+    notes = materialise(alone.union(copies.union(again).distinct().select("key", note(True, nothing, nothing))), "media-notes")
+    size = notes.agg(F.sum(64 + 4 * (F.size("note.borrowed") + F.size("note.lent")))).first()[0] or 0
+    noted = texts.select("key", "t").join(F.broadcast(notes) if size <= broadcast_bytes else notes, "key", "left").select("t", "note")
+    if not again.isEmpty():
+        kept = again.join(files.select(F.col("keeper").alias("key")), "key").join(keepers, "key", "left")
+        one = texts.select("key", "t").join(again, "key").groupBy("key").agg(F.any_value("t").alias("t"))
+        noted = noted.union(one.join(kept, "key").select("t", "note"))
+    kept = materialise(noted.mapInArrow(_keep, _STORE), "media-store")
+    for table in (refs, shared, notes, again):
+        discard(table)
+    return lists.select("id", "media"), kept, loans.select("media", "digest").distinct()
 
 
 def load_back(kept: DataFrame, loans: DataFrame) -> DataFrame:
     """Rebuild, verify and read every stored file; one row of values per file."""
     alone = kept.filter("not borrows").select("media", "n_bytes", "chunks", "own", F.lit(None).cast("array<binary>").alias("extra"))
-    chunks = kept.filter("size(lent) > 0").select("chunks", "own", "lent").mapInArrow(_lend, "digest binary, chunk binary").dropDuplicates(["digest"])
-    fetched = loans.join(chunks, "digest", "left").groupBy("media").agg(F.collect_list("chunk").alias("extra"))
+    chunks = kept.filter("size(lent) > 0").select("chunks", "own", "lent").mapInArrow(_lend, "digest binary, chunk binary")
+    chunks = materialise(chunks.join(loans.groupBy("digest").agg(F.count("*").alias("rows")), "digest"), "media-lent")
+    # A chunk has 8 KB at most, so the most borrowed ones, which are broadcast, have 16 MB.
+    fetched = join_counted(loans, chunks, "digest", loans.count()).groupBy("media").agg(F.collect_list("chunk").alias("extra"))
     borrowing = kept.filter("borrows").join(fetched, "media", "left").select("media", "n_bytes", "chunks", "own", "extra")
     parts = [part.mapInArrow(_rebuild, _RESULT) for part in (alone, borrowing)]
-    return parts[0].union(parts[1]).dropDuplicates(["media"])
+    return parts[0].union(parts[1])
 
 
 def media_features(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Store all texts as media, read them back, and give each document its file's values."""
     documents, kept, loans = store(docs, text_col, id_col)
-    values = load_back(kept, loans)
-    every = documents.join(values, "media", "left")
+    values = load_back(kept, loans).join(documents.groupBy("media").agg(F.count("*").alias("rows")), "media")
+    every = join_counted(documents, materialise(values, "media-values"), "media", documents.count()).drop("rows")
     found = F.when(F.col("n_chunks").isNotNull(), F.col("n_bytes")).otherwise(F.raise_error(F.concat(F.lit("nothing stored for media "), F.lower(F.hex("media")))))
     return every.withColumn("n_bytes", found).drop("media").withColumnRenamed("id", id_col)

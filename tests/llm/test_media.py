@@ -23,8 +23,8 @@ def texts():
 
 
 def test_every_text_comes_back(spark):
-    rows = list(enumerate(texts())) + [(None, "no id"), (5, "same"), (7, "another text of a used id")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as media", "2 as n_bytes")
+    rows = list(enumerate(texts())) + [(None, "no id"), (5, "same"), (7, "another text of a used id")] + [(8, texts()[8])] * 3 + [(None, texts()[9])] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as media", "2 as n_bytes", "3 as rows", "4 as key")
     got = media.media_features(docs).collect()
     assert len(got) == len(rows)
     have = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got)
@@ -44,9 +44,11 @@ def test_texts_without_an_id_lend_and_borrow(spark):
     got = media.media_features(docs).collect()
     have = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got)
     assert have == sorted((k if k is not None else -1, *expected(t)) for k, t in rows)
-    stored = media.store(docs.dropDuplicates())[1].collect()
-    chunks = [c for r in stored for c in r.own]
-    assert len(chunks) == len(set(chunks)) and len(stored) == len({r.media for r in stored})
+    # Each file and each chunk once, repeated rows and rows without an id included.
+    for limit in (0, 1 << 20):
+        stored = media.store(docs.union(docs.limit(4)), broadcast_bytes=limit)[1].collect()
+        chunks = [c for r in stored for c in r.own]
+        assert len(chunks) == len(set(chunks)) and len(stored) == len({r.media for r in stored}) == len({t for _, t in rows})
 
 
 def test_a_lost_chunk_or_file_is_an_error(spark):
@@ -66,7 +68,7 @@ def test_shared_chunks_are_stored_once(spark):
 
 def test_notes_by_shuffled_join_give_the_same(spark):
     docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
-    one = {bytes(r.media): [bytes(c) for c in r.own] for r in media.store(docs, broadcast_notes=0)[1].collect()}
+    one = {bytes(r.media): [bytes(c) for c in r.own] for r in media.store(docs, broadcast_bytes=0)[1].collect()}
     two = {bytes(r.media): [bytes(c) for c in r.own] for r in media.store(docs)[1].collect()}
     assert one == two
 
