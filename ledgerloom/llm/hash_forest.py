@@ -1,19 +1,29 @@
 """Approximate nearest neighbours by a forest of sorted hash strings.
 
-Vectors are dealt to blocks of bounded size.  A block keeps, per tree, its
-vectors' hash strings (signs of random projections) in sorted order.  A query
-descends each tree to its longest matching prefix; then all trees ascend
-together, one bit at a time, each ascent widening the query's range in every
-sorted array, until the ranges hold enough distinct candidates.  Candidates are
-scored exactly; blocks' best lists meet in one ranking per query.
-
-Queries come in groups of bounded size, each of which meets each block once, so
-no task holds more than one block and one group of queries.
+Every tree gives each vector a long hash string: the signs of its products with
+random directions.  A query descends each tree to its longest matching prefix;
+then all trees ascend together, one bit at a time, each ascent widening the
+query's range in every sorted array, until the ranges hold enough distinct
+candidates.  Candidates are scored exactly.
+
+The arrays are cut into blocks of rows.  All blocks use the same directions, so
+at any prefix length the ranges of the blocks together are the range of one
+array of the whole table; a query stops ascending in a block when that block's
+part of the candidates is in hand.  How many it wants in all grows more slowly
+than the table (``wanted``), so the share of rows that it touches falls.
+
+A row goes to one block, a query to each.  A task builds a block's forest and
+then streams the queries through it, batch by batch, so it holds one block and
+one batch, however many queries there are.  Blocks' best lists meet in one
+ranking per query.
 
 Vectors that are null, all zero, or hold null or non-finite components take no
-part, neither as queries nor as candidates; nor do rows with a null id, or with
-a length other than that of the query.  Equal vectors rank by id.  Repeated ids
-are separate candidates; a query leaves out every row of its own id.
+part, neither as queries nor as candidates; nor do rows with a null id.  Only
+vectors of the query's length are its candidates.  Equal vectors rank by id.
+Repeated ids are separate candidates and separate queries, each of which leaves
+out its own row only; equal ids of equal score may rank either way.  Extra
+columns are ignored, whatever their names; tables that are empty or hold one row
+give an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import ship_package
+from ledgerloom.session import materialise, ship_package
+
+
+def wanted(rows: int, scale: float = 4.3, power: float = 0.72) -> int:
+    """How many candidates a query gathers in a table of so many rows."""
+    return min(rows, int(scale * rows**power) + 1)
 
 
 class HashForest:
@@ -48,22 +63,17 @@ class HashForest:
     def ranges(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per tree, prefix length and query, where the matching rows begin and end."""
         lows, highs = [], []
+        rest = np.arange(self.bits, -1, -1)[:, None]
         for planes, strings in zip(self._planes, self._sorted):
-            own = self._strings(queries, planes)
-            low, high = [], []
-            for length in range(self.bits + 1):
-                rest = self.bits - length
-                prefix = (own >> rest) << rest
-                low.append(np.searchsorted(strings, prefix, "left"))
-                high.append(np.searchsorted(strings, prefix + (1 << rest), "left"))
-            lows.append(low)
-            highs.append(high)
+            prefix = self._strings(queries, planes) >> rest << rest
+            lows.append(np.searchsorted(strings, prefix, "left").astype(np.int32))
+            highs.append(np.searchsorted(strings, prefix + (1 << rest), "left").astype(np.int32))
         return np.array(lows), np.array(highs)
 
     def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
         """For each query, rows found when ``enough`` of them (or all) are in hand."""
         lows, highs = self.ranges(queries)
-        gathered = (highs - lows).sum(axis=0)
+        gathered = (highs - lows).sum(axis=0, dtype=np.int64)
         marked = np.zeros(len(self.vectors), bool)
         for q in range(len(queries)):
             # Below this prefix length the trees' ranges together are too small.
@@ -79,21 +89,85 @@ class HashForest:
             yield found
 
 
-def best_of_block(
-    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, trees: int, bits: int, share: float, least: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each query's ``k`` best rows of a block: (query, ids, scores)."""
-    forest = HashForest(vectors, trees, bits)
-    enough = max(least, int(share * len(vectors)))
-    for q, rows in enumerate(forest.candidates(queries, enough)):
-        rows = rows[ids[rows] != query_ids[q]]
-        near = vectors[rows] @ queries[q]
-        if len(rows) > k:
-            bound = np.partition(near, len(near) - k)[len(near) - k]
-            rows = rows[near >= bound - 1e-9]  # keeps every row that rounding could tie
-        exact = (vectors[rows] * queries[q]).sum(axis=1)
-        order = np.lexsort((ids[rows], -exact))[:k]
-        yield q, ids[rows][order], exact[order]
+class Block:
+    """The rows of one block, by length of their vectors, with a forest each once a query needs it."""
+
+    def __init__(self, trees: int, bits: int, share: float):
+        self._trees, self._bits, self._share = trees, bits, share
+        self._parts: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
+        self._built: dict[int, tuple[HashForest, np.ndarray, np.ndarray]] = {}
+
+    def add(self, ids: np.ndarray, keys: np.ndarray, vectors: list[np.ndarray]) -> None:
+        self._parts.append((ids, keys, vectors))
+
+    def forest(self, length: int) -> tuple[HashForest, np.ndarray, np.ndarray] | None:
+        if self._parts:
+            ids, keys = (np.concatenate([p[k] for p in self._parts]) for k in (0, 1))
+            vectors = [v for p in self._parts for v in p[2]]
+            sizes = np.array([len(v) for v in vectors])
+            for size in np.unique(sizes):
+                of = np.flatnonzero(sizes == size)
+                self._built[int(size)] = HashForest(np.array([vectors[k] for k in of]), self._trees, self._bits), ids[of], keys[of]
+            self._parts = []
+        return self._built.get(length)
+
+    def best(self, query_key: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
+        """Each query's ``k`` best rows of the block: (query, ids, scores, rows gathered, rows of the block)."""
+        found = self.forest(queries.shape[1])
+        if found is None:
+            return
+        forest, ids, keys = found
+        vectors, enough = forest.vectors, int(np.ceil(self._share * len(forest.vectors)))
+        for at in range(0, len(queries), 256):
+            for q, rows in enumerate(forest.candidates(queries[at : at + 256], enough), at):
+                gathered = len(rows)
+                rows = rows[keys[rows] != query_key[q]]
+                near = vectors[rows] @ queries[q]
+                if len(rows) > k:
+                    bound = np.partition(near, len(near) - k)[len(near) - k]
+                    rows = rows[near >= bound - 1e-9]  # keeps every row that rounding could tie
+                exact = (vectors[rows] * queries[q]).sum(axis=1)
+                order = np.lexsort((ids[rows], -exact))[:k]
+                yield q, ids[rows][order], exact[order], gathered, len(vectors)
+
+
+def _vectors(column: pa.ListArray) -> list[np.ndarray]:
+    flat = column.flatten().to_numpy()
+    ends = np.cumsum(column.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def _search(k: int, trees: int, bits: int, share: float):
+    """Task: rows (block, asks, id, key, vector), sorted by block with its queries last -> best rows by query."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
+    names = ["key", "query_id", "near", "score", "n_gathered", "n_block"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, block = None, None
+        for batch in batches:
+            blocks, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            ids, keys, vectors = batch.column(2).to_numpy(), batch.column(3).to_numpy(), _vectors(batch.column(4))
+            cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(asks) != 0)) + 1), len(blocks)]
+            for at, to in zip(cuts[:-1], cuts[1:]):
+                if at == to:
+                    continue
+                if blocks[at] != current:
+                    current, block = blocks[at], Block(trees, bits, share)
+                if not asks[at]:
+                    block.add(ids[at:to], keys[at:to], vectors[at:to])
+                    continue
+                sizes = np.array([len(v) for v in vectors[at:to]])
+                for size in np.unique(sizes):
+                    of = at + np.flatnonzero(sizes == size)
+                    out = [[] for _ in names]
+                    for q, near, scores, gathered, rows in block.best(keys[of], np.array([vectors[j] for j in of]), k):
+                        n = len(near)
+                        for column, value in zip(out, (np.full(n, keys[of[q]]), np.full(n, ids[of[q]]), near, scores, np.full(n, gathered), np.full(n, rows))):
+                            column.append(value)
+                    if out[0]:
+                        yield pa.record_batch([pa.array(np.concatenate(c), kind) for c, kind in zip(out, kinds)], names=names)
+
+    return work
 
 
 def nearest(
@@ -102,65 +176,40 @@ def nearest(
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    trees: int = 40,
+    trees: int = 240,
     bits: int = 20,
-    share: float = 0.6,
-    least: int = 1500,
+    scale: float = 4.3,
+    power: float = 0.72,
     block_rows: int = 8192,
-    query_rows: int = 16384,
 ) -> DataFrame:
-    """The ``k`` nearest rows of every row whose id is divisible by ``query_modulus``.
+    """The ``k`` nearest rows of every row whose id (an integer) is divisible by ``query_modulus``.
 
-    ``share`` of a block (at least ``least`` rows) is gathered before a query
-    stops ascending; the recall that this gives is measured in the tests.
-    Returns ``query_id``, ``rank`` (from 1), ``id_col``, ``score`` (inner
-    product in double precision).
+    A query gathers ``wanted(rows, scale, power)`` candidates before it stops
+    ascending; the recall that this gives is measured in the tests.  Returns
+    ``query_id``, ``rank`` (from 1), ``id_col``, ``score`` (inner product in
+    double precision), and how many rows the query gathered of how many in the
+    block where the neighbour was found: ``n_gathered``, ``n_block``.
     """
     ship_package(table.sparkSession)
     kind = table.schema[id_col].dataType.simpleString()
     doubles = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    usable = table.select(F.col(id_col).alias("id"), doubles.alias("v")).filter(
+    usable = table.select(F.col(id_col).cast("long").alias("id"), doubles.alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    rows, asked = usable.agg(F.count("*"), F.count_if(F.col("id") % query_modulus == 0)).first()
-    blocks, groups = -(-rows // block_rows) or 1, -(-asked // query_rows) or 1
-
-    def spread(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    own = usable.select(F.lit(False).alias("asks"), "id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), spread(groups).alias("group"))
-    query = usable.filter(F.col("id") % query_modulus == 0).select(
-        F.lit(True).alias("asks"), "id", "v", spread(blocks).alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)).cast("int").alias("group"),
-    )
-
-    def search(key: tuple, cell: pa.Table) -> pa.Table:
-        asks = cell.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        ids = np.array(cell.column("id").to_pylist(), dtype=np.int64)
-        lists = cell.column("v").combine_chunks()
-        lengths = np.diff(lists.offsets.to_numpy())
-        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-        flat = lists.flatten().to_numpy()
-        out = [[], [], []]
-        for length in np.unique(lengths):
-            of = lengths == length
-            matrix = flat[starts[of][:, None] + np.arange(length)]
-            mine, theirs = ~asks[of], asks[of]
-            if mine.any() and theirs.any():
-                asked_ids = ids[of][theirs]
-                for q, found, scores in best_of_block(ids[of][mine], matrix[mine], asked_ids, matrix[theirs], k, trees, bits, share, least):
-                    out[0].append(np.full(len(found), asked_ids[q]))
-                    out[1].append(found)
-                    out[2].append(scores)
-        columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({
-            "query_id": pa.array(columns[0].astype(np.int64)), "near": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(float)),
-        })
-
-    found = own.union(query).groupBy("block", "group").applyInArrow(search, "query_id long, near long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "near")
+    usable = materialise(usable.withColumn("key", F.monotonically_increasing_id()), "vectors")  # rows are known by their numbers from here on
+    rows = usable.count()
+    blocks = -(-rows // block_rows) or 1
+    share = wanted(rows, scale, power) / max(rows, 1)
+
+    own = usable.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "id", "key", "v")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    query = usable.filter(F.col("id") % query_modulus == 0).select(every.alias("block"), F.lit(True).alias("asks"), "id", "key", "v")
+    met = own.union(query).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    found = met.mapInArrow(_search(k, trees, bits, share), "key long, query_id long, near long, score double, n_gathered int, n_block int")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "near")
     return (
         found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        .select(F.col("query_id").cast(kind), "rank", F.col("near").cast(kind).alias(id_col), "score")
+        .select(F.col("query_id").cast(kind), "rank", F.col("near").cast(kind).alias(id_col), "score", "n_gathered", "n_block")
     )
