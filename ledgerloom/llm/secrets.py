@@ -1,16 +1,22 @@
 """Secret scans: patterns propose, a random forest removes false positives.
 
-Patterns find long runs of key-like characters and the values of assignments to
-secret-sounding names, compound ones (``DB_PASSWORD``, ``dbPassword``,
-``client_secret_key``) among them.  Each finding is described by its length, the
-transitions between character classes, its entropy, the share covered by
-dictionary words, whether it looks like a path, and the words near it.  A
-random forest (Spark ML), trained on labelled findings, gives its probability
-of being a secret.
-
-Null and empty texts have no findings.  Texts are scanned whole; repeated rows
-are each scanned; extra columns are ignored; an empty table gives an empty
-result.
+Patterns find passwords in URLs, tokens of known formats, the values of
+assignments to secret-sounding names, compound ones (``DB_PASSWORD``,
+``dbPassword``, ``client_secret_key``) among them, and long runs of key-like
+characters.  Each finding is described by its length, the transitions between
+character classes, its entropy, the share covered by dictionary words, whether
+it looks like a path, and the words near it.  A random forest (Spark ML),
+trained on labelled findings, gives its probability of being a secret.
+
+The dictionary holds common words of identifiers and the most frequent words of
+all documents, whatever their language.  Labelled findings stand in excerpts of
+the documents: values of known kinds are set into them, and long words, which
+they hold themselves, are findings that are no secrets.
+
+Null and empty texts have no findings.  Texts are scanned whole, however long;
+findings of one text do not overlap, the leftmost comes first.  Repeated rows,
+and rows with a null id, are each scanned; extra columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +26,12 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.session import ship_package
@@ -33,20 +40,13 @@ from ledgerloom.session import ship_package
 SECRET_NAMES = "token secret password passwd pwd apikey api_key api-key access_key accesskey auth bearer credential private key".split()
 HARMLESS_NAMES = "commit sha sha1 sha256 md5 checksum digest hash uuid guid etag revision version id isbn path url href src file image integrity".split()
 DICTIONARY = (
-    "about access account action admin after again alpha also always answer array attribute author back balance base before begin beta between block body "
-    "book build button cache call center change channel character check child class clear click client close cloud code color column command common company "
-    "component config connect content context control copy count country create current custom data date default delete demo design detail device digit "
-    "document domain double down driver dummy edit element email empty enable end engine entry error event example extra factory false field file filter final "
-    "first folder font format frame from full function game general global good great group guide handler head hello help here home host house html http "
-    "image import index info input insert item java just key label language last layer layout left letter level library light like line link list load "
-    "local long loop main make manager master match message method model module month more most mouse move name native network never new next node null "
-    "number object only open option order other page panel parameter parent part pass path people place plain play point position post power present private "
-    "process product profile program project property public query question random range read record region release remove render report request reset resource "
-    "response result return right root route rule sample save scale schema screen script search second section select send server service session set shape "
-    "share short show side simple single size small source space special stack standard start state static status step stop storage store stream string style "
-    "submit summary super support switch system table target task team template test text thing think time title today token tool total track transaction "
-    "transfer tree true type under undefined union unit update upload user value variable vector version video view visible water website week width window "
-    "word work world write year your"
+    "access account action admin alpha answer array attribute author backup balance base begin beta block body button cache call change channel character check "
+    "child class client cloud code color column command common component config connect content context control copy count create current custom data database date "
+    "default delete demo design device digit document domain driver dummy edit element email empty enable engine entry environ error event example export factory false "
+    "field file filter first folder format frame function global group guide handler header hello help home host house html image import index input insert item java "
+    "label language layer layout letter level library line link list load local login main manager master match message method model module name network node null number "
+    "object option order other page panel parameter parent password path people place policy position post private process product profile program project property public "
+    "query random range read record region release remove report request reset resource response result root route rule sample schema screen script search secret"
 ).split()
 # A name with such a word anywhere in it; what follows the word is set off by a separator, a digit or a capital ("author" is no such name).
 _NAME = (
@@ -54,16 +54,35 @@ _NAME = (
     r"(?:[0-9_.-][A-Za-z0-9_.-]*|(?<=[a-z])[A-Z][A-Za-z0-9_.-]*)?"
 )
 _NAMED = re.compile(_NAME)
+# How tokens of public services begin.
+_FORMAT = (
+    r"(?:xox[abeoprs]-|xapp-|glpat-|gh[oprsu]_|github_pat_|[rs]k_live_|sk-|whsec_|AKIA|ASIA|AIza|ya29\.|npm_|pypi-|hf_|dop_v1_|shpat_|SG\.|eyJ)[A-Za-z0-9_.-]{12,}"
+)
+_KNOWN = re.compile(_FORMAT)
 CANDIDATE = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{3,200})@"
+    rf"|(?<![A-Za-z0-9_.-]){_FORMAT}"
     rf"|(?<![A-Za-z0-9_.-]){_NAME}[\"']?\s{{0,3}}(?:[:=]|:=|=>)\s{{0,3}}[\"']?([^\s\"'<>]{{6,}})"
     r"|[A-Za-z0-9+/_=.-]{20,}"
 )
-FEATURES = ["length", "transitions", "entropy", "digits", "upper", "dictionary", "path", "hex", "repeat", "secret_word", "harmless_word", "assigned", "quoted"]
-_WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) >= 4), key=len, reverse=True)))
+FEATURES = [
+    "length", "transitions", "entropy", "digits", "upper", "dictionary", "path", "hex", "repeat", "secret_word", "harmless_word", "assigned", "quoted", "format", "credential",
+]
+_BETWEEN = re.compile(r"://[^\s/:@]{0,64}:$")
+
 
+def covered(value: str, words: frozenset[str]) -> int:
+    """Characters of a value that dictionary words cover, the longest at each place first."""
+    low, at, total = value.lower(), 0, 0
+    while at < len(low):
+        size = next((n for n in range(min(15, len(low) - at), 3, -1) if low[at : at + n] in words), 0)
+        total += size
+        at += size or 1
+    return total
 
-def describe(text: str, start: int, end: int) -> list[float]:
+
+def describe(text: str, start: int, end: int, words: frozenset[str] = frozenset(DICTIONARY)) -> list[float]:
     """Features of one finding, from the value and 60 characters before it."""
     value, before = text[start:end], text[max(0, start - 60) : start]
     lead = before.lower()
@@ -71,14 +90,15 @@ def describe(text: str, start: int, end: int) -> list[float]:
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value]
     counts = Counter(value)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    covered = sum(len(m[0]) for m in _WORDS.finditer(value.lower()))
     near = re.findall(r"[a-z0-9_-]+", lead)[-4:]
     named = any(w.lower() in SECRET_NAMES or _NAMED.fullmatch(w) for w in re.findall(r"[A-Za-z0-9_-]+", before)[-4:])
     return [
-        float(min(n, 200)), sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), entropy, kinds.count("d") / n, kinds.count("u") / n, covered / n,
+        float(min(n, 200)), sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), entropy, kinds.count("d") / n, kinds.count("u") / n,
+        covered(value[:200], words) / min(n, 200),
         float(value.count("/") >= 2 or "://" in lead[-8:] or value.count(".") >= 2), float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None),
         max(counts.values()) / n, float(named), float(any(w in HARMLESS_NAMES for w in near)),
         float(re.search(r"[:=]\s{0,3}[\"']?$", lead) is not None), float(lead[-1:] in "\"'" and lead != ""),
+        float(_KNOWN.match(value) is not None), float(text[end : end + 1] == "@" and _BETWEEN.search(lead) is not None),
     ]
 
 
@@ -86,16 +106,34 @@ def find(text: str | None) -> list[tuple[int, int]]:
     """Spans of the candidates of a text."""
     spans = []
     for m in CANDIDATE.finditer(text or ""):
-        spans.append(m.span(1) if m[1] else m.span())
+        spans.append(m.span(m.lastindex or 0))
     return spans
 
 
-def labelled_findings(n: int = 3000, seed: int = 23) -> list[tuple[str, int, int, int]]:
-    """Made-up labelled findings: (text, start, end, label), alike in every run.
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 5000) -> frozenset[str]:
+    """Words of identifiers and the ``most`` frequent words (of 4 to 15 letters) of all documents."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}{4,15}"), F.lit(0))).alias("w"))
+    frequent = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()  # at most ``most`` words
+    return frozenset(r.w for r in frequent) | frozenset(w for w in DICTIONARY if len(w) > 3)
+
+
+def excerpts(docs: DataFrame, text_col: str = "text", most: int = 500, characters: int = 2000, seed: int = 1) -> list[str]:
+    """Stretches of at most ``most`` documents (those of the smallest hash), to set labelled findings into."""
+    text = F.col(text_col).cast("string")
+    order = F.xxhash64(text, F.lit(seed))
+    start = F.pmod(order, F.greatest(F.length(text) - characters, F.lit(0)) + 1) + 1
+    cut = docs.filter(F.length(text) > 0).select(order.alias("at"), F.substr(text, start.cast("int"), F.lit(characters)).alias("cut"))
+    return [r.cut for r in cut.orderBy("at", "cut").limit(most).collect()]
 
-    Secrets are random strings of usual formats, and short passwords, behind
-    telling names, simple or compound; the others are what such scans usually report by mistake: checksums, ids,
-    paths, identifiers, placeholders and plain words.
+
+def labelled_findings(texts: list[str] | None = None, n: int = 3000, seed: int = 23) -> list[tuple[str, int, int, int]]:
+    """Labelled findings: (text, start, end, label), alike in every run.
+
+    Secrets are random strings of usual formats, passwords in URLs, and short
+    passwords, behind telling names, simple or compound; the others are what
+    such scans usually report by mistake: checksums, ids, paths, identifiers,
+    placeholders and plain words.  They stand in stretches of ``texts``; long
+    words of the texts themselves, which patterns find too, are added as such.
     """
     rng = random.Random(seed)
 
@@ -106,20 +144,42 @@ def labelled_findings(n: int = 3000, seed: int = 23) -> list[tuple[str, int, int
     low = "abcdefghijklmnopqrstuvwxyz"
     base = low + low.upper() + digits
     out = []
+    texts = [t for t in texts or () if t.strip()]
+    for text in texts:
+        out += [(text, a, b, 0) for a, b in find(text) if text[a:b].isalpha()]
+    out = out[: n // 10]
+
+    def about() -> str:
+        """A stretch of a text, or a few words."""
+        if not texts:
+            return f"{rng.choice(DICTIONARY)} {rng.choice(DICTIONARY)} "
+        text = rng.choice(texts)
+        at = rng.randrange(len(text))
+        return text[at : at + rng.randint(0, 120)] + rng.choice([" ", "\n", "\n", ". "])
+
     for k in range(n):
         label = k % 2
         word = rng.choice(DICTIONARY)
         if label:
             value = rng.choice([
                 lambda: pick(hexes, rng.choice([32, 40, 64])), lambda: pick(hexes, 40).upper(), lambda: pick(base, rng.randint(16, 48)),
-                lambda: "AKIA" + pick(low.upper() + digits, 16), lambda: "ghp_" + pick(base, 36), lambda: pick(base + "+/", 40) + "=",
+                lambda: rng.choice(["AKIA", "ASIA"]) + pick(low.upper() + digits, 16), lambda: rng.choice(["ghp_", "gho_", "npm_", "hf_"]) + pick(base, 36), lambda: pick(base + "+/", 40) + "=",
+                lambda: rng.choice(["xoxb-", "xoxp-"]) + "-".join([pick(digits, 11), pick(digits, 12), pick(base, 24)]), lambda: "glpat-" + pick(base + "_-", 20),
+                lambda: rng.choice(["sk_live_", "rk_live_"]) + pick(base, 24), lambda: "AIza" + pick(base + "_-", 35), lambda: "eyJ" + pick(base, 30) + "." + pick(base, 60) + "." + pick(base + "_-", 43),
                 lambda: pick(base + "!#$%&*", rng.randint(9, 18)), lambda: pick(base, rng.randint(8, 15)),
                 lambda: pick(low, rng.randint(4, 8)) + pick(digits, rng.randint(2, 4)) + pick(low, rng.randint(0, 1)),
             ])()
             name = rng.choice(SECRET_NAMES[:12])
             name = rng.choice([name, name, f"{rng.choice(DICTIONARY)}_{name}", rng.choice(DICTIONARY) + name.title(), f"{name}_{rng.choice(['key', 'value', 'prod', '2'])}", f"db.{name}"])
             lead = rng.choice([f'{name} = "', f"{name}: ", f"{name.upper()}=", f'"{name}": "', f"my {name} is ", f'{word} {name} = "'])
+            tail = ""
+            if _KNOWN.match(value) and rng.random() < 0.7:  # known by its format alone
+                lead = rng.choice(["", f"{word} ", "use ", "-H '", "("])
+            elif rng.random() < 0.15:
+                value = value.translate({ord(c): "x" for c in "/#@"})
+                lead, tail = f"{rng.choice(['postgres', 'https', 'redis', 'mongodb+srv', 'amqp'])}://{rng.choice(DICTIONARY)}:", f"@{word}.example.com/"
         else:
+            tail = ""
             value, lead = rng.choice([
                 lambda: (pick(hexes, 40), rng.choice(["commit ", "revision: ", "sha1 = "])),
                 lambda: (pick(hexes, 64), rng.choice(["sha256: ", 'integrity "', "checksum = "])),
@@ -135,22 +195,35 @@ def labelled_findings(n: int = 3000, seed: int = 23) -> list[tuple[str, int, int
                     rng.choice(["DB_PASSWORD=", 'client_secret = "', '"dbPassword": "', "userToken = ", "secret_key: "]),
                 ),
                 lambda: ("www." + rng.choice(DICTIONARY) + rng.choice(DICTIONARY) + ".example.com/" + word, "https://"),
+                lambda: (".".join(rng.choice(DICTIONARY) for _ in range(rng.randint(4, 6))), rng.choice(["import ", "from ", "package "])),
+                lambda: ("AAAA" + pick(base + "+/", 60) + "==", rng.choice(["ssh-rsa ", "image/png;base64,", "sha256-"])),
             ])()
-        head = f"{rng.choice(DICTIONARY)} {rng.choice(DICTIONARY)} {lead}"
-        out.append((head + value + rng.choice(['"', " ", ", ", "\n"]) + word, len(head), len(head) + len(value), label))
+            if rng.random() < 0.06:
+                value, lead, tail = rng.choice(["password", "pass", "user", "xxxx", "secret", "changeme", "${PASSWORD}"]), "postgres://user:", "@host/db"
+        head = about() + lead
+        out.append((head + value + (tail or rng.choice(['"', " ", ", ", "\n"])) + about(), len(head), len(head) + len(value), label))
     return out
 
 
-def train(spark: SparkSession, findings: list[tuple[str, int, int, int]] | None = None, trees: int = 40, depth: int = 8) -> RandomForestClassificationModel:
-    """A random forest over described findings."""
-    rows = [(describe(t, s, e), float(y)) for t, s, e, y in (findings if findings is not None else labelled_findings())]
-    table = spark.createDataFrame(rows, "f array<double>, label double").select(array_to_vector("f").alias("features"), "label")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(table)
+class Trained(NamedTuple):
+    """A forest and the dictionary that its findings are described with."""
+
+    forest: RandomForestClassificationModel
+    words: frozenset[str]
+
+
+def train(
+    docs: DataFrame, findings: list[tuple[str, int, int, int]] | None = None, text_col: str = "text", most_excerpts: int = 500, trees: int = 40, depth: int = 8
+) -> Trained:
+    """A random forest over labelled findings; those made here stand in ``most_excerpts`` documents at most."""
+    words = corpus_words(docs, text_col)
+    findings = labelled_findings(excerpts(docs, text_col, most_excerpts)) if findings is None else findings
+    rows = [(describe(t, s, e, words), float(y)) for t, s, e, y in findings]
+    table = docs.sparkSession.createDataFrame(rows, "f array<double>, label double").select(array_to_vector("f").alias("features"), "label")
+    return Trained(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(table), words)
 
 
-def scan(
-    docs: DataFrame, model: RandomForestClassificationModel | None = None, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.5
-) -> DataFrame:
+def scan(docs: DataFrame, trained: Trained | None = None, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """Findings of all documents.
 
     Returns ``id_col``, ``start``, ``end`` (code points, end exclusive),
@@ -158,7 +231,8 @@ def scan(
     are not returned.
     """
     ship_package(docs.sparkSession)
-    model = model or train(docs.sparkSession)
+    forest, words = trained or train(docs, text_col=text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +243,7 @@ def scan(
             for k, text in enumerate(batch.column(1).to_pylist()):
                 for start, end in find(text):
                     rows.append(k)
-                    for column, value in zip(out, (start, end, hashlib.sha256(text[start:end].encode()).hexdigest(), describe(text, start, end))):
+                    for column, value in zip(out, (start, end, hashlib.sha256(text[start:end].encode()).hexdigest(), describe(text, start, end, shared.value))):
                         column.append(value)
             yield pa.record_batch(
                 [
@@ -181,7 +255,7 @@ def scan(
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     found = rows.mapInArrow(work, f"id {kind}, start int, end int, finding_sha256 string, f array<double>")
-    scored = model.transform(found.withColumn("features", array_to_vector("f")))
+    scored = forest.transform(found.withColumn("features", array_to_vector("f")))
     return scored.select(
         F.col("id").alias(id_col), "start", "end", "finding_sha256", F.round(vector_to_array("probability")[1], 6).alias("probability"),
     ).withColumn("is_secret", F.col("probability") >= threshold)
