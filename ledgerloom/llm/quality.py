@@ -9,10 +9,17 @@ before it also adds the vector of a repetition mark.  A two-layer network,
 trained on a bounded sample of labelled rows and calibrated by one temperature
 on rows it has not fitted, turns the vector into a probability.
 
+All sums over the corpus are sums of whole numbers, and a document's mean is
+added up in stretches of its own, so neither the order of tasks nor the way the
+table is cut changes a score.
+
 Labels, language, source and ids are never inputs.  Null and empty texts have
-the zero vector and are scored like others.  Repeated rows are scored each;
-labels of an id that contradict each other are left out.  Without labelled rows
-every score is the share 0.5.  An empty table gives an empty result.
+the zero vector and are scored like others.  Texts are read whole, however long.
+Repeated rows, and rows with a null id, are scored each; labels of an id that
+contradict each other are left out, and of an id that occurs with several texts
+the same one is always fitted.  Without labelled rows of both classes every
+score is the share 0.5.  Extra columns are ignored (``keep_good`` keeps them);
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,7 +97,7 @@ def _context_sums(cells: int, dims: int, window: int, chunk: int):
                     for word, near in ((one, two), (two, one)):
                         for s in range(slots.shape[1]):
                             table += np.bincount(word * dims + slots[near, s], signs[near, s], cells * dims)
-        block = np.concatenate([table.reshape(cells, dims), seen[:, None]], axis=1).astype("<f4")
+        block = np.concatenate([table.reshape(cells, dims), seen[:, None]], axis=1).astype("<i4")
         part = TaskContext.get().partitionId()
         yield pa.record_batch(
             [
@@ -113,18 +120,23 @@ def context_vectors(texts: DataFrame, cells: int, dims: int, window: int, fan_in
     sums = texts.mapInArrow(_context_sums(cells, dims, window, chunk), "cell long, part long, sums binary")
     parts = texts.rdd.getNumPartitions()
 
-    def add(key: tuple, group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, "<f4").astype(np.float64) for b in group.column("sums").to_pylist())
-        return pa.table({"cell": group.column("cell")[:1], "part": group.column("part")[:1], "sums": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+    def add(kind: str):
+        def work(key: tuple, group: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(b, kind).astype("<i8") for b in group.column("sums").to_pylist())
+            return pa.table({"cell": group.column("cell")[:1], "part": group.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        return work
 
+    kind = "<i4"  # a task's sums; those of several tasks have twice the width
     while True:
         parts = -(-parts // fan_in)
-        sums = sums.withColumn("part", F.expr(f"part div {fan_in}")).groupBy("cell", "part").applyInArrow(add, "cell long, part long, sums binary")
+        sums = sums.withColumn("part", F.expr(f"part div {fan_in}")).groupBy("cell", "part").applyInArrow(add(kind), "cell long, part long, sums binary")
+        kind = "<i8"
         if parts <= 1:
             break
     table = np.zeros((cells, dims + 1))
     for cell, blob in sums.select("cell", "sums").collect():  # one row per chunk of cells
-        table[cell : cell + chunk] = np.frombuffer(blob, "<f4").reshape(-1, dims + 1)
+        table[cell : cell + chunk] = np.frombuffer(blob, "<i8").reshape(-1, dims + 1)
     context, seen = table[:, :dims], table[:, dims]
     slots, signs = index_vectors(cells, dims)
     own = np.zeros((cells, dims))
@@ -142,10 +154,15 @@ def pool(texts: list[str | None], vectors: np.ndarray, step: int = 60_000) -> np
     ids, counts = token_stream(texts, _word_cells(cells))
     doc = np.repeat(np.arange(len(counts)), counts)
     out = np.zeros((len(counts), dims))
-    for at in range(0, len(ids), step):
-        part, owner = ids[at : at + step], doc[at : at + step]
-        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-        np.add.at(out, owner[cuts], np.add.reduceat(vectors[part], cuts, axis=0))
+    # Stretches of a document's own words, some of them at a time.
+    ends = np.cumsum(counts)
+    starts = np.concatenate([np.arange(e - n, e, 4096) for e, n in zip(ends, counts)]) if len(ids) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + step)))
+        end = starts[to] if to < len(starts) else len(ids)
+        np.add.at(out, doc[starts[at:to]], np.add.reduceat(vectors[ids[starts[at] : end]], starts[at:to] - starts[at], axis=0))
+        at = to
     again = np.bincount(doc[1:][(ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])], minlength=len(counts)) if len(ids) else np.zeros(len(counts))
     out += again[:, None] * vectors[cells - 1]
     return out / np.maximum(counts, 1)[:, None]
@@ -240,7 +257,7 @@ def train(
     fitted = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
         .join(F.broadcast(sample), "id")  # at most max_labelled rows of an id and a label
-        .select("id", "t", "y").mapInArrow(vectorise, f"id {kind}, y int, x binary").dropDuplicates(["id"])
+        .select("id", "t", "y").mapInArrow(vectorise, f"id {kind}, y int, x binary").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
     )
     rows = sorted(((zlib.crc32(str(r.id).encode()), r.id, r.y, r.x) for r in fitted.toLocalIterator()), key=lambda r: (r[0], r[1]))
     if len({r[2] for r in rows}) < 2:

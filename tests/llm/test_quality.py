@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -72,3 +73,38 @@ def test_contexts_are_sums_over_neighbours(spark):
     share = 2 / 4
     want = (context / np.linalg.norm(context) + own[word["a"]] / np.linalg.norm(own[word["a"]])) * (0.2 + 1e-3 / (1e-3 + share))
     assert np.allclose(got[word["a"]], want, atol=1e-5)
+
+
+def test_scores_do_not_depend_on_how_the_table_is_cut(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    one, two = ({r.doc_id: r.score for r in quality.score(d, labels).collect()} for d in (docs.coalesce(1), docs.repartition(7, "lang", "n_chars")))
+    assert one == two
+
+
+def test_score_equals_plain_arithmetic(spark):
+    """Word by word, from the vectors that were learnt: pooled mean, hidden layer, logistic output over the temperature."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    shared, net = quality.train(docs, labels)
+    vectors, rows = shared.value.astype(float), docs.collect()
+    got = {r.doc_id: r for r in quality.score(docs, labels).collect()}
+    for r in rows[:40]:
+        cells = [zlib.crc32(w.encode()) % (len(vectors) - 1) for w in re.findall(r"\w+|[^\w\s]+", r.text)]
+        total = sum((vectors[c] for c in cells), np.zeros(vectors.shape[1]))
+        total = total + vectors[-1] * sum(a == b for a, b in zip(cells, cells[1:]))
+        x = (total / max(1, len(cells)) - net.mean) / net.scale
+        hidden = [np.tanh(sum(x[i] * net.w1[i, j] for i in range(len(x))) + net.b1[j]) for j in range(net.w1.shape[1])]
+        logit = (sum(h * w for h, w in zip(hidden, net.w2)) + net.b2) / net.temperature
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-logit))) < 1e-4
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.7)
+
+
+def test_null_ids_repeats_and_clashing_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    text = docs.first().text
+    extra = spark.createDataFrame([(None, text), (None, text), (0, "other text"), (5000, None), (5001, ""), (5002, "long word " * 100_000)], "doc_id long, text string")
+    table = docs.select("doc_id", "text").union(extra).selectExpr("*", "1 as id", "2 as y", "3 as x", "4 as score")
+    got = quality.score(table, labels).collect()
+    assert len(got) == table.count() and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id is None}) == 1 and len({r.score for r in got if r.doc_id in (5000, 5001)}) == 1
+    assert quality.keep_good(table, labels).columns == table.columns
