@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,12 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import bpe, hash_forest, html_text, lattice_lm, media, near_dedup, packing, pii, quality, secrets
 from ledgerloom.session import load
 
-#: Where the public tokenizers' files lie; a deployment may set another folder.
-TOKENIZER_FOLDER = os.environ.get("LEDGERLOOM_TOKENIZERS", "/opt/tokenizers")
-
 
 def tokenizer(name: str) -> str:
-    return os.path.join(TOKENIZER_FOLDER, name)
+    """The place of a public tokenizer's file; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
