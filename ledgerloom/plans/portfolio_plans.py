@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ledgerloom.operators import budget, portfolio, signals
 from ledgerloom.plans.oracles import SQL_VIEWS, oracle
 from ledgerloom.plans.registry import register
+from ledgerloom.session import materialise
 from ledgerloom.sources.domain import AS_OF, MONEY, Domain
 
 YEAR = AS_OF.year
@@ -23,19 +24,51 @@ def delta_of(d: Domain) -> DataFrame:
     return budget.budget_delta_annuel(d.occurrence)
 
 
+class Facts:
+    """What the portfolio queries read of the facts, each written once in the columns that they need.
+
+    Every signal, finance and status branch starts from these tables, so each
+    source table is read (and each fact joined) once, whatever the number of
+    branches.  With an organisation, only what belongs to its projects is read on.
+    """
+
+    def __init__(self, d: Domain, organisation_id: int | None = None):
+        projet = d.projet if organisation_id is None else d.projet.filter(F.col("organisation_id") == organisation_id)
+        self.organisation, self.projet = d.organisation, materialise(projet, "projet")
+
+        def own(facts: DataFrame, *columns: str) -> DataFrame:
+            narrow = facts.select("projet_id", *columns)
+            if organisation_id is None:
+                return narrow
+            return narrow.join(self.projet.select(F.col("id").alias("projet_id")), "projet_id", "left_semi")
+
+        amounts = ("montant_initial", "montant_ht", "montant_engage", "montant_realise")
+        self.occurrence = materialise(own(d.occurrence, "id", "annee", "annee_initiale", "statut", *amounts), "occurrence")
+        self.mouvement = materialise(own(d.mouvement, "occurrence_id", "motif", "modifie_le"), "mouvement")
+        self.rapport = materialise(own(d.rapport, "id", "annee", "version", "statut", "genere_le", "valide_le"), "rapport")
+        self.delta = materialise(budget.budget_delta_annuel(self.occurrence), "delta")
+        self.signaux = materialise(self._signaux(), "signaux")
+
+    def _signaux(self) -> DataFrame:
+        return signals.tous_les_signaux([
+            signals.bilan_manquant(signals.annees_obligation(self.projet, AS_OF), self.rapport), signals.retard_execution(self.occurrence, AS_OF),
+            signals.sous_consommation(self.delta, AS_OF), signals.derive_non_justifiee(self.occurrence, self.mouvement),
+            signals.silence(signals.derniere_activite(self.projet, self.mouvement, self.rapport), AS_OF),
+        ])
+
+    def parc(self) -> DataFrame:
+        return portfolio.parc_projet(
+            self.projet, self.organisation, signals.signaux_par_projet(self.signaux), portfolio.finances_par_projet(self.delta, AS_OF),
+            portfolio.statuts_par_projet(self.occurrence), portfolio.bilans_par_projet(portfolio.matrice_bilans(self.projet, self.rapport, AS_OF)),
+        )
+
+
 def signals_of(d: Domain) -> DataFrame:
-    return signals.tous_les_signaux([
-        signals.bilan_manquant(signals.annees_obligation(d.projet, AS_OF), d.rapport), signals.retard_execution(d.occurrence, AS_OF),
-        signals.sous_consommation(delta_of(d), AS_OF), signals.derive_non_justifiee(d.occurrence, d.mouvement),
-        signals.silence(signals.derniere_activite(d.projet, d.mouvement, d.rapport), AS_OF),
-    ])
+    return Facts(d).signaux
 
 
-def parc_of(d: Domain) -> DataFrame:
-    return portfolio.parc_projet(
-        d.projet, d.organisation, signals.signaux_par_projet(signals_of(d)), portfolio.finances_par_projet(delta_of(d), AS_OF),
-        portfolio.statuts_par_projet(d.occurrence), portfolio.bilans_par_projet(portfolio.matrice_bilans(d.projet, d.rapport, AS_OF)),
-    )
+def parc_of(d: Domain, organisation_id: int | None = None) -> DataFrame:
+    return Facts(d, organisation_id).parc()
 
 
 SQL_VIEWS.update({
@@ -204,8 +237,8 @@ def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("a15_projets_par_signal", oracle("""SELECT s.code, count(DISTINCT s.projet_id) AS nb_projets, count(DISTINCT s.projet_id) FILTER (WHERE s.niveau = 'critique') AS nb_critiques
     FROM v_signal s JOIN v_parc p ON p.projet_id = s.projet_id GROUP BY s.code"""))
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    return portfolio.projets_par_signal(signals_of(d), parc_of(d))
+    facts = Facts(Domain(spark, sf_dir))
+    return portfolio.projets_par_signal(facts.signaux, facts.parc())
 
 
 _PARC = ["total_initial", "total_prevu", "total_engage", "total_realise", "delta_total", "prevu_annee_courante", "realise_annee_courante"]
@@ -225,7 +258,8 @@ def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parc_list(name: str, where: str, **filters):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _listed(portfolio.lister_parc(parc_of(Domain(spark, sf_dir)), **filters))
+        wanted = filters.get("organisation_filtre", filters.get("organisation_id"))
+        return _listed(portfolio.lister_parc(parc_of(Domain(spark, sf_dir), wanted), **filters))
 
     register(name, oracle(f"SELECT {', '.join(_PARC_REST)}, {doubles(*_PARC)} FROM v_parc WHERE {where}"))(query)
 

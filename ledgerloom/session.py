@@ -21,12 +21,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests on one machine) does a fresh local folder stand in for it.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset on
+    one machine (tests) does a fresh local folder stand in for it; on a cluster,
+    whose executors would each write to their own disk, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
         _local_folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
