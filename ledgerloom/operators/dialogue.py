@@ -73,3 +73,15 @@ def activite(demande: DataFrame, message: DataFrame, rapport: DataFrame, baselin
         _fact(baseline, "figee_le", "baseline_figee", F.lit("be"), F.concat(F.lit("Budget de référence figé : "), "libelle"), none),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def ouvrir(demande: DataFrame, message: DataFrame, nouvelles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open threads, each with its first message: (threads, messages).
+
+    ``nouvelles`` (id, projet_id, occurrence_id, auteur, objet, corps, cree_le):
+    one row a thread, whose id the caller gives.  The first message bears the
+    thread's author and time, so both tables follow from the same rows.
+    """
+    threads = nouvelles.drop("corps").withColumns({"statut": F.lit("ouverte"), "maj_le": F.col("cree_le")})
+    first = nouvelles.select(F.col("id").alias("demande_id"), F.col("auteur").alias("acteur"), "corps", "cree_le")
+    return demande.unionByName(threads, allowMissingColumns=True), message.unionByName(first, allowMissingColumns=True)

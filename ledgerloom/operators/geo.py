@@ -68,3 +68,23 @@ def apparier(geometries: DataFrame, units: DataFrame) -> DataFrame:
     g = geometries.withColumn("n", F.row_number().over(Window.partitionBy("projet_id").orderBy("geom_id")))
     u = units.withColumn("n", F.row_number().over(Window.partitionBy("projet_id").orderBy("ug_id")))
     return g.join(u, ["projet_id", "n"]).select("projet_id", "n", "geom_id", "ug_id")
+
+
+def wkt_to_multi(wkt: Column) -> Column:
+    """Well-known text as its multi form in two dimensions; null where it is no geometry.
+
+    ``POINT Z (1 2 3)`` becomes ``MULTIPOINT ((1 2))``; what is multi already
+    keeps its parts.
+    """
+    number = r"-?[0-9][0-9.eE+-]*"
+    shape = r"(?is)^\s*((?:MULTI)?(?:POINT|LINESTRING|POLYGON))\s*(?:ZM?|M)?\s*(EMPTY|\(.*\))\s*$"
+    kind, body = F.upper(F.regexp_extract(wkt, shape, 1)), F.regexp_extract(wkt, shape, 2)
+    flat = F.regexp_replace(F.regexp_replace(body, rf"({number}\s+{number})(?:\s+{number})+", "$1"), r"\s+", " ")
+    parts = F.when(F.upper(body) == "EMPTY", "EMPTY").when(kind.startswith("MULTI"), flat).otherwise(F.concat(F.lit("("), flat, F.lit(")")))
+    return F.when(kind != "", F.concat(F.when(kind.startswith("MULTI"), kind).otherwise(F.concat(F.lit("MULTI"), kind)), F.lit(" "), parts))
+
+
+def resume_attributs(features: DataFrame) -> DataFrame:
+    """Per layer: number of features, and the attributes of the first one without those that are null or not a number."""
+    rows = features.groupBy("couche").agg(F.count("*").alias("nb"), F.min_by("attributs", "ordre").alias("premier"))
+    return rows.withColumn("premier", F.map_filter("premier", lambda k, v: v.isNotNull() & ~F.lower(v).isin("nan", "")))

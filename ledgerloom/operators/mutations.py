@@ -128,3 +128,51 @@ def update_where(table: DataFrame, condition: Column, values: dict[str, Column],
         raise ValueError(f"columns may not be changed: {sorted(refused)}")
     hit = F.coalesce(condition, F.lit(False))
     return table.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def appliquer(table: DataFrame, changes: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Create, update and delete rows after validation: (new table, refused changes).
+
+    ``changes`` holds ``op`` (``creer``, ``modifier`` or ``supprimer``), ``id``
+    (one change an id) and columns of the table; in an update a null leaves the
+    old value.  A change is refused as ``existe`` or ``introuvable``, or under
+    the first of ``rules`` (code: what makes new values invalid) that holds.
+    """
+    known = changes.join(table.select("id", F.lit(True).alias("_da")), "id", "left")
+    new = F.col("op") == "creer"
+    broken = [F.when((F.col("op") != "supprimer") & F.coalesce(test, F.lit(False)), code) for code, test in rules.items()]
+    checked = known.withColumn("erreur", F.coalesce(F.when(new & F.col("_da"), "existe"), F.when(~new & F.col("_da").isNull(), "introuvable"), *broken))
+    good = checked.filter("erreur is null")
+    columns = [c for c in table.columns if c != "id"]
+    carried = [c for c in columns if c in changes.columns]
+    joined = table.join(good.select("id", F.col("op").alias("_op"), *[F.col(c).alias(f"_{c}") for c in carried]), "id", "full")
+    left = joined.filter("_op is null or _op <> 'supprimer'")
+    values = [F.coalesce(f"_{c}", c).alias(c) if c in carried else F.col(c) for c in columns]
+    return left.select("id", *values).select(*table.columns), checked.filter("erreur is not null").select("id", "op", "erreur")
+
+
+def verser_exports(projet: DataFrame, export: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patch the export history, and lock the names of the projects of which an export is handed in.
+
+    ``patches`` (id, statut, verse_le, commentaire): nulls leave the old value.
+    Returns (projects with ``nom_verrouille``, exports).
+    """
+    fields = ["statut", "verse_le", "commentaire"]
+    joined = export.join(patches.select("id", *[F.col(c).alias(f"_{c}") for c in fields]), "id", "left")
+    patched = joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in export.columns])
+    handed_in = patches.filter("statut = 'verse'").join(export.select("id", "projet_id"), "id").select(F.col("projet_id").alias("id"), F.lit(True).alias("_verse")).distinct()
+    locked = projet.join(handed_in, "id", "left").withColumn("nom_verrouille", F.col("nom_verrouille") | F.coalesce("_verse", F.lit(False))).drop("_verse")
+    return locked.select(*projet.columns), patched
+
+
+def renommer(projet: DataFrame, names: DataFrame) -> DataFrame:
+    """New export names (id, nom_export); a locked name stays, and a try to change it is told in ``refus``."""
+    joined = projet.join(names.select("id", F.col("nom_export").alias("_nom")), "id", "left")
+    refused = F.col("nom_verrouille") & F.col("_nom").isNotNull() & ~F.col("_nom").eqNullSafe(F.col("nom_export"))
+    return joined.withColumn("refus", refused).withColumn("nom_export", F.when(refused, F.col("nom_export")).otherwise(F.coalesce("_nom", "nom_export"))).drop("_nom")
+
+
+def supprimer_avec_trace(table: DataFrame, ids: DataFrame, journal: DataFrame, action: str, author: str) -> tuple[DataFrame, DataFrame]:
+    """Drop rows, and append one audit entry (action, cible_id, auteur) for each row that was there."""
+    gone = table.join(ids.select("id"), "id", "left_semi").select(F.lit(action).alias("action"), F.col("id").alias("cible_id"), F.lit(author).alias("auteur"))
+    return table.join(ids.select("id"), "id", "left_anti"), journal.unionByName(gone)

@@ -69,11 +69,11 @@ def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Domain(spark, sf_dir).echeance.filter(calendar.a_revoir()).select("id", "cle")
 
 
-@register("p19_non_placable_sans_occurrence", oracle("""SELECT id, cle FROM d_echeance e WHERE NOT EXISTS (SELECT 1 FROM d_occurrence o WHERE o.echeance_id = e.id AND o.statut <> 'supprime' AND o.annee > 1999)
+@register("p19_non_placable_sans_occurrence", oracle("""SELECT id, cle FROM d_echeance e WHERE NOT EXISTS (SELECT 1 FROM d_occurrence o WHERE o.echeance_id = e.id)
     AND ((type = 'dependant_evenement' AND ancrage_annee IS NULL) OR coalesce(confiance, 0) < 0.7 OR len(champs_a_confirmer) > 0)"""))
 def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
-    used = d.occurrence.filter("statut <> 'supprime' and annee > 1999").select(F.col("echeance_id").alias("id"))
+    used = d.occurrence.select(F.col("echeance_id").alias("id"))
     unplaceable = ((F.col("type") == "dependant_evenement") & F.col("ancrage_annee").isNull()) | calendar.a_revoir()
     return d.echeance.join(used, "id", "left_anti").filter(unplaceable).select("id", "cle")
 

@@ -97,11 +97,11 @@ simple("j08_sans_rapport", "SELECT projet_id, annee FROM v_obligation o WHERE NO
        lambda d: __import__("ledgerloom.operators.signals", fromlist=["x"]).annees_obligation(d.projet, AS_OF).select("projet_id", "annee").join(d.rapport.filter("statut = 'valide'").select("projet_id", "annee"), ["projet_id", "annee"], "left_anti"))
 simple("j10_sans_motif", "SELECT projet_id, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM d_mouvement m WHERE m.occurrence_id = o.id AND m.motif IS NOT NULL)) AS nb FROM d_occurrence o GROUP BY projet_id",
        lambda d: d.occurrence.join(d.mouvement.filter("motif is not null").select(F.col("occurrence_id").alias("id")).distinct().withColumn("ok", F.lit(True)), "id", "left").groupBy("projet_id").agg(F.count_if(F.col("ok").isNull()).alias("nb")))
-simple("j12_depliage_ug", "SELECT id, unnest(ug_ids) AS ug FROM d_occurrence WHERE annee = 1998", lambda d: d.occurrence.filter("annee = 1998").select("id", F.explode("ug_ids").alias("ug")))
+simple("j12_depliage_ug", "SELECT id, unnest(ug_ids) AS ug FROM d_occurrence", lambda d: d.occurrence.select("id", F.explode("ug_ids").alias("ug")))
 simple("j14_derniere_activite", "SELECT projet_id, CAST(derniere AS DATE) AS derniere FROM v_activite_le", lambda d: __import__("ledgerloom.operators.signals", fromlist=["x"]).derniere_activite(d.projet, d.mouvement, d.rapport).select("projet_id", F.col("derniere_activite").cast("date").alias("derniere")))
 simple("j18_regles_jamais_placees", "SELECT id FROM d_echeance e WHERE NOT EXISTS (SELECT 1 FROM d_occurrence o WHERE o.echeance_id = e.id)", lambda d: d.echeance.join(d.occurrence.select(F.col("echeance_id").alias("id")), "id", "left_anti").select("id"))
-simple("j20_theme_par_cle_composee", "SELECT o.id, coalesce(nullif(o.lib_thema, ''), f.lib_thema, 'autre') AS theme FROM d_occurrence o LEFT JOIN d_fiche f ON f.id = o.echeance_id AND o.annee = 1998",
-       lambda d: d.occurrence.withColumn("k", F.when(F.col("annee") == 1998, F.col("echeance_id"))).join(d.fiche.select(F.col("id").alias("k"), F.col("lib_thema").alias("t")), "k", "left").select("id", F.coalesce(F.nullif("lib_thema", F.lit("")), "t", F.lit("autre")).alias("theme")))
+simple("j20_theme_par_cle_composee", "SELECT e.id, coalesce(f.lib_thema, 'autre') AS theme FROM d_echeance e LEFT JOIN d_fiche f ON f.projet_id = e.projet_id AND f.cle = e.action_cle",
+       lambda d: d.echeance.join(d.fiche.select("projet_id", F.col("cle").alias("action_cle"), "lib_thema"), ["projet_id", "action_cle"], "left").select("id", F.coalesce("lib_thema", F.lit("autre")).alias("theme")))
 simple("j21_hierarchie", "SELECT n.n_nationkey AS id, n.n_name AS nom, r.r_name AS parent FROM nation n LEFT JOIN region r ON r.r_regionkey = n.n_regionkey", lambda d: d.raw("nation").join(d.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("nom"), F.col("r_name").alias("parent")))
 simple("j24_seuils", "SELECT projet_id, count(*) AS n, CASE WHEN count(*) >= 2 THEN 'critique' ELSE 'attention' END AS niveau FROM d_occurrence WHERE statut = 'repousse' GROUP BY 1",
        lambda d: d.occurrence.filter("statut = 'repousse'").groupBy("projet_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(d.spark.createDataFrame(THRESHOLDS, "code string, valeur double").filter("code = 'bilan_manquant_critique'").select("valeur"))).select("projet_id", "n", F.when(F.col("n") >= F.col("valeur"), "critique").otherwise("attention").alias("niveau")))

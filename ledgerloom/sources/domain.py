@@ -152,7 +152,7 @@ class Domain:
     @cached_property
     def fiche(self) -> DataFrame:
         return self.raw("part").select(
-            F.col("p_partkey").alias("id"), F.concat(F.lit("A"), F.col("p_partkey").cast("string")).alias("cle"), F.upper(F.col("p_brand")).alias("code"),
+            F.col("p_partkey").alias("id"), (F.col("p_partkey") % 100).alias("projet_id"), F.concat(F.lit("A"), F.col("p_partkey").cast("string")).alias("cle"), F.upper(F.col("p_brand")).alias("code"),
             F.col("p_name").alias("titre"), F.when(F.col("p_partkey") % 4 == 0, "R1.1").when(F.col("p_partkey") % 4 == 1, "autre").alias("lib_thema"),
         )
 
@@ -230,7 +230,7 @@ SQL_TABLES = {
         CAST(p_partkey % 4 + 1 + CASE WHEN p_partkey % 2 = 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS intervalle_ans, CAST(p_partkey % 6 + 2 AS INTEGER) AS duree_ans,
         CAST(p_partkey % 3 + 1 AS INTEGER) AS occurrences_par_an, p_partkey % 15 = 3 AS sans_palier, CASE WHEN p_partkey % 6 <> 0 THEN (p_partkey % 100) / 100.0::DOUBLE END AS confiance,
         string_split(p_name, ' ') AS unites, CASE WHEN p_partkey % 8 = 0 THEN ['ancrage_annee'] ELSE [] END AS champs_a_confirmer FROM part""",
-    "d_fiche": """SELECT p_partkey AS id, 'A' || p_partkey AS cle, upper(p_brand) AS code, p_name AS titre, CASE p_partkey % 4 WHEN 0 THEN 'R1.1' WHEN 1 THEN 'autre' END AS lib_thema
+    "d_fiche": """SELECT p_partkey AS id, p_partkey % 100 AS projet_id, 'A' || p_partkey AS cle, upper(p_brand) AS code, p_name AS titre, CASE p_partkey % 4 WHEN 0 THEN 'R1.1' WHEN 1 THEN 'autre' END AS lib_thema
         FROM part""",
     "d_message": """SELECT conv_id * 1000 + turn AS id, conv_id AS demande_id, turn, CASE WHEN role = 'user' THEN 'be' ELSE 'dreal' END AS acteur, text AS corps,
         TIMESTAMP '2000-01-01 00:00:00' + to_hours(CAST(conv_id % 4000 AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS cree_le FROM conversations""",
