@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,13 +66,27 @@ def join_targets(values: Column) -> Column:
     return F.when(F.size(kept) > 0, F.array_join(kept, "|")).otherwise("-")
 
 
-def slugify(text: Column, width: int = 40) -> Column:
-    """ASCII letters and digits joined by underscores.
+def _ascii_table() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters that have an ASCII form under compatibility decomposition, by that rule: single ones and longer ones."""
+    found = [(chr(k), unicodedata.normalize("NFKD", chr(k)).encode("ascii", "ignore").decode()) for k in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]]
+    single = [(c, plain) for c, plain in found if len(plain) == 1]
+    return "".join(c for c, _ in single), "".join(p for _, p in single), [(c, p) for c, p in found if len(p) > 1]
+
+
+_LETTERS, _PLAIN, _LONGER = _ascii_table()
 
-    Accented Latin letters lose their accents by a fixed translation.
-    """
-    plain = F.translate(text, "àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
-    joined = F.regexp_replace(F.regexp_replace(plain, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+
+def to_ascii(text: Column) -> Column:
+    """Latin text without its accents; what has no ASCII form is left out."""
+    plain = F.translate(text, _LETTERS, _PLAIN)
+    for letter, longer in _LONGER:
+        plain = F.replace(plain, F.lit(letter), F.lit(longer))
+    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
+
+
+def slugify(text: Column, width: int = 40) -> Column:
+    """ASCII letters and digits joined by underscores."""
+    joined = F.regexp_replace(F.regexp_replace(to_ascii(text), "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
     return F.regexp_replace(F.left(joined, F.lit(width)), "_+$", "")
 
 

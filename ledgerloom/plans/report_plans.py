@@ -155,8 +155,8 @@ simple("c08_c09_apercus", "SELECT id, 'Message ' || turn || ' de ' || acteur ||
        lambda d: d.message.select("id", F.concat(F.lit("Message "), F.col("turn").cast("string"), F.lit(" de "), "acteur", F.lit(" : "), S.preview(F.col("corps"))).alias("apercu")))
 simple("c10_c11_textes_export", "SELECT id, left(coalesce(nullif(trim(titre), ''), '-'), 8) AS texte, length(coalesce(nullif(trim(titre), ''), '-')) > 8 AS tronque, array_to_string(list_filter([trim(categorie), trim(lib_thema)], lambda x: x IS NOT NULL AND x <> ''), '|') AS cibles FROM d_occurrence",
        lambda d: d.occurrence.select("id", S.fit(F.col("titre"), 8).alias("f"), S.join_targets(F.array("categorie", "lib_thema")).alias("cibles")).select("id", "f.texte", "f.tronque", "cibles"))
-simple("c12_c13_noms_de_fichier", "SELECT p_partkey AS id, regexp_replace(left(regexp_replace(regexp_replace(translate('Été ' || p_name || ' à Zoë!', 'ÉéàëôÀ', 'EeaeoA'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40), '_+$', '') AS slug, regexp_replace(p_name || ' #1.pdf', '[^A-Za-z0-9._-]+', '_', 'g') AS fichier FROM part",
-       lambda d: d.raw("part").select(F.col("p_partkey").alias("id"), S.slugify(F.concat(F.lit("Été "), "p_name", F.lit(" à Zoë!"))).alias("slug"), S.safe_file_name(F.concat("p_name", F.lit(" #1.pdf"))).alias("fichier")))
+simple("c12_c13_noms_de_fichier", "SELECT p_partkey AS id, regexp_replace(left(regexp_replace(regexp_replace('Ete odz fi 12 ' || p_name || ' a Zoe!', '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40), '_+$', '') AS slug, regexp_replace(p_name || ' #1.pdf', '[^A-Za-z0-9._-]+', '_', 'g') AS fichier FROM part",
+       lambda d: d.raw("part").select(F.col("p_partkey").alias("id"), S.slugify(F.concat(F.lit("Été Łódź ﬁ ½ "), "p_name", F.lit(" à Zoë!"))).alias("slug"), S.safe_file_name(F.concat("p_name", F.lit(" #1.pdf"))).alias("fichier")))
 simple("c14_projections", "SELECT id, CASE WHEN k IN ('2A', '2B') OR (regexp_matches(k, '^[0-9]{2}$') ) THEN 2154 WHEN k = '971' THEN 5490 WHEN k = '972' THEN 5490 WHEN k = '973' THEN 3857 WHEN k = '974' THEN 2975 WHEN k = '976' THEN 4471 WHEN regexp_matches(k, '^[0-9]$') THEN 2154 END AS srid FROM (SELECT id, CASE WHEN id % 11 = 0 THEN '2a' WHEN id % 13 = 0 THEN '974' WHEN id % 7 = 0 THEN '999' ELSE departement END AS dep, upper(trim(CASE WHEN id % 11 = 0 THEN '2a' WHEN id % 13 = 0 THEN '974' WHEN id % 7 = 0 THEN '999' ELSE departement END)) AS k FROM d_projet)",
        lambda d: d.projet.select("id", S.department_srid(F.when(F.col("id") % 11 == 0, "2a").when(F.col("id") % 13 == 0, "974").when(F.col("id") % 7 == 0, "999").otherwise(F.col("departement"))).alias("srid")))
 simple("c15_c18_dates", f"SELECT id, last_day(make_date(CASE WHEN mois_debut > mois_fin THEN annee + 1 ELSE annee END, coalesce(mois_fin, mois_debut, 12), 1)) AS deadline, CAST(last_day(make_date(CASE WHEN mois_debut > mois_fin THEN annee + 1 ELSE annee END, coalesce(mois_fin, mois_debut, 12), 1)) - DATE '{AS_OF}' AS INTEGER) AS jours FROM d_occurrence",
