@@ -34,7 +34,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import ship_package
+from ledgerloom.session import discard, materialise, ship_package
 
 # Words that name a secret, words that name a harmless code, common words of identifiers and placeholders.
 SECRET_NAMES = "token secret password passwd pwd apikey api_key api-key access_key accesskey auth bearer credential private key".split()
@@ -113,16 +113,25 @@ def find(text: str | None) -> list[tuple[int, int]]:
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 5000) -> frozenset[str]:
     """Words of identifiers and the ``most`` frequent words (of 4 to 15 letters) of all documents."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}{4,15}"), F.lit(0))).alias("w"))
-    frequent = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()  # at most ``most`` words
-    return frozenset(r.w for r in frequent) | frozenset(w for w in DICTIONARY if len(w) > 3)
+    # Tasks' lists of the most frequent words meet in a task, so the driver is sent ``most`` words only.
+    frequent = materialise(words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most), "frequent-words")
+    found = frequent.select("w").collect()
+    discard(frequent)
+    return frozenset(r.w for r in found) | frozenset(w for w in DICTIONARY if len(w) > 3)
 
 
-def excerpts(docs: DataFrame, text_col: str = "text", most: int = 500, characters: int = 2000, seed: int = 1) -> list[str]:
-    """Stretches of at most ``most`` documents (those of the smallest hash), to set labelled findings into."""
+def excerpts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", most: int = 500, characters: int = 2000, seed: int = 1) -> list[str]:
+    """Stretches of at most ``most`` documents, to set labelled findings into.
+
+    A hash of id and text picks about twice as many of all rows, whatever their
+    number, so no task sends more than its small share; the least of these stay.
+    """
     text = F.col(text_col).cast("string")
-    order = F.xxhash64(text, F.lit(seed))
+    order = F.xxhash64(F.col(id_col), text, F.lit(seed))
+    share = int(min(1.0, 2.0 * most / max(1, docs.count())) * (1 << 30)) + 1
     start = F.pmod(order, F.greatest(F.length(text) - characters, F.lit(0)) + 1) + 1
-    cut = docs.filter(F.length(text) > 0).select(order.alias("at"), F.substr(text, start.cast("int"), F.lit(characters)).alias("cut"))
+    picked = docs.filter((F.length(text) > 0) & (F.pmod(order, F.lit(1 << 30)) < share))
+    cut = picked.select(order.alias("at"), F.substr(text, start.cast("int"), F.lit(characters)).alias("cut"))
     return [r.cut for r in cut.orderBy("at", "cut").limit(most).collect()]
 
 
@@ -213,11 +222,11 @@ class Trained(NamedTuple):
 
 
 def train(
-    docs: DataFrame, findings: list[tuple[str, int, int, int]] | None = None, text_col: str = "text", most_excerpts: int = 500, trees: int = 40, depth: int = 8
+    docs: DataFrame, findings: list[tuple[str, int, int, int]] | None = None, text_col: str = "text", id_col: str = "doc_id", most_excerpts: int = 500, trees: int = 40, depth: int = 8
 ) -> Trained:
     """A random forest over labelled findings; those made here stand in ``most_excerpts`` documents at most."""
     words = corpus_words(docs, text_col)
-    findings = labelled_findings(excerpts(docs, text_col, most_excerpts)) if findings is None else findings
+    findings = labelled_findings(excerpts(docs, text_col, id_col, most_excerpts)) if findings is None else findings
     rows = [(describe(t, s, e, words), float(y)) for t, s, e, y in findings]
     table = docs.sparkSession.createDataFrame(rows, "f array<double>, label double").select(array_to_vector("f").alias("features"), "label")
     return Trained(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(table), words)
@@ -231,7 +240,7 @@ def scan(docs: DataFrame, trained: Trained | None = None, text_col: str = "text"
     are not returned.
     """
     ship_package(docs.sparkSession)
-    forest, words = trained or train(docs, text_col=text_col)
+    forest, words = trained or train(docs, text_col=text_col, id_col=id_col)
     shared = docs.sparkSession.sparkContext.broadcast(words)
     kind = docs.schema[id_col].dataType.simpleString()
 
