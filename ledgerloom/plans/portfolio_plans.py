@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from ledgerloom.operators import budget, portfolio, signals
 from ledgerloom.plans.oracles import SQL_VIEWS, oracle
 from ledgerloom.plans.registry import register
-from ledgerloom.session import materialise
 from ledgerloom.sources.domain import AS_OF, MONEY, Domain
 
 YEAR = AS_OF.year
@@ -25,16 +24,11 @@ def delta_of(d: Domain) -> DataFrame:
 
 
 class Facts:
-    """What the portfolio queries read of the facts, each written once in the columns that they need.
-
-    Every signal, finance and status branch starts from these tables, so each
-    source table is read (and each fact joined) once, whatever the number of
-    branches.  With an organisation, only what belongs to its projects is read on.
-    """
+    """What the portfolio queries read of the facts.  With an organisation, only what belongs to its projects is read on."""
 
     def __init__(self, d: Domain, organisation_id: int | None = None):
         projet = d.projet if organisation_id is None else d.projet.filter(F.col("organisation_id") == organisation_id)
-        self.organisation, self.projet = d.organisation, materialise(projet, "projet")
+        self.organisation, self.projet = d.organisation, projet
 
         def own(facts: DataFrame, *columns: str) -> DataFrame:
             narrow = facts.select("projet_id", *columns)
@@ -43,11 +37,11 @@ class Facts:
             return narrow.join(self.projet.select(F.col("id").alias("projet_id")), "projet_id", "left_semi")
 
         amounts = ("montant_initial", "montant_ht", "montant_engage", "montant_realise")
-        self.occurrence = materialise(own(d.occurrence, "id", "annee", "annee_initiale", "statut", *amounts), "occurrence")
-        self.mouvement = materialise(own(d.mouvement, "occurrence_id", "motif", "modifie_le"), "mouvement")
-        self.rapport = materialise(own(d.rapport, "id", "annee", "version", "statut", "genere_le", "valide_le"), "rapport")
-        self.delta = materialise(budget.budget_delta_annuel(self.occurrence), "delta")
-        self.signaux = materialise(self._signaux(), "signaux")
+        self.occurrence = own(d.occurrence, "id", "annee", "annee_initiale", "statut", *amounts)
+        self.mouvement = own(d.mouvement, "occurrence_id", "motif", "modifie_le")
+        self.rapport = own(d.rapport, "id", "annee", "version", "statut", "genere_le", "valide_le")
+        self.delta = budget.budget_delta_annuel(self.occurrence)
+        self.signaux = self._signaux()
 
     def _signaux(self) -> DataFrame:
         return signals.tous_les_signaux([
