@@ -29,20 +29,22 @@ def budget_annuel(occurrence: DataFrame) -> DataFrame:
 def budget_delta_annuel(occurrence: DataFrame) -> DataFrame:
     """Frozen baseline against current amounts, per project and year of either side.
 
-    Both sides are aggregated before they meet in the full outer join, which
-    therefore moves one row per project and year.
+    A line counts in its current year and, for its baseline, in its first one:
+    it becomes an entry for each, and one aggregate sums both sides, so the
+    lines are read once and nothing is joined.
     """
-    current = occurrence.filter(alive()).groupBy("projet_id", "annee").agg(
-        total("montant_ht").alias("prevu"), total("montant_engage").alias("engage"), total("montant_realise").alias("realise"),
-    )
-    initial = (
-        occurrence.filter("montant_initial is not null and annee_initiale is not null")
-        .groupBy("projet_id", F.col("annee_initiale").alias("annee")).agg(total("montant_initial").alias("initial"))
-    )
-    joined = current.join(initial, ["projet_id", "annee"], "full")
-    zero = F.lit(0)
-    measures = [F.coalesce(m, zero).alias(m) for m in ("initial", "prevu", "engage", "realise")]
-    return joined.select("projet_id", "annee", *measures).withColumn("delta_prevu_initial", F.col("prevu") - F.col("initial"))
+    amounts = [("prevu", "montant_ht"), ("engage", "montant_engage"), ("realise", "montant_realise")]
+    kinds = {c: occurrence.schema[c].dataType for c in ("montant_initial", *[c for _, c in amounts])}
+
+    def entry(year: str, now: bool) -> Column:
+        sides = [*[(m, c, now) for m, c in amounts], ("initial", "montant_initial", not now)]
+        return F.struct(F.col(year).alias("annee"), *[(F.col(c) if used else F.lit(None).cast(kinds[c])).alias(m) for m, c, used in sides])
+
+    frozen = F.col("montant_initial").isNotNull() & F.col("annee_initiale").isNotNull()
+    entries = F.array_compact(F.array(F.when(alive(), entry("annee", True)), F.when(frozen, entry("annee_initiale", False))))
+    measures = [total(m).alias(m) for m in ("initial", "prevu", "engage", "realise")]
+    sums = occurrence.select("projet_id", F.inline(entries)).groupBy("projet_id", "annee").agg(*measures)
+    return sums.withColumn("delta_prevu_initial", F.col("prevu") - F.col("initial"))
 
 
 def budget_ecarts(occurrence: DataFrame) -> DataFrame:

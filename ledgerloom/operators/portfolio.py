@@ -9,6 +9,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import signals
+from ledgerloom.operators.budget import alive, total
+
 
 def peut_voir(role: str, organisation_id: int | None, column: str = "organisation_id") -> Column:
     """Rows that a role may read: controllers and admins all, operators those of their organisation."""
@@ -64,12 +67,98 @@ def bilans_par_projet(matrice: DataFrame) -> DataFrame:
     )
 
 
+def faits_occurrence(occurrence: DataFrame, journal: DataFrame, as_of: dt.date) -> DataFrame:
+    """Everything that the portfolio asks of occurrences and their changes, per project, in one aggregate.
+
+    ``journal`` holds occurrence_id, motif and modifie_le.  It is reduced to a
+    row per occurrence before it joins.  Sums over the years of the annual
+    budget are sums over its lines, so no year has to be formed first.
+    """
+    changes = journal.groupBy(F.col("occurrence_id").alias("id")).agg(F.max(F.col("motif").isNotNull()).alias("motive"), F.max("modifie_le").alias("change_le"))
+    year, first, frozen = F.col("annee"), F.col("annee_initiale"), F.col("montant_initial").isNotNull() & F.col("annee_initiale").isNotNull()
+    amounts = {"prevu": "montant_ht", "engage": "montant_engage", "realise": "montant_realise"}
+
+    def current(column: str) -> Column:
+        return F.sum(F.when(alive() & (year == as_of.year), F.coalesce(column, F.lit(0))).when(frozen & (first == as_of.year), 0))
+
+    return occurrence.join(changes, "id", "left").groupBy("projet_id").agg(
+        total("montant_initial", frozen).alias("total_initial"), *[total(c, alive()).alias(f"total_{m}") for m, c in amounts.items()],
+        *[current(amounts[m]).alias(f"{m}_annee_courante") for m in ("prevu", "realise")],
+        F.least(F.min(F.when(alive(), year)), F.min(F.when(frozen, first))).alias("premiere_annee"),
+        F.greatest(F.max(F.when(alive(), year)), F.max(F.when(frozen, first))).alias("derniere_annee"),
+        F.count_if(alive()).alias("nb_occurrences"), F.count_if(F.col("statut") == "realise").alias("nb_occurrences_realisees"),
+        F.count_if(F.col("statut") == "repousse").alias("nb_occurrences_reportees"),
+        *[total(amounts[m], alive() & (year < as_of.year)).alias(f"{m}_echu") for m in ("prevu", "realise")],
+        *signals.sommes_retard(as_of), *signals.sommes_derive(), F.max("change_le").alias("change_le"),
+    )
+
+
+def faits_rapport(rapport: DataFrame) -> DataFrame:
+    """Per project: state of the best report by year, as a map, and the last moment at which one was made."""
+    rank = F.struct(F.col("statut") == "valide", "version")
+    years = rapport.groupBy("projet_id", "annee").agg(F.max_by("statut", rank).alias("statut"), F.max("genere_le").alias("genere_le"))
+    known = F.collect_list(F.when(F.col("annee").isNotNull(), F.struct("annee", "statut")))
+    return years.groupBy("projet_id").agg(F.map_from_entries(known).alias("etats"), F.max("genere_le").alias("rapport_le"))
+
+
+def faits_par_projet(projet: DataFrame, occurrence: DataFrame, journal: DataFrame, rapport: DataFrame, as_of: dt.date) -> DataFrame:
+    """One row per project with its signals, finances, states and reports; each table is read once.
+
+    Projects that only occurrences name have a row too, with nulls for the
+    project's own columns.
+    """
+    this_year = as_of.year
+    started = F.year("date_decision")
+
+    def years(last: Column, wanted: Column) -> Column:
+        # sequence() counts down or fails when the end lies before the start.
+        return F.coalesce(F.when(wanted & (started <= last), F.sequence(started, last)), F.array().cast("array<int>"))
+
+    def report(year: Column) -> Column:
+        return F.try_element_at("etats", year)
+
+    def state(year: Column) -> Column:
+        return F.coalesce(report(year), F.when(year < this_year, "manquant").otherwise("a_venir"))
+
+    owed = years(F.least(F.year(F.coalesce("date_fin", F.lit(as_of))), F.lit(this_year - 1)), F.col("statut") != "archive")
+    shown = years(F.year(F.coalesce("date_fin", F.add_months(F.lit(as_of), 12))), F.lit(True))
+    valid = F.filter("annees_bilan", lambda y: state(y) == "valide")
+    active = ~F.col("statut").isin("archive", "clos")
+    wide = projet.withColumnRenamed("id", "projet_id").join(faits_occurrence(occurrence, journal, as_of), "projet_id", "full").join(faits_rapport(rapport), "projet_id", "left")
+    filled = wide.withColumns({
+        "annees_manquantes": F.filter(owed, lambda y: F.coalesce(report(y), F.lit("")) != "valide"), "annees_bilan": shown,
+        "derniere_activite": F.when(active, F.greatest(F.coalesce("change_le", "created_at"), F.coalesce("rapport_le", "created_at"), F.col("updated_at"))),
+    }).withColumns({
+        "nb_bilans_manquants": F.size(F.filter("annees_bilan", lambda y: state(y) == "manquant")).cast("bigint"),
+        "nb_bilans_valides": F.size(valid).cast("bigint"), "dernier_bilan_valide": F.array_max(valid),
+    })
+    return signals.poser_signaux(filled, signals.regles(as_of))
+
+
+def signaux_des_faits(faits: DataFrame) -> DataFrame:
+    """One row per project and signal."""
+    return faits.select("projet_id", F.explode("signaux").alias("s")).select("projet_id", "s.*")
+
+
+def parc_des_faits(faits: DataFrame, organisation: DataFrame) -> DataFrame:
+    """``parc_projet`` from one row of facts per project."""
+    return _completer(faits.join(_nommee(organisation), "organisation_id"))
+
+
+def _nommee(organisation: DataFrame) -> DataFrame:
+    return organisation.select(F.col("id").alias("organisation_id"), F.col("nom").alias("organisation_nom"))
+
+
 def parc_projet(projet: DataFrame, organisation: DataFrame, signaux: DataFrame, finances: DataFrame, statuts: DataFrame, bilans: DataFrame) -> DataFrame:
     """One row per project.  The four inputs are aggregated per project before they join."""
-    org = organisation.select(F.col("id").alias("organisation_id"), F.col("nom").alias("organisation_nom"))
-    joined = projet.withColumnRenamed("id", "projet_id").join(org, "organisation_id")
+    joined = projet.withColumnRenamed("id", "projet_id").join(_nommee(organisation), "organisation_id")
     for part in (signaux, finances, statuts, bilans):
         joined = joined.join(part, "projet_id", "left")
+    return _completer(joined)
+
+
+def _completer(joined: DataFrame) -> DataFrame:
+    """Zeros for what a project lacks, and the columns that follow from the others."""
     zeros = [
         "nb_critique", "nb_attention", "total_initial", "total_prevu", "total_engage", "total_realise", "prevu_annee_courante", "realise_annee_courante",
         "nb_occurrences", "nb_occurrences_realisees", "nb_occurrences_reportees", "nb_bilans_manquants", "nb_bilans_valides",
@@ -139,8 +228,9 @@ def synthese_parc(parc: DataFrame) -> DataFrame:
     ).withColumn("taux_remise_bilans", _ratio(F.col("bilans_valides"), F.col("bilans_valides") + F.col("bilans_manquants")))
 
 
-def projets_par_signal(signal: DataFrame, parc: DataFrame) -> DataFrame:
-    """Distinct projects, and critical ones, by signal code."""
-    return signal.join(parc.select("projet_id"), "projet_id", "left_semi").groupBy("code").agg(
+def projets_par_signal(signal: DataFrame, parc: DataFrame | None = None) -> DataFrame:
+    """Distinct projects, and critical ones, by signal code; of the portfolio's projects only, if it is given."""
+    kept = signal if parc is None else signal.join(parc.select("projet_id"), "projet_id", "left_semi")
+    return kept.groupBy("code").agg(
         F.countDistinct("projet_id").alias("nb_projets"), F.countDistinct(F.when(F.col("niveau") == "critique", F.col("projet_id"))).alias("nb_critiques"),
     )

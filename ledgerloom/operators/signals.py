@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 from functools import reduce
+from operator import add
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,26 @@ def level(critical: Column) -> Column:
     return F.when(critical, "critique").otherwise("attention")
 
 
+class Signal(NamedTuple):
+    """Outcome of one rule, as expressions over the sums of one project."""
+
+    code: str
+    leve: Column
+    critique: Column
+    libelle: Column
+    valeur: Column
+    detail: Column
+
+    def columns(self) -> list[Column]:
+        detail = F.to_json(self.detail, {"ignoreNullFields": "false"})
+        return [F.lit(self.code).alias("code"), level(self.critique).alias("niveau"), self.libelle.alias("libelle"), self.valeur.alias("valeur"), detail.alias("detail")]
+
+
+def lever(sums: DataFrame, signal: Signal) -> DataFrame:
+    """The projects on which the rule raises its signal."""
+    return sums.filter(signal.leve).select("projet_id", *signal.columns())
+
+
 def annees_obligation(projet: DataFrame, as_of: dt.date) -> DataFrame:
     """One row per project and calendar year that owes a report."""
     first = F.year("date_decision")
@@ -27,43 +49,88 @@ def annees_obligation(projet: DataFrame, as_of: dt.date) -> DataFrame:
     return projet.filter("date_decision is not null and statut <> 'archive'").select(F.col("id").alias("projet_id"), "organisation_id", F.explode(years).alias("annee"))
 
 
+def regle_bilan(limits: dict[str, float] = _LIMITS) -> Signal:
+    n = F.size("annees_manquantes")
+    years = F.array_join(F.transform("annees_manquantes", lambda y: y.cast("string")), ", ")
+    return Signal(
+        "bilan_manquant", n > 0, n >= limits["bilan_manquant_critique"],
+        F.concat(n.cast("string"), F.lit(" bilan(s) annuel(s) non remis : "), years, F.lit(".")), n.cast("double"), F.struct(years.alias("annees")),
+    )
+
+
 def bilan_manquant(obligation: DataFrame, rapport: DataFrame, limits: dict[str, float] = _LIMITS) -> DataFrame:
     """Years without a validated report."""
     handed_in = rapport.filter("statut = 'valide'").select("projet_id", "annee")
-    late = obligation.join(handed_in, ["projet_id", "annee"], "left_anti").groupBy("projet_id").agg(
-        F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("annee")), lambda y: y.cast("string")), ", ").alias("annees"),
-    )
-    return late.select(
-        "projet_id", F.lit("bilan_manquant").alias("code"), level(F.col("n") >= limits["bilan_manquant_critique"]).alias("niveau"),
-        F.concat(F.col("n").cast("string"), F.lit(" bilan(s) annuel(s) non remis : "), "annees", F.lit(".")).alias("libelle"), F.col("n").cast("double").alias("valeur"),
-        F.to_json(F.struct("annees"), {"ignoreNullFields": "false"}).alias("detail"),
+    late = obligation.join(handed_in, ["projet_id", "annee"], "left_anti").groupBy("projet_id")
+    return lever(late.agg(F.array_sort(F.collect_list("annee")).alias("annees_manquantes")), regle_bilan(limits))
+
+
+def _late(as_of: dt.date) -> Column:
+    return F.col("statut").isin(*OPEN_STATES) & (F.col("annee") < as_of.year)
+
+
+def sommes_retard(as_of: dt.date) -> list[Column]:
+    late = _late(as_of)
+    return [
+        F.count_if(late).alias("retard_n"), F.min(F.when(late, F.col("annee"))).alias("retard_annee"),
+        F.coalesce(F.sum(F.when(late, F.col("montant_ht"))), F.lit(0)).alias("retard_montant"),
+        F.transform(F.array_sort(F.collect_list(F.when(late, F.struct("annee", "id")))), lambda x: x["id"]).alias("retard_occurrences"),
+    ]
+
+
+def regle_retard(as_of: dt.date, limits: dict[str, float] = _LIMITS) -> Signal:
+    n, first = F.col("retard_n"), F.col("retard_annee")
+    return Signal(
+        "retard_execution", n > 0, as_of.year - first >= limits["retard_critique_ans"],
+        F.concat(n.cast("string"), F.lit(" action(s) d'exercices échus non soldées, la plus ancienne de "), first.cast("string"), F.lit(".")), n.cast("double"),
+        F.struct(first.alias("annee_min"), F.col("retard_montant").alias("montant_concerne"), F.col("retard_occurrences").alias("occurrences")),
     )
 
 
 def retard_execution(occurrence: DataFrame, as_of: dt.date, limits: dict[str, float] = _LIMITS) -> DataFrame:
     """Actions of past years that are still open."""
-    late = occurrence.filter(F.col("statut").isin(*OPEN_STATES) & (F.col("annee") < as_of.year)).groupBy("projet_id").agg(
-        F.count("*").alias("n"), F.min("annee").alias("annee_min"), F.coalesce(F.sum("montant_ht"), F.lit(0)).alias("montant_concerne"),
-        F.transform(F.array_sort(F.collect_list(F.struct("annee", "id"))), lambda x: x["id"]).alias("occurrences"),
-    )
-    return late.select(
-        "projet_id", F.lit("retard_execution").alias("code"), level(as_of.year - F.col("annee_min") >= limits["retard_critique_ans"]).alias("niveau"),
-        F.concat(F.col("n").cast("string"), F.lit(" action(s) d'exercices échus non soldées, la plus ancienne de "), F.col("annee_min").cast("string"), F.lit(".")).alias("libelle"),
-        F.col("n").cast("double").alias("valeur"), F.to_json(F.struct("annee_min", "montant_concerne", "occurrences"), {"ignoreNullFields": "false"}).alias("detail"),
+    return lever(occurrence.filter(_late(as_of)).groupBy("projet_id").agg(*sommes_retard(as_of)), regle_retard(as_of, limits))
+
+
+def regle_consommation(limits: dict[str, float] = _LIMITS) -> Signal:
+    planned, spent = F.col("prevu_echu"), F.col("realise_echu")
+    rate = spent.cast("double") / F.when(planned > 0, planned.cast("double"))
+    return Signal(
+        "sous_consommation", rate < limits["sous_conso_seuil"], rate < limits["sous_conso_critique"],
+        F.concat(
+            F.lit("Seuls "), F.round(rate * 100).cast("int").cast("string"), F.lit("% du budget prévu des exercices échus ont été facturés ("),
+            F.round(spent).cast("decimal(28,0)").cast("string"), F.lit(" sur "), F.round(planned).cast("decimal(28,0)").cast("string"), F.lit(").")),
+        F.round(rate, 4), F.struct("prevu_echu", "realise_echu", (planned - spent).alias("non_consomme")),
     )
 
 
 def sous_consommation(delta: DataFrame, as_of: dt.date, limits: dict[str, float] = _LIMITS) -> DataFrame:
     """Past years in which too little of the planned budget was invoiced."""
-    sums = delta.filter(F.col("annee") < as_of.year).groupBy("projet_id").agg(F.sum("prevu").alias("prevu_echu"), F.sum("realise").alias("realise_echu")).filter("prevu_echu > 0")
-    rate = F.col("realise_echu").cast("double") / F.col("prevu_echu").cast("double")
-    return sums.withColumn("taux", rate).filter(F.col("taux") < limits["sous_conso_seuil"]).select(
-        "projet_id", F.lit("sous_consommation").alias("code"), level(F.col("taux") < limits["sous_conso_critique"]).alias("niveau"),
+    past = delta.filter(F.col("annee") < as_of.year).groupBy("projet_id")
+    return lever(past.agg(F.sum("prevu").alias("prevu_echu"), F.sum("realise").alias("realise_echu")), regle_consommation(limits))
+
+
+def sommes_derive() -> list[Column]:
+    """Over occurrences with a column ``motive``: true where a reason was given, else null or false."""
+    counted = F.col("montant_initial").isNotNull() & (F.col("statut") != "supprime")
+    moved = F.abs(F.coalesce("montant_ht", F.lit(0)) - F.col("montant_initial")) >= 1
+    return [
+        F.sum(F.when(counted, F.col("montant_initial"))).alias("derive_initial"), F.sum(F.when(counted, F.col("montant_ht"))).alias("derive_prevu"),
+        F.count_if(counted & moved & ~F.coalesce("motive", F.lit(False))).alias("lignes_sans_motif"),
+    ]
+
+
+def regle_derive(limits: dict[str, float] = _LIMITS) -> Signal:
+    initial, planned, silent = F.col("derive_initial"), F.col("derive_prevu"), F.col("lignes_sans_motif")
+    gap = planned - initial
+    whole = F.when(initial > 0, initial.cast("double"))
+    rate = F.abs(gap).cast("double") / whole
+    return Signal(
+        "derive_non_justifiee", (rate >= limits["derive_seuil_pct"]) & (silent > 0), rate >= limits["derive_critique_pct"],
         F.concat(
-            F.lit("Seuls "), F.round(F.col("taux") * 100).cast("int").cast("string"), F.lit("% du budget prévu des exercices échus ont été facturés ("),
-            F.round("realise_echu").cast("decimal(28,0)").cast("string"), F.lit(" sur "), F.round("prevu_echu").cast("decimal(28,0)").cast("string"), F.lit(").")).alias("libelle"),
-        F.round("taux", 4).alias("valeur"),
-        F.to_json(F.struct("prevu_echu", "realise_echu", (F.col("prevu_echu") - F.col("realise_echu")).alias("non_consomme")), {"ignoreNullFields": "false"}).alias("detail"),
+            F.lit("Écart de "), F.round(gap.cast("double") * 100 / whole).cast("int").cast("string"), F.lit("% au budget de référence ("),
+            F.round(gap).cast("decimal(28,0)").cast("string"), F.lit("), dont "), silent.cast("string"), F.lit(" ligne(s) sans motif renseigné.")),
+        F.round(rate, 4), F.struct(initial.alias("initial"), planned.alias("prevu"), gap.alias("ecart"), "lignes_sans_motif"),
     )
 
 
@@ -75,19 +142,7 @@ def derive_non_justifiee(occurrence: DataFrame, mouvement: DataFrame, limits: di
     """
     reasons = mouvement.filter("motif is not null").select(F.col("occurrence_id").alias("id")).distinct().withColumn("motive", F.lit(True))
     lines = occurrence.filter("montant_initial is not null and statut <> 'supprime'").join(reasons, "id", "left")
-    moved = F.abs(F.coalesce("montant_ht", F.lit(0)) - F.col("montant_initial")) >= 1
-    sums = lines.groupBy("projet_id").agg(
-        F.sum("montant_initial").alias("initial"), F.sum("montant_ht").alias("prevu"), F.count_if(moved & F.col("motive").isNull()).alias("lignes_sans_motif"),
-    ).withColumn("ecart", F.col("prevu") - F.col("initial")).filter("initial > 0")
-    rate = F.abs("ecart").cast("double") / F.col("initial").cast("double")
-    percent = F.round(F.col("ecart").cast("double") * 100 / F.col("initial").cast("double"))
-    return sums.withColumn("taux", rate).filter((F.col("taux") >= limits["derive_seuil_pct"]) & (F.col("lignes_sans_motif") > 0)).select(
-        "projet_id", F.lit("derive_non_justifiee").alias("code"), level(F.col("taux") >= limits["derive_critique_pct"]).alias("niveau"),
-        F.concat(
-            F.lit("Écart de "), percent.cast("int").cast("string"), F.lit("% au budget de référence ("), F.round("ecart").cast("decimal(28,0)").cast("string"),
-            F.lit("), dont "), F.col("lignes_sans_motif").cast("string"), F.lit(" ligne(s) sans motif renseigné.")).alias("libelle"),
-        F.round("taux", 4).alias("valeur"), F.to_json(F.struct("initial", "prevu", "ecart", "lignes_sans_motif"), {"ignoreNullFields": "false"}).alias("detail"),
-    )
+    return lever(lines.groupBy("projet_id").agg(*sommes_derive()), regle_derive(limits))
 
 
 def derniere_activite(projet: DataFrame, mouvement: DataFrame, rapport: DataFrame) -> DataFrame:
@@ -101,24 +156,51 @@ def derniere_activite(projet: DataFrame, mouvement: DataFrame, rapport: DataFram
     )
 
 
-def silence(activite: DataFrame, as_of: dt.date, limits: dict[str, float] = _LIMITS) -> DataFrame:
-    """Projects without activity for some months; one count floors, the other rounds."""
-    now = F.lit(as_of).cast("timestamp_ntz")
+def regle_silence(as_of: dt.date, limits: dict[str, float] = _LIMITS) -> Signal:
+    last = F.col("derniere_activite")
 
     def before(months: float) -> Column:
-        return F.col("derniere_activite") < F.add_months(F.lit(as_of), -int(months)).cast("timestamp_ntz")
+        return last < F.add_months(F.lit(as_of), -int(months)).cast("timestamp_ntz")
 
     # Whole seconds between two moments without time zone.
-    seconds = F.timestamp_diff("SECOND", F.col("derniere_activite"), now).cast("double")
-    return activite.filter(before(limits["silence_mois"])).select(
-        "projet_id", F.lit("silence").alias("code"), level(before(limits["silence_critique_mois"])).alias("niveau"),
+    seconds = F.timestamp_diff("SECOND", last, F.lit(as_of).cast("timestamp_ntz")).cast("double")
+    return Signal(
+        "silence", before(limits["silence_mois"]), before(limits["silence_critique_mois"]),
         F.concat(
             F.lit("Aucune activité enregistrée depuis "), F.floor(seconds / 2592000).cast("string"), F.lit(" mois (dernière le "),
-            F.date_format("derniere_activite", "dd/MM/yyyy"), F.lit(").")).alias("libelle"),
-        F.round(seconds / 2592000).alias("valeur"), F.to_json(F.struct(F.col("derniere_activite").cast("string").alias("derniere_activite"))).alias("detail"),
+            F.date_format(last, "dd/MM/yyyy"), F.lit(").")),
+        F.round(seconds / 2592000), F.struct(last.cast("string").alias("derniere_activite")),
     )
 
 
+def silence(activite: DataFrame, as_of: dt.date, limits: dict[str, float] = _LIMITS) -> DataFrame:
+    """Projects without activity for some months; one count floors, the other rounds."""
+    return lever(activite, regle_silence(as_of, limits))
+
+
+def regles(as_of: dt.date, limits: dict[str, float] = _LIMITS) -> list[Signal]:
+    """Every rule, over one row per project as ``portfolio.faits_par_projet`` makes it."""
+    return [regle_bilan(limits), regle_retard(as_of, limits), regle_consommation(limits), regle_derive(limits), regle_silence(as_of, limits)]
+
+
+def poser_signaux(faits: DataFrame, rules: list[Signal]) -> DataFrame:
+    """Adds counts by level and ``signaux`` (null without any), critical ones first, then by code.
+
+    The counts read the conditions, not the list, so a query that asks for
+    counts only never gathers the details.
+    """
+    def entry(rule: Signal) -> Column:
+        return F.when(rule.leve, F.struct((~F.coalesce(rule.critique, F.lit(False))).alias("ordre"), *rule.columns()))
+
+    def count(critical: bool) -> Column:
+        return reduce(add, [F.when(r.leve & (F.coalesce(r.critique, F.lit(False)) == critical), 1).otherwise(0) for r in rules]).cast("bigint")
+
+    raised = F.array_sort(F.array_compact(F.array(*map(entry, rules))))
+    return faits.withColumns({
+        "nb_critique": count(True), "nb_attention": count(False), "signaux": F.when(F.size(raised) > 0, F.transform(raised, lambda s: s.dropFields("ordre"))),
+    })
+
+
 def tous_les_signaux(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -23,46 +23,23 @@ def delta_of(d: Domain) -> DataFrame:
     return budget.budget_delta_annuel(d.occurrence)
 
 
-class Facts:
-    """What the portfolio queries read of the facts.  With an organisation, only what belongs to its projects is read on."""
-
-    def __init__(self, d: Domain, organisation_id: int | None = None):
-        projet = d.projet if organisation_id is None else d.projet.filter(F.col("organisation_id") == organisation_id)
-        self.organisation, self.projet = d.organisation, projet
-
-        def own(facts: DataFrame, *columns: str) -> DataFrame:
-            narrow = facts.select("projet_id", *columns)
-            if organisation_id is None:
-                return narrow
-            return narrow.join(self.projet.select(F.col("id").alias("projet_id")), "projet_id", "left_semi")
-
-        amounts = ("montant_initial", "montant_ht", "montant_engage", "montant_realise")
-        self.occurrence = own(d.occurrence, "id", "annee", "annee_initiale", "statut", *amounts)
-        self.mouvement = own(d.mouvement, "occurrence_id", "motif", "modifie_le")
-        self.rapport = own(d.rapport, "id", "annee", "version", "statut", "genere_le", "valide_le")
-        self.delta = budget.budget_delta_annuel(self.occurrence)
-        self.signaux = self._signaux()
-
-    def _signaux(self) -> DataFrame:
-        return signals.tous_les_signaux([
-            signals.bilan_manquant(signals.annees_obligation(self.projet, AS_OF), self.rapport), signals.retard_execution(self.occurrence, AS_OF),
-            signals.sous_consommation(self.delta, AS_OF), signals.derive_non_justifiee(self.occurrence, self.mouvement),
-            signals.silence(signals.derniere_activite(self.projet, self.mouvement, self.rapport), AS_OF),
-        ])
-
-    def parc(self) -> DataFrame:
-        return portfolio.parc_projet(
-            self.projet, self.organisation, signals.signaux_par_projet(self.signaux), portfolio.finances_par_projet(self.delta, AS_OF),
-            portfolio.statuts_par_projet(self.occurrence), portfolio.bilans_par_projet(portfolio.matrice_bilans(self.projet, self.rapport, AS_OF)),
-        )
+def facts_of(d: Domain, organisation_id: int | None = None) -> DataFrame:
+    """One row of facts per project; of one organisation's projects only, if it is given."""
+    amounts = ("montant_initial", "montant_ht", "montant_engage", "montant_realise")
+    projet, occurrence, rapport = d.projet, d.occurrence.select("projet_id", "id", "annee", "annee_initiale", "statut", *amounts), d.rapport
+    if organisation_id is not None:
+        projet = projet.filter(F.col("organisation_id") == organisation_id)
+        own = projet.select(F.col("id").alias("projet_id"))
+        occurrence, rapport = occurrence.join(own, "projet_id", "left_semi"), rapport.join(own, "projet_id", "left_semi")
+    return portfolio.faits_par_projet(projet, occurrence, d.journal, rapport, AS_OF)
 
 
 def signals_of(d: Domain) -> DataFrame:
-    return Facts(d).signaux
+    return portfolio.signaux_des_faits(facts_of(d))
 
 
 def parc_of(d: Domain, organisation_id: int | None = None) -> DataFrame:
-    return Facts(d, organisation_id).parc()
+    return portfolio.parc_des_faits(facts_of(d, organisation_id), d.organisation)
 
 
 SQL_VIEWS.update({
@@ -231,8 +208,8 @@ def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("a15_projets_par_signal", oracle("""SELECT s.code, count(DISTINCT s.projet_id) AS nb_projets, count(DISTINCT s.projet_id) FILTER (WHERE s.niveau = 'critique') AS nb_critiques
     FROM v_signal s JOIN v_parc p ON p.projet_id = s.projet_id GROUP BY s.code"""))
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = Facts(Domain(spark, sf_dir))
-    return portfolio.projets_par_signal(facts.signaux, facts.parc())
+    parc = parc_of(Domain(spark, sf_dir))
+    return portfolio.projets_par_signal(portfolio.signaux_des_faits(parc))
 
 
 _PARC = ["total_initial", "total_prevu", "total_engage", "total_realise", "delta_total", "prevu_annee_courante", "realise_annee_courante"]

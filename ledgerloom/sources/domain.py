@@ -100,19 +100,23 @@ class Domain:
         return pairs.select(F.col("o_custkey").alias("projet_id"), F.col("l_suppkey").alias("prestataire_id")).distinct().withColumn("role", F.lit("titulaire"))
 
     @cached_property
-    def mouvement(self) -> DataFrame:
+    def journal(self) -> DataFrame:
+        """The changes as they are logged, by occurrence; also those of occurrences that are gone."""
         k = F.get_json_object("props", "$.k").cast("int")
         fields = {"view": "annee", "click": "montant_ht", "purchase": "montant_engage", "signup": "montant_realise", "error": "statut"}
         champ = F.coalesce(*[F.when(F.col("event_type") == e, f) for e, f in fields.items()])
         value = F.col("value").cast(MONEY)
-        base = self.raw("events").select(
+        return self.raw("events").select(
             F.col("event_id").alias("id"), F.expr("event_id div 20").alias("occurrence_id"), champ.alias("champ"), value.cast("string").alias("ancienne_val"),
             (value + 10).cast(MONEY).cast("string").alias("nouvelle_val"),
             F.when(k % 3 != 0, F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("motif "), k.cast("string")))).alias("motif"),
             F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("modifie_par"), F.expr("ts - interval 24 years").alias("modifie_le"),
         )
+
+    @cached_property
+    def mouvement(self) -> DataFrame:
         owner = self.raw("orders").select(F.col("o_orderkey").alias("occurrence_id"), F.col("o_custkey").alias("projet_id"))
-        return base.join(owner, "occurrence_id")
+        return self.journal.join(owner, "occurrence_id")
 
     @cached_property
     def rapport(self) -> DataFrame:
