@@ -6,17 +6,19 @@ import datetime as dt
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.operators.mutations import insert_ignore, reseed, upsert
 
 
-def project_from_metadata(metadata: DataFrame, today: dt.date) -> DataFrame:
-    """New project rows from extracted metadata, with fallbacks for what is missing."""
+def project_from_metadata(metadata: DataFrame, today: dt.date, keep: tuple[str, ...] = ()) -> DataFrame:
+    """New project rows from extracted metadata, with fallbacks for what is missing; ``keep`` names columns that stay."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     return metadata.select(
-        F.coalesce(blank("nom"), blank("nom_operation"), F.lit("Projet sans nom")).alias("nom"), F.coalesce(blank("reference_interne"), F.concat(F.lit("REF-"), F.date_format(F.lit(today), "yyyyMMdd"))).alias("reference_interne"),
+        *keep, F.coalesce(blank("nom"), blank("nom_operation"), F.lit("Projet sans nom")).alias("nom"), F.coalesce(blank("reference_interne"), F.concat(F.lit("REF-"), F.date_format(F.lit(today), "yyyyMMdd"))).alias("reference_interne"),
         F.try_element_at("communes", F.lit(1)).alias("commune"), F.coalesce(F.col("duree_ans"), F.col("annee_fin") - F.col("annee_debut") + 1).cast("int").alias("duree_annees"),
     )
 
@@ -107,16 +109,28 @@ class StagedRun:
         return rows.filter(F.col("run") == self.run).groupBy("stage").agg(F.max_by(F.struct("state", "detail"), "at").alias("s")).select("stage", "s.*")
 
 
-def run_batch(items: list, work: Callable[[object], None]) -> tuple[list, list[tuple[object, str]]]:
-    """Run a driver-side task per item; one item's failure does not stop the others."""
-    done, failed = [], []
-    for item in items:
+def run_batch(items: DataFrame, column: str, work: Callable[[object], str]) -> DataFrame:
+    """Work off a table of items in tasks; one item's failure does not stop the others.
+
+    ``work`` takes the value of ``column`` (None where it is null) and returns a
+    text.  Adds ``resultat`` and ``erreur``, of which a failed item has only the
+    second; items that occur twice are worked off twice.
+    """
+    def attempt(value: object) -> tuple[str | None, str | None]:
         try:
-            work(item)
-            done.append(item)
+            return work(value), None
         except Exception as e:  # each item's error is reported, not swallowed
-            failed.append((item, f"{type(e).__name__}: {e}"))
-    return done, failed
+            return None, f"{type(e).__name__}: {e}"
+
+    def batches(parts):
+        for part in parts:
+            outcomes = [attempt(v) for v in part.column(column).to_pylist()]
+            for name, k in (("resultat", 0), ("erreur", 1)):
+                part = part.append_column(name, pa.array([o[k] for o in outcomes], pa.string()))
+            yield part
+
+    schema = T.StructType([*items.schema.fields, T.StructField("resultat", T.StringType()), T.StructField("erreur", T.StringType())])
+    return items.mapInArrow(batches, schema)
 
 
 def audit(action: str, projet_id: int, target: str, detail: dict, spark: SparkSession) -> DataFrame:

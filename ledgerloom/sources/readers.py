@@ -86,9 +86,10 @@ def flatten_sheet(cells: DataFrame) -> DataFrame:
     anchor), is_sum.  Text of a merged range spreads over it, a number stays on
     its anchor; empty rows and columns go; rows with a column sum are marked.
     """
-    anchor = Window.partitionBy("sheet", "merge_id")
-    text = F.max(F.when((F.col("merge_rank") == 0) & F.col("is_text"), F.col("value"))).over(anchor)
-    filled = cells.withColumn("value", F.when(F.col("merge_id").isNotNull() & (F.col("merge_rank") > 0), text).otherwise(F.col("value"))).filter("coalesce(value, '') <> ''")
+    inside = F.col("merge_id").isNotNull() & (F.col("merge_rank") > 0)
+    texts = cells.filter("merge_id is not null and merge_rank = 0 and is_text").select("sheet", "merge_id", "value")
+    spread = cells.filter(inside).drop("value").join(texts, ["sheet", "merge_id"]).select(*cells.columns)
+    filled = cells.filter(~F.coalesce(inside, F.lit(False))).unionByName(spread).filter("coalesce(value, '') <> ''")
     used = filled.select("sheet", "col").distinct().withColumn("place", F.row_number().over(Window.partitionBy("sheet").orderBy("col")))
     width = used.groupBy("sheet").agg(F.max("place").alias("width"))
     lines = filled.join(used, ["sheet", "col"]).groupBy("sheet", "row").agg(
@@ -103,7 +104,8 @@ def mock_occurrences(spark: SparkSession, n: int, first_year: int, last_year: in
     k = F.col("id")
 
     def draw(salt: int) -> Column:
-        return F.pmod(F.xxhash64(k, F.lit(seed), F.lit(salt)), F.lit(1000)) / 1000.0
+        digest = F.md5(F.concat_ws(":", k, F.lit(seed), F.lit(salt)))
+        return F.conv(F.substring(digest, 1, 6), 16, 10).cast("int") % 1000 / 1000.0
 
     year = (F.lit(first_year) + F.floor(draw(1) * (last_year - first_year + 1))).cast("int")
     rows = spark.range(n).withColumn("annee", year).withColumn("montant_ht", F.round(500 + draw(2) * 20000, 2).cast("decimal(18,2)"))

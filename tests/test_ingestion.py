@@ -69,5 +69,13 @@ def test_batch_goes_on_after_a_failure(spark):
     def work(k):
         if k == 2:
             raise ValueError("bad")
-    assert ingestion.run_batch([1, 2, 3], work) == ([1, 3], [(2, "ValueError: bad")])
+        return f"done {k}"
+
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "id int, autre string").repartition(3)
+    got = {r.autre: (r.id, r.resultat, r.erreur) for r in ingestion.run_batch(items, "id", work).collect()}
+    assert got == {"a": (1, "done 1", None), "b": (2, None, "ValueError: bad"), "c": (3, "done 3", None), "d": (None, "done None", None)}
+    assert ingestion.run_batch(items.limit(0), "id", work).count() == 0
+
+
+def test_audit_rows(spark):
     assert ingestion.audit("bilan.valider", 3, "rapport", {"b": 1}, spark).filter(F.col("detail").contains("b")).count() == 1
