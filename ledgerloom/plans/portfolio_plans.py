@@ -153,6 +153,24 @@ for _name, _view in [
     _signal(_name, _view)
 
 
+_DETAILS = [
+    """SELECT o.projet_id, 'bilan_manquant' AS code, '{"annees":"' || string_agg(CAST(annee AS VARCHAR), ', ' ORDER BY annee) || '"}' AS detail
+        FROM v_obligation o WHERE NOT EXISTS (SELECT 1 FROM d_rapport r WHERE r.projet_id = o.projet_id AND r.annee = o.annee AND r.statut = 'valide') GROUP BY o.projet_id""",
+    f"""SELECT projet_id, 'retard_execution', '{{"annee_min":' || min(annee) || ',"montant_concerne":' || CAST(coalesce(sum(montant_ht), 0) AS DECIMAL(28,2)) || ',"occurrences":[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY annee, id) || ']}}'
+        FROM d_occurrence WHERE statut IN ('planifie', 'en_cours', 'a_confirmer') AND annee < {YEAR} GROUP BY projet_id""",
+    f"""SELECT v.projet_id, v.code, '{{"prevu_echu":' || CAST(p AS DECIMAL(28,2)) || ',"realise_echu":' || CAST(r AS DECIMAL(28,2)) || ',"non_consomme":' || CAST(p - r AS DECIMAL(28,2)) || '}}'
+        FROM v_sig_conso v JOIN (SELECT projet_id, sum(prevu) AS p, sum(realise) AS r FROM v_delta WHERE annee < {YEAR} GROUP BY projet_id) d ON d.projet_id = v.projet_id""",
+    """SELECT v.projet_id, v.code, '{"initial":' || CAST(initial AS DECIMAL(28,2)) || ',"prevu":' || CAST(initial + ecart AS DECIMAL(28,2)) || ',"ecart":' || CAST(ecart AS DECIMAL(28,2)) || ',"lignes_sans_motif":' || sans_motif || '}'
+        FROM v_sig_derive v JOIN v_derive d ON d.projet_id = v.projet_id""",
+    """SELECT v.projet_id, v.code, '{"derniere_activite":"' || CAST(derniere AS VARCHAR) || '"}' FROM v_sig_silence v JOIN v_activite_le a ON a.projet_id = v.projet_id""",
+]
+
+
+@register("c32_details_des_signaux", oracle(" UNION ALL ".join(_DETAILS)))
+def c32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals_of(Domain(spark, sf_dir)).select("projet_id", "code", "detail")
+
+
 @register("a09_signaux_par_projet", oracle("""SELECT projet_id, count(*) FILTER (WHERE niveau = 'critique') AS nb_critique, count(*) FILTER (WHERE niveau = 'attention') AS nb_attention,
     string_agg(code || ':' || niveau, ',' ORDER BY (niveau = 'critique') DESC, code) AS signaux FROM v_signal GROUP BY projet_id"""))
 def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
