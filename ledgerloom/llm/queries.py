@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, hash_forest, html_text, lattice_lm, media, near_dedup, packing, pii, quality, secrets
+from ledgerloom.llm import bpe, hash_forest, html_text, infill, lattice_lm, media, near_dedup, packing, pii, quality, secrets, url_templates, whitening
 from ledgerloom.session import load
 
 
@@ -58,6 +58,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(load(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(load(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
+#: Host, path and verdict of the rules that every url is held against.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(load(spark, sf_dir, "pages"), URL_RULES)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_text": op2_html_text,
@@ -69,8 +85,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
+    "op11_infill": op11_infill,
+    "op12_whitening": op12_whitening,
+    "op13_url_templates": op13_url_templates,
 }
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {"op11_infill": infill.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
