@@ -173,3 +173,49 @@ def test_deep_pages_take_linear_time():
 
 def test_head_without_an_end_hides_nothing_of_the_body():
     assert main_text(f"<html><head><title>T</title><body><p>{PROSE}</p></body></html>") == PROSE
+
+
+LONG = PROSE.format("many more of them") + " " + PROSE.format("others")
+
+
+@pytest.mark.parametrize("wrapper", ["form", "fieldset", "form><fieldset", "dialog open", "div class='search'", "div id='page' class='modal'"])
+@pytest.mark.parametrize("inner", [ARTICLE, ARTICLE.replace("article>", "main>"), f"<div>{ARTICLE[9:-10]}</div>"])
+def test_a_wrapper_around_the_page_takes_no_article(wrapper, inner):
+    ends = "".join(f"</{w.split()[0]}>" for w in reversed(wrapper.split("><")))
+    want = WANT
+    menu, foot = "<nav><a href='/'>Home</a></nav>", "<footer>f</footer>"
+    assert main_text(f"<html><body><{wrapper}>{menu}{inner}{foot}{ends}</body></html>") == want
+    if "article" in inner or "main" in inner:  # marked, it is known beside other parts of the form too
+        rest = f"<aside><p>{LONG}</p></aside><div class='ad'>{LONG}</div><label>Your name</label><input name=q>"
+        assert main_text(f"<html><body><header><p>Slogan</p></header><{wrapper}>{menu}{inner}{rest if wrapper[:4] == 'form' else ''}{ends}{foot}</body></html>") == want
+
+
+@pytest.mark.parametrize("named", ["comments", "comment-list", "cookie-banner", "ad", "newsletter", "related-posts", "disqus_thread"])
+@pytest.mark.parametrize("as_articles", [False, True])
+def test_a_short_article_beside_longer_parts_stays_alone(named, as_articles):
+    block = f"<article><p>{LONG}</p></article>" if as_articles else f"<p>{LONG}</p>"
+    short = "<article><h1>A post</h1><p>It says little, and then it ends.</p></article>"
+    beside = f"<section class='{named}'>{block * 12}</section>"
+    want = "A post\n\nIt says little, and then it ends."
+    for html in (page(short + beside), page(f"<div>{beside}{short}</div>"), f"<html><body>{short}{beside}</body></html>", page(f"<main>{short[9:-10]}{beside}</main>"), page(f"<div class='post'>{short[9:-10]}</div>{beside}")):
+        assert main_text(html) == want
+
+
+def test_comments_marked_as_articles_are_no_article():
+    short = "<article class='post'><p>It says little, and then it ends.</p></article>"
+    comments = "".join(f"<article class='comment'><p>{LONG} {k}</p></article>" for k in range(5))
+    assert main_text(page(short + comments)) == "It says little, and then it ends."
+
+
+@pytest.mark.parametrize("foot", ["<div>Copyright 2024 Someone and others. All rights reserved.</div>", "<div><p>&copy; 2024 Someone</p></div>", "<div><span>Imprint and contact</span></div>", "<p>Copyright 2024 Someone</p>"])
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "{}", "<div><div>{}</div></div>"])
+def test_an_unnamed_footer_goes(foot, wrap):
+    blocks = [PROSE.format(f"number {k}") for k in range(6)]
+    body = wrap.format("<h1>A title</h1>" + "".join(f"<p>{b}</p>" for b in blocks) + "<p>An end.</p>")
+    assert main_text(f"<html><body><ul><li><a href='/'>Home</a></li></ul>{body}{foot}</body></html>").split("\n\n") == ["A title", *blocks, "An end."]
+
+
+def test_short_last_paragraphs_in_elements_of_their_own_stay():
+    blocks = [PROSE.format(f"number {k}") for k in range(6)] + ["An end."]
+    assert main_text("<html><body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body></html>").split("\n\n") == blocks
+    assert main_text("<div>Copyright law</div>") == "Copyright law"  # all there is
