@@ -122,7 +122,7 @@ _CELL = """CASE WHEN ligne = 1 AND col = 1 AND o_orderkey % 3 <> 0 THEN concat('
     WHEN ligne = 3 AND col = 1 THEN '5' WHEN ligne = 3 AND col = 4 THEN CAST(o_orderkey AS STRING) WHEN col = 3 THEN '' END"""
 
 
-def _cells(d: Domain) -> DataFrame:
+def sheet_cells(d: Domain) -> DataFrame:
     grid = d.raw("orders").select("o_orderkey", "o_orderstatus", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).withColumns({"ligne": F.expr("CAST(k div 4 + 1 AS INT)"), "col": F.expr("CAST(k % 4 + 1 AS INT)")})
     merged = (F.col("ligne") != 2) & (F.col("col") <= 2)
     return grid.select(
@@ -130,9 +130,9 @@ def _cells(d: Domain) -> DataFrame:
         F.when(merged, F.col("ligne")).alias("merge_id"), F.when(merged, F.col("col") - 1).alias("merge_rank"), ((F.col("ligne") == 3) & (F.col("col") == 4)).alias("is_sum"))
 
 
-simple("t28_feuilles", """SELECT 's' || o_orderkey AS sheet, CAST(l AS INTEGER) AS row, CASE l WHEN 1 THEN concat('T', o_orderkey, ' | T', o_orderkey, ' | ') WHEN 2 THEN o_orderstatus || vide || ' | 3' ELSE '5' || vide || ' | ' || o_orderkey || ' [TOTAL?]' END AS ligne
-    FROM (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN ' | ' ELSE '' END AS vide FROM orders, (VALUES (1), (2), (3)) t(l)) WHERE l = 3 OR (l = 1 AND o_orderkey % 3 <> 0) OR (l = 2 AND o_orderkey % 2 <> 0)""",
-       lambda d: readers.flatten_sheet(_cells(d)))
+SHEETS_SQL = """SELECT 's' || o_orderkey AS sheet, CAST(l AS INTEGER) AS row, CASE l WHEN 1 THEN concat('T', o_orderkey, ' | T', o_orderkey, ' | ') WHEN 2 THEN o_orderstatus || vide || ' | 3' ELSE '5' || vide || ' | ' || o_orderkey || ' [TOTAL?]' END AS ligne
+    FROM (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN ' | ' ELSE '' END AS vide FROM orders, (VALUES (1), (2), (3)) t(l)) WHERE l = 3 OR (l = 1 AND o_orderkey % 3 <> 0) OR (l = 2 AND o_orderkey % 2 <> 0)"""
+simple("t28_feuilles", SHEETS_SQL, lambda d: readers.flatten_sheet(sheet_cells(d)))
 
 
 def _draw(salt: int) -> str:

@@ -85,18 +85,25 @@ def flatten_sheet(cells: DataFrame) -> DataFrame:
     ``cells``: sheet, row, col, value, is_text, merge_id, merge_rank (0 at the
     anchor), is_sum.  Text of a merged range spreads over it, a number stays on
     its anchor; empty rows and columns go; rows with a column sum are marked.
+
+    The cells are read and dealt out once: a sheet's cells meet as one array, and
+    its rows, which follow from it, stay where it is.
     """
-    inside = F.col("merge_id").isNotNull() & (F.col("merge_rank") > 0)
-    texts = cells.filter("merge_id is not null and merge_rank = 0 and is_text").select("sheet", "merge_id", "value")
-    spread = cells.filter(inside).drop("value").join(texts, ["sheet", "merge_id"]).select(*cells.columns)
-    filled = cells.filter(~F.coalesce(inside, F.lit(False))).unionByName(spread).filter("coalesce(value, '') <> ''")
-    used = filled.select("sheet", "col").distinct().withColumn("place", F.row_number().over(Window.partitionBy("sheet").orderBy("col")))
-    width = used.groupBy("sheet").agg(F.max("place").alias("width"))
-    lines = filled.join(used, ["sheet", "col"]).groupBy("sheet", "row").agg(
-        F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"), F.max("is_sum").alias("total"))
-    def line() -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.col("width")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(""))), " | ")
-    return lines.join(width, "sheet").select("sheet", "row", F.concat(line(), F.when(F.col("total"), " [TOTAL?]").otherwise("")).alias("ligne"))
+    cell = F.struct("row", "col", "value", F.coalesce("is_text", F.lit(False)).alias("is_text"), "merge_id", F.coalesce("merge_rank", F.lit(0)).alias("merge_rank"), F.coalesce("is_sum", F.lit(False)).alias("is_sum"))
+    sheets = cells.groupBy("sheet").agg(F.collect_list(cell).alias("c"))
+    anchors = F.filter("c", lambda c: c["merge_id"].isNotNull() & (c["merge_rank"] == 0) & c["is_text"])
+    sheets = sheets.withColumn("labels", F.map_from_entries(F.transform(anchors, lambda c: F.struct(c["merge_id"], c["value"]))))
+
+    def shown(c: Column) -> Column:
+        follows = c["merge_id"].isNotNull() & (c["merge_rank"] > 0)
+        return F.when(follows, F.try_element_at("labels", c["merge_id"])).otherwise(c["value"])
+
+    filled = F.filter(F.transform("c", lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), shown(c).alias("value"), c["is_sum"].alias("is_sum"))), lambda c: F.coalesce(c["value"], F.lit("")) != "")
+    sheets = sheets.select("sheet", filled.alias("c")).withColumn("used", F.array_sort(F.array_distinct(F.transform("c", lambda c: c["col"]))))
+    rows = sheets.select("sheet", "used", F.explode("c").alias("c")).groupBy("sheet", "c.row").agg(
+        F.first("used").alias("used"), F.map_from_entries(F.collect_list(F.struct("c.col", "c.value"))).alias("m"), F.max("c.is_sum").alias("total"))
+    line = F.array_join(F.transform("used", lambda col: F.coalesce(F.try_element_at("m", col), F.lit(""))), " | ")
+    return rows.select("sheet", "row", F.concat(line, F.when(F.col("total"), " [TOTAL?]").otherwise("")).alias("ligne"))
 
 
 def mock_occurrences(spark: SparkSession, n: int, first_year: int, last_year: int, year_now: int, seed: int = 1) -> DataFrame:
