@@ -25,7 +25,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -59,32 +59,57 @@ _FORMAT = (
     r"(?:xox[abeoprs]-|xapp-|glpat-|gh[oprsu]_|github_pat_|[rs]k_live_|sk-|whsec_|AKIA|ASIA|AIza|ya29\.|npm_|pypi-|hf_|dop_v1_|shpat_|SG\.|eyJ)[A-Za-z0-9_.-]{12,}"
 )
 _KNOWN = re.compile(_FORMAT)
+# Runs are matched whole and never retried from within, so a text takes time in proportion to its length; whether a
+# name tells of a secret, and how far its value reaches, is looked up after the match.
 CANDIDATE = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@\"'<>]{0,64}:([^\s/@\"'<>]{3,200})@"
+    r"|(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@\"'<>]*+:(?P<password>[^\s/@\"'<>]{3,}+)@"
     rf"|(?<![A-Za-z0-9_.-]){_FORMAT}"
-    rf"|(?<![A-Za-z0-9_.-]){_NAME}[\"']?\s{{0,3}}(?:[:=]|:=|=>)\s{{0,3}}[\"']?([^\s\"'<>]{{6,}})"
+    r"|(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z0-9_.-]++)[\"']?\s{0,3}(?:[:=]|:=|=>)\s{0,3}[\"']?(?=[^\s\"'<>]{6})"
     r"|[A-Za-z0-9+/_=.-]{20,}"
 )
+_VALUE = re.compile(r"[^\s\"'<>]+")
+_RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 FEATURES = [
     "length", "transitions", "entropy", "digits", "upper", "dictionary", "path", "hex", "repeat", "secret_word", "harmless_word", "assigned", "quoted", "format", "credential",
 ]
 _BETWEEN = re.compile(r"://[^\s/:@]{0,64}:$")
 
 
+class Words:
+    """A dictionary that finds the longest word at a place by its first four letters."""
+
+    def __init__(self, words: Iterable[str]):
+        self._by_start: dict[str, list[str]] = {}
+        for w in sorted((w for w in words if len(w) > 3), key=lambda w: (-len(w), w)):
+            self._by_start.setdefault(w[:4], []).append(w)
+
+    def covered(self, value: str) -> int:
+        """Characters of a value that words cover, the longest at each place first."""
+        low, at, total = value.lower(), 0, 0
+        while at < len(low):
+            size = next((len(w) for w in self._by_start.get(low[at : at + 4], ()) if low.startswith(w, at)), 0)
+            total += size
+            at += size or 1
+        return total
+
+
 def covered(value: str, words: frozenset[str]) -> int:
-    """Characters of a value that dictionary words cover, the longest at each place first."""
-    low, at, total = value.lower(), 0, 0
-    while at < len(low):
-        size = next((n for n in range(min(15, len(low) - at), 3, -1) if low[at : at + n] in words), 0)
-        total += size
-        at += size or 1
-    return total
+    """``Words.covered`` for a single value."""
+    return Words(words).covered(value)
+
 
+_COMMON = Words(DICTIONARY)
 
-def describe(text: str, start: int, end: int, words: frozenset[str] = frozenset(DICTIONARY)) -> list[float]:
-    """Features of one finding, from the value and 60 characters before it."""
+
+def describe(text: str, start: int, end: int, words: Words | frozenset[str] = _COMMON, credential: bool | None = None) -> list[float]:
+    """Features of one finding, from the whole value and 60 characters before it.
+
+    ``credential`` says whether it is the password of a URL; if it isn't given,
+    the characters before tell.
+    """
     value, before = text[start:end], text[max(0, start - 60) : start]
+    words = words if isinstance(words, Words) else Words(words)
     lead = before.lower()
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value]
@@ -92,22 +117,43 @@ def describe(text: str, start: int, end: int, words: frozenset[str] = frozenset(
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     near = re.findall(r"[a-z0-9_-]+", lead)[-4:]
     named = any(w.lower() in SECRET_NAMES or _NAMED.fullmatch(w) for w in re.findall(r"[A-Za-z0-9_-]+", before)[-4:])
+    if credential is None:
+        credential = text[end : end + 1] == "@" and _BETWEEN.search(lead) is not None
     return [
-        float(min(n, 200)), sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), entropy, kinds.count("d") / n, kinds.count("u") / n,
-        covered(value[:200], words) / min(n, 200),
+        float(n), sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), entropy, kinds.count("d") / n, kinds.count("u") / n,
+        words.covered(value) / n,
         float(value.count("/") >= 2 or "://" in lead[-8:] or value.count(".") >= 2), float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None),
         max(counts.values()) / n, float(named), float(any(w in HARMLESS_NAMES for w in near)),
         float(re.search(r"[:=]\s{0,3}[\"']?$", lead) is not None), float(lead[-1:] in "\"'" and lead != ""),
-        float(_KNOWN.match(value) is not None), float(text[end : end + 1] == "@" and _BETWEEN.search(lead) is not None),
+        float(_KNOWN.match(value) is not None), float(credential),
     ]
 
 
+def candidates(text: str | None) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether it is the password of a URL) of the candidates of a text, from left to right."""
+    text, at = text or "", 0
+    while (m := CANDIDATE.search(text, at)) is not None:
+        at = m.end()
+        if m["password"] is not None:
+            yield *m.span("password"), True
+            continue
+        start, end = m.span()
+        if m["name"] is not None:
+            if _NAMED.fullmatch(m["name"]):
+                start, end = _VALUE.match(text, end).span()
+            else:
+                run = _RUN.match(text, start)
+                if run is None:
+                    at = start + 1
+                    continue
+                end = run.end()
+        at = end
+        yield start, end, False
+
+
 def find(text: str | None) -> list[tuple[int, int]]:
     """Spans of the candidates of a text."""
-    spans = []
-    for m in CANDIDATE.finditer(text or ""):
-        spans.append(m.span(m.lastindex or 0))
-    return spans
+    return [(start, end) for start, end, _ in candidates(text)]
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 5000) -> frozenset[str]:
@@ -227,7 +273,8 @@ def train(
     """A random forest over labelled findings; those made here stand in ``most_excerpts`` documents at most."""
     words = corpus_words(docs, text_col)
     findings = labelled_findings(excerpts(docs, text_col, id_col, most_excerpts)) if findings is None else findings
-    rows = [(describe(t, s, e, words), float(y)) for t, s, e, y in findings]
+    known = Words(words)
+    rows = [(describe(t, s, e, known), float(y)) for t, s, e, y in findings]
     table = docs.sparkSession.createDataFrame(rows, "f array<double>, label double").select(array_to_vector("f").alias("features"), "label")
     return Trained(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(table), words)
 
@@ -247,12 +294,13 @@ def scan(docs: DataFrame, trained: Trained | None = None, text_col: str = "text"
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        known = Words(shared.value)
         for batch in batches:
             rows, out = [], [[], [], [], []]
             for k, text in enumerate(batch.column(1).to_pylist()):
-                for start, end in find(text):
+                for start, end, credential in candidates(text):
                     rows.append(k)
-                    for column, value in zip(out, (start, end, hashlib.sha256(text[start:end].encode()).hexdigest(), describe(text, start, end, shared.value))):
+                    for column, value in zip(out, (start, end, hashlib.sha256(text[start:end].encode()).hexdigest(), describe(text, start, end, known, credential))):
                         column.append(value)
             yield pa.record_batch(
                 [
