@@ -17,8 +17,9 @@ OUTPUT_SCHEMA = "demande_id long, statut string, nb_messages long"
 
 
 def once_per_key(messages: DataFrame, key: str = "email_message_id", time: str = "cree_le", delay: str = "1 day") -> DataFrame:
-    """Messages without redelivered ones: a key counts once within the watermark."""
-    return messages.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    """Messages without redelivered ones: a key counts once within the watermark; those without a key all count."""
+    timed = messages.withWatermark(time, delay)
+    return timed.filter(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key]).unionByName(timed.filter(F.col(key).isNull()))
 
 
 def follow_thread(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
