@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -103,10 +104,20 @@ class StagedRun:
             self.note(name, "done")
         return self.spark.read.parquet(path)
 
-    def status(self) -> DataFrame:
-        """Latest state of each stage."""
+    def status(self, lines: bool = False) -> DataFrame:
+        """Latest state of each stage; with ``lines``, and how many rows the finished ones hold."""
         rows = self.spark.read.schema("run string, stage string, state string, detail string, at string").json(f"{self.folder}/_status")
-        return rows.filter(F.col("run") == self.run).groupBy("stage").agg(F.max_by(F.struct("state", "detail"), "at").alias("s")).select("stage", "s.*")
+        state = rows.filter(F.col("run") == self.run).groupBy("stage").agg(F.max_by(F.struct("state", "detail"), "at").alias("s")).select("stage", "s.*")
+        if not lines:
+            return state
+        written = [r.stage for r in state.filter("state = 'done'").select("stage").collect()]  # a handful of names
+        counts = [self.spark.read.parquet(f"{self.folder}/{n}").agg(F.lit(n).alias("stage"), F.count("*").alias("lignes")) for n in written]
+        return state.join(reduce(DataFrame.unionByName, counts), "stage", "left") if counts else state.withColumn("lignes", F.lit(None).cast("long"))
+
+
+def replace_partitions(rows: DataFrame, folder: str, by: list[str]) -> None:
+    """Rewrite only those partitions of a table that ``rows`` has rows in; files of all others stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
 
 
 def run_batch(items: DataFrame, column: str, work: Callable[[object], str]) -> DataFrame:

@@ -110,7 +110,7 @@ def _measures(d: Domain) -> DataFrame:
     nation = d.raw("nation").select("n_regionkey", F.struct(F.concat(F.lit("g"), "n_nationkey").alias("id"), F.col("n_name").alias("label"), measures.alias("mesures")).alias("g"))
     groups = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list("g").alias("groupes"))
     family = F.struct(F.col("r_name").alias("code"), F.concat(F.lit("Famille "), "r_name").alias("label"), "groupes")
-    return readers.catalogue(d.raw("region").join(groups, "r_regionkey").agg(F.to_json(F.struct(F.collect_list(family).alias("familles"))).alias("json")))
+    return readers.catalogue(d.raw("region").join(groups, "r_regionkey").select(F.to_json(F.struct(F.array(family).alias("familles"))).alias("json")))  # a file per family
 
 
 simple("s13_catalogue", "SELECT famille, famille_label, groupe, code, intitule FROM v_mesures", _measures)
@@ -143,8 +143,8 @@ simple("t32_occurrences_fictives", f"""SELECT id, annee, CAST(montant_ht AS DOUB
     CASE WHEN statut = 'realise' THEN CAST(round(montant_ht * CAST(0.9::DOUBLE + {_draw(4)} * 0.2::DOUBLE AS DECIMAL(6,3)), 2) AS DOUBLE) END AS montant_realise
     FROM (SELECT *, CASE WHEN annee < 2020 THEN CASE WHEN {_draw(3)} < 0.8::DOUBLE THEN 'realise' WHEN {_draw(3)} < 0.9::DOUBLE THEN 'repousse' ELSE 'en_cours' END
         WHEN annee = 2020 AND {_draw(3)} < 0.4::DOUBLE THEN 'en_cours' ELSE 'planifie' END AS statut
-    FROM (SELECT id, CAST(2015 + floor({_draw(1)} * 16) AS INTEGER) AS annee, CAST(round(500 + {_draw(2)} * 20000, 2) AS DECIMAL(18,2)) AS montant_ht FROM (SELECT unnest(range(0, 3000)) AS id)))""",
-       lambda d: readers.mock_occurrences(d.spark, 3000, 2015, 2030, 2020).withColumns({c: F.col(c).cast("double") for c in ("montant_ht", "montant_engage", "montant_realise")}))
+    FROM (SELECT id, CAST(2015 + floor({_draw(1)} * 16) AS INTEGER) AS annee, CAST(round(500 + {_draw(2)} * 20000, 2) AS DECIMAL(18,2)) AS montant_ht FROM (SELECT p_partkey AS id FROM part)))""",
+       lambda d: readers.mock_for(d.raw("part").select(F.col("p_partkey").alias("id")), 2015, 2030, 2020).withColumns({c: F.col(c).cast("double") for c in ("montant_ht", "montant_engage", "montant_realise")}))
 
 # A load over the domain: known projects get new metadata and sheets, rules keep what users edited.
 _NEW_YEAR = "CAST(1990 + o_orderkey % 20 AS INT)"
@@ -219,7 +219,8 @@ def _staged(d: Domain) -> ingestion.StagedRun:
 
 
 simple("t33_reprise", "SELECT type, count(*) AS nb FROM d_echeance GROUP BY type", lambda d: _staged(d).stage("types", lambda: d.spark.range(0)))
-simple("k34_etat_des_etapes", "SELECT * FROM (VALUES ('regles', 'done', ''), ('types', 'done', ''), ('vide', 'done', '')) t(stage, state, detail)", lambda d: _staged(d).status())
+simple("k34_etat_des_etapes", """SELECT * FROM (SELECT 'regles' AS stage, 'done' AS state, '' AS detail, count(*) AS lignes FROM d_echeance UNION ALL SELECT 'types', 'done', '', count(DISTINCT type) FROM d_echeance
+    UNION ALL SELECT 'vide', 'done', '', 0)""", lambda d: _staged(d).status(lines=True))
 
 
 def _read_counter(text: str | None) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules that register queries when they are imported.
-PLAN_MODULES = ["portfolio_plans", "process_plans", "report_plans", "export_plans", "ingest_plans", "geometry_plans", "file_plans", "stream_plans"]
+PLAN_MODULES = ["portfolio_plans", "process_plans", "report_plans", "export_plans", "ingest_plans", "geometry_plans", "file_plans", "stream_plans", "record_plans"]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 

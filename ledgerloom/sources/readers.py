@@ -17,6 +17,24 @@ def read_parametrised(spark: SparkSession, sql: str, **values) -> DataFrame:
     return spark.sql(sql, args=values)
 
 
+def at_most_one(keys: DataFrame, table: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """The row of ``table`` for each of ``keys``, or nulls; a second row is an error.
+
+    The count rides beside the row in one aggregate, so the refusal comes from
+    the plan itself.  ``strict=False`` tells it in ``motif`` instead of failing.
+    Null keys find nothing.
+    """
+    others = [c for c in table.columns if c != key]
+    rows = table.groupBy(key).agg(F.any_value(F.struct(*others)).alias("ligne"), F.count("*").alias("nb"))
+    several = F.col("nb") > 1
+    message = F.concat(F.lit("plusieurs lignes pour "), F.col(key).cast("string"), F.lit(" : "), F.col("nb").cast("string"))
+    found = keys.select(key).join(rows, key, "left")
+    if strict:
+        found = found.withColumn("ligne", F.when(several, F.raise_error(message)).otherwise(F.col("ligne")))
+        return found.select(key, F.col("ligne").isNotNull().alias("trouve"), "ligne.*")
+    return found.select(key, (F.col("ligne").isNotNull() & ~several).alias("trouve"), F.when(several, message).alias("motif"), *(F.when(~several, F.col(f"ligne.{c}")).alias(c) for c in others))
+
+
 def wrapped_or_list(raw: DataFrame, column: str, key: str, element: str) -> DataFrame:
     """Records of a JSON text that is either a list, or an object that holds the list under a key."""
     whole = F.from_json(column, T._parse_datatype_string(f"array<{element}>"))
@@ -107,7 +125,12 @@ def flatten_sheet(cells: DataFrame) -> DataFrame:
 
 
 def mock_occurrences(spark: SparkSession, n: int, first_year: int, last_year: int, year_now: int, seed: int = 1) -> DataFrame:
-    """Seeded made-up occurrences whose state and amounts follow from their year."""
+    """``n`` seeded made-up occurrences (``mock_for``)."""
+    return mock_for(spark.range(n), first_year, last_year, year_now, seed)
+
+
+def mock_for(ids: DataFrame, first_year: int, last_year: int, year_now: int, seed: int = 1) -> DataFrame:
+    """A made-up occurrence for every ``id``, whose state and amounts follow from its year; ids and seed alone decide."""
     k = F.col("id")
 
     def draw(salt: int) -> Column:
@@ -115,7 +138,7 @@ def mock_occurrences(spark: SparkSession, n: int, first_year: int, last_year: in
         return F.conv(F.substring(digest, 1, 6), 16, 10).cast("int") % 1000 / 1000.0
 
     year = (F.lit(first_year) + F.floor(draw(1) * (last_year - first_year + 1))).cast("int")
-    rows = spark.range(n).withColumn("annee", year).withColumn("montant_ht", F.round(500 + draw(2) * 20000, 2).cast("decimal(18,2)"))
+    rows = ids.select("id").withColumn("annee", year).withColumn("montant_ht", F.round(500 + draw(2) * 20000, 2).cast("decimal(18,2)"))
     state = (
         F.when(F.col("annee") < year_now, F.when(draw(3) < 0.8, "realise").when(draw(3) < 0.9, "repousse").otherwise("en_cours"))
         .when(F.col("annee") == year_now, F.when(draw(3) < 0.4, "en_cours").otherwise("planifie")).otherwise("planifie")
