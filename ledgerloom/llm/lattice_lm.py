@@ -2,16 +2,19 @@
 
 A text is a run of words, each with a mark of where it starts; a word is spelt
 by pieces of a public tokenizer's vocabulary, and its probability is the sum
-over all of its segmentations, each weighted by the vocabulary's own scores, by
+over all of its segmentations, each weighted by the pieces' unigram scores, by
 a forward recursion in log space.  No piece spans two words, so a document's
 marginal probability is the product over its words; after each word it ends or
 goes on, with the share of ends among the tokens of the training documents.
-That is ``score``.  The vocabulary's scores are ranks (see ``read_pieces``);
-for ``score`` they are never refitted.
 
-``word_score`` is what the training documents add: a word that they hold also
-has an edge over the whole of it, weighted by its count, and the pieces' weights
-are adapted by expectation-maximisation over the distinct training words.  The
+The vocabulary's own scores are ranks (see ``read_pieces``).  They are the prior
+from which expectation-maximisation re-estimates the scores of the same pieces
+over all training words, each weighing its count; ``score`` is the lattice under
+these.  ``rank_score`` is the same lattice under the ranks alone.
+
+``word_score`` is a further model: a word that the training documents hold also
+has an edge over the whole of it, weighted by its count, and words without one
+are spelt by pieces re-estimated over the distinct training words.  The
 weights of words are held per class of documents (their language, where a column tells it), backed off to
 all classes and then to the lattice, each step by the share of words that occur
 once (Good and Turing).  A document's own class is not used to score it: its
@@ -34,7 +37,7 @@ an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -145,11 +148,17 @@ class Lattice:
 
     def log_probs(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
         """Natural log of each word's probability, summed over its segmentations."""
-        logp = np.append(np.log(weights), -np.inf)  # the last entry serves id -1
-        out = np.zeros(len(words))
+        return self.log_probs_under(words, [weights])[0]
+
+    def log_probs_under(self, words: list[bytes], several: Sequence[np.ndarray]) -> np.ndarray:
+        """The same under several weights of the pieces, whose edges are looked up once."""
+        logs = [np.append(np.log(weights), -np.inf) for weights in several]  # the last entry serves id -1
+        out = np.zeros((len(logs), len(words)))
         for rows, places in self._groups(words):
             m, n = rows.shape
-            out[places] = self._forward(self._edges(rows), n, m, logp)[n]
+            edges = self._edges(rows)
+            for k, logp in enumerate(logs):
+                out[k, places] = self._forward(edges, n, m, logp)[n]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -259,13 +268,15 @@ def score(
     modulus: int = 7,
     held_out_remainder: int = 2,
     rounds: int = 2,
+    score_rounds: int = 4,
     prior_weight: float = 1000.0,
     concentration: float = 3200.0,
     block_bytes: int = 24 << 20,
 ) -> DataFrame:
     """Score every document; counts come from the documents that are not held out.
 
-    For ``word_score``, ``rounds`` passes of expectation-maximisation start from
+    ``score_rounds`` passes of expectation-maximisation over all training words,
+    and for ``word_score`` ``rounds`` passes over the distinct ones, start from
     the vocabulary's own weights, which stay in as ``prior_weight``
     pseudo-pieces; ``concentration`` (16 or more) is the strength of the
     Dirichlet prior.
@@ -273,8 +284,9 @@ def score(
     documents; the ``max_classes`` most frequent values have one each, all
     others share one more.  Returns ``id_col``, ``held_out``, ``n_tokens``,
     ``n_known``, ``train_tokens``, ``base_score`` (add-one word unigrams),
-    ``score`` (lattices under the vocabulary's scores) and ``word_score``
-    (lattices with word edges); the scores are log10.
+    ``score`` (lattices under re-estimated piece scores), ``word_score`` (lattices
+    with word edges) and ``rank_score`` (lattices under the vocabulary's ranks);
+    the scores are log10.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -314,10 +326,13 @@ def score(
     n_ends = sum(trained.values())
     train_tokens, distinct = n_words + n_ends, totals["distinct"] + (n_ends > 0)
 
-    fitted = weights
+    fitted = learned = weights
     for _ in range(rounds if n_words else 0):
-        uses = _expected_uses(known, shared_pieces, fitted)
+        uses = _expected_uses(known, shared_pieces, fitted, distinct=True)
         fitted = (uses + prior_weight * weights) / (uses.sum() + prior_weight)
+    for _ in range(score_rounds if n_words else 0):
+        uses = _expected_uses(known, shared_pieces, learned, distinct=False)
+        learned = (uses + prior_weight * weights) / (uses.sum() + prior_weight)
 
     # Pseudo-counts keep every text possible.  Per class: all words, the share of words
     # new to the class, and the share of those that are new to all classes.
@@ -327,24 +342,25 @@ def score(
     if not n_words:
         new_here[:], new_anywhere[:] = 1.0, 1.0
     class_logs = np.log([(trained.get(z, 0) + 1.0) / (n_ends + classes) for z in range(classes)])
-    record = np.dtype([("idx", "<i4"), ("c", "<i8"), ("spelt", "<f8"), ("lp", "<f4", (classes,))])
+    record = np.dtype([("idx", "<i4"), ("c", "<i8"), ("spelt", "<f8"), ("ranked", "<f4"), ("lp", "<f4", (classes,))])
     scored = _word_scores(record, sizes, new_here, new_anywhere, max(n_words, 1))
     spelt = words.select("word", "c", *per_class).mapInArrow(
-        _spelt(shared_pieces, weights, fitted), f"word binary, c long, {', '.join(f'{c} long' for c in per_class)}, spelt double, fitted double",
+        _spelt(shared_pieces, learned, fitted, weights), f"word binary, c long, {', '.join(f'{c} long' for c in per_class)}, spelt double, fitted double, ranked double",
     )
-    returned = of_words.select("block", "idx", "word").join(spelt, "word").select("block", "idx", "c", "spelt", "fitted", *per_class).mapInArrow(scored, "block long, scores binary")
+    returned = of_words.select("block", "idx", "word").join(spelt, "word").select("block", "idx", "c", "spelt", "fitted", "ranked", *per_class).mapInArrow(scored, "block long, scores binary")
     ends = (n_ends + 1.0) / (n_words + n_ends + 2.0)
     add_one = float(np.log10(train_tokens + distinct + 1))
     end_base = float(np.log10(n_ends + 1)) - add_one
 
     def join_block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         table = np.frombuffer(b"".join(right.column("scores").to_pylist()), record)
-        count, spelt, log_x = np.zeros(len(table), np.int64), np.zeros(len(table)), np.zeros((len(table), classes))
-        count[table["idx"]], spelt[table["idx"]], log_x[table["idx"]] = table["c"], table["spelt"], table["lp"] + math.log(concentration)
+        count, spelt, ranked, log_x = np.zeros(len(table), np.int64), np.zeros(len(table)), np.zeros(len(table)), np.zeros((len(table), classes))
+        count[table["idx"]], spelt[table["idx"]], ranked[table["idx"]], log_x[table["idx"]] = table["c"], table["spelt"], table["ranked"], table["lp"] + math.log(concentration)
         base, x = np.log10(count + 1.0) - add_one, np.exp(log_x)
         blobs = [np.frombuffer(b, "<u4").astype(np.int64).reshape(2, -1) for b in left.column("packed").to_pylist()]
         sizes = np.array([b.shape[1] for b in blobs])
-        tokens, n_known, base_sum, lattice = np.zeros(len(blobs), np.int64), np.zeros(len(blobs), np.int64), np.zeros(len(blobs)), np.zeros(len(blobs))
+        tokens, n_known = np.zeros(len(blobs), np.int64), np.zeros(len(blobs), np.int64)
+        base_sum, lattice, by_rank = np.zeros(len(blobs)), np.zeros(len(blobs)), np.zeros(len(blobs))
         by_class = np.zeros((len(blobs), classes))
         reach = np.cumsum(sizes)
         at = 0
@@ -358,6 +374,7 @@ def score(
                 n_known[filled] = np.add.reduceat(np.where(count[words] > 0, times, 0), starts)
                 base_sum[filled] = np.add.reduceat(base[words] * times, starts)
                 lattice[filled] = np.add.reduceat(spelt[words] * times, starts)
+                by_rank[filled] = np.add.reduceat(ranked[words] * times, starts)
                 by_class[filled] = np.add.reduceat(log_rising(x[words], log_x[words], times), starts, axis=0)
             at = to
         by_class += class_logs
@@ -372,9 +389,10 @@ def score(
             "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([train_tokens] * rows, pa.int64()),
             "base_score": pa.array(base_sum, pa.float64()),
             "score": pa.array((lattice + lengths) / math.log(10.0), pa.float64()), "word_score": pa.array((recur + lengths) / math.log(10.0), pa.float64()),
+            "rank_score": pa.array((by_rank + lengths) / math.log(10.0), pa.float64()),
         })
 
-    result = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double"
+    result = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double, rank_score double"
     documents = blocks.filter("word is null").select("block", "id", "held", "n", "packed")
     return (
         documents.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(join_block, result)
@@ -394,17 +412,18 @@ def _lattice(shared_pieces) -> Lattice:
     return _lattices[key]
 
 
-def _expected_uses(known: DataFrame, shared_pieces, weights: np.ndarray) -> np.ndarray:
+def _expected_uses(known: DataFrame, shared_pieces, weights: np.ndarray, distinct: bool) -> np.ndarray:
     """Expected uses of each piece over all training words; one number per piece.
 
-    A word weighs 1 / its count: rare words tell how new ones are spelt.
+    A word weighs its count; with ``distinct`` 1 / its count, since rare words
+    tell how new ones are spelt.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, uses = _lattice(shared_pieces), 0.0
         for batch in in_bulk(batches, 20_000):
             counts = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            uses = uses + lattice.expected(batch.column(0).to_pylist(), 1.0 / counts, weights)
+            uses = uses + lattice.expected(batch.column(0).to_pylist(), 1.0 / counts if distinct else counts, weights)
         if np.ndim(uses):
             used = np.flatnonzero(uses)
             yield pa.record_batch([pa.array(used, pa.int64()), pa.array(uses[used])], names=["piece", "uses"])
@@ -416,14 +435,14 @@ def _expected_uses(known: DataFrame, shared_pieces, weights: np.ndarray) -> np.n
     return out
 
 
-def _spelt(shared_pieces, weights: np.ndarray, fitted: np.ndarray):
-    """Task: (word, counts) -> the same and the log of the word's lattice probability under both weights."""
+def _spelt(shared_pieces, *weights: np.ndarray):
+    """Task: (word, counts) -> the same and the log of the word's lattice probability under each of the weights."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared_pieces)
         for batch in in_bulk(batches, 20_000):
-            found = [pa.array(lattice.log_probs(batch.column(0).to_pylist(), w), pa.float64()) for w in (weights, fitted)]
-            yield pa.record_batch([*batch.columns, *found], names=[*batch.schema.names, "spelt", "fitted"])
+            found = [pa.array(p, pa.float64()) for p in lattice.log_probs_under(batch.column(0).to_pylist(), weights)]
+            yield pa.record_batch([*batch.columns, *found], names=[*batch.schema.names, "spelt", "fitted", "ranked"])
 
     return work
 
@@ -433,13 +452,13 @@ def _word_scores(record: np.dtype, sizes: np.ndarray, new_here: np.ndarray, new_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_bulk(batches, 20_000):
-            count, spelt, fitted = (batch.column(k).to_numpy() for k in (2, 3, 4))
-            here = np.stack([batch.column(5 + z).to_numpy() for z in range(len(sizes))], axis=1)
+            count, spelt, fitted, ranked = (batch.column(k).to_numpy() for k in (2, 3, 4, 5))
+            here = np.stack([batch.column(6 + z).to_numpy() for z in range(len(sizes))], axis=1)
             seen = (1 - new_here) * (here / sizes) + new_here * (1 - new_anywhere) * (count[:, None] / n_words)
             with np.errstate(divide="ignore"):  # words that were never seen
                 mixed = np.logaddexp(np.log(seen), np.log(new_here * new_anywhere) + fitted[:, None])
             table = np.empty(len(count), record)
-            table["idx"], table["c"], table["spelt"], table["lp"] = batch.column(1).to_numpy(), count, spelt, mixed
+            table["idx"], table["c"], table["spelt"], table["ranked"], table["lp"] = batch.column(1).to_numpy(), count, spelt, ranked, mixed
             block = batch.column(0).to_numpy()
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order])) + 1

@@ -37,8 +37,8 @@ def test_sum_over_all_segmentations():
     assert np.isclose((uses * lengths).sum(), sum(len(w) + 1 for w in words))
 
 
-def test_score_is_the_sum_over_all_segmentations_under_the_vocabulary(spark):
-    """By hand: every segmentation of every word, weighted by the scores that stand in the vocabulary's file."""
+def test_score_is_the_sum_over_all_segmentations_under_learnt_weights(spark):
+    """By hand: every segmentation of every word, under the vocabulary's ranks, and under weights that EM learns from all training words."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -54,13 +54,18 @@ def test_score_is_the_sum_over_all_segmentations_under_the_vocabulary(spark):
             weight[name] = max(weight.get(name, 0), 1 / (rank + 2))
     total = sum(weight.values())
 
+    ranked = {p: w / total for p, w in weight.items()}
+
     def segmentations(text):
         if not text:
-            yield 1.0
+            yield ()
         for k in range(1, len(text) + 1):
             if text[:k] in weight:
                 for rest in segmentations(text[k:]):
-                    yield weight[text[:k]] / total * rest
+                    yield (text[:k], *rest)
+
+    def probability(word, under):
+        return sum(math.prod(under[p] for p in parts) for parts in segmentations(b" " + word))
 
     texts = ["the cat sat", "The  CAT\tsat", "", None, "über naïve", "xqzt", "a a a b", "日本 x", "information"]
     rows = list(enumerate(texts))
@@ -68,10 +73,23 @@ def test_score_is_the_sum_over_all_segmentations_under_the_vocabulary(spark):
     words = {k: (t or "").encode().lower().split() for k, t in rows}
     n_words, n_ends = (sum(f(k) for k, _ in rows if not held[k]) for f in (lambda k: len(words[k]), lambda k: 1))
     end = (n_ends + 1) / (n_words + n_ends + 2)
-    got = {r.doc_id: r for r in lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), MODEL).collect()}
+    counts = Counter(w for k, _ in rows if not held[k] for w in words[k])
+    learnt = ranked
+    for _ in range(3):
+        uses = Counter()
+        for w, c in counts.items():
+            whole = probability(w, learnt)
+            for parts in segmentations(b" " + w):
+                share = c * math.prod(learnt[p] for p in parts) / whole
+                for p in parts:
+                    uses[p] += share
+        learnt = {p: (uses[p] + 5.0 * r) / (sum(uses.values()) + 5.0) for p, r in ranked.items()}
+    got = {r.doc_id: r for r in lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), MODEL, score_rounds=3, prior_weight=5.0).collect()}
     for k, _ in rows:
-        want = math.log10(end) + sum(math.log10((1 - end) * sum(segmentations(b" " + w))) for w in words[k])
+        want, by_rank = (math.log10(end) + sum(math.log10((1 - end) * probability(w, under)) for w in words[k]) for under in (learnt, ranked))
         assert math.isclose(got[k].score, want, rel_tol=1e-9), texts[k]
+        assert math.isclose(got[k].rank_score, by_rank, rel_tol=1e-6), texts[k]
+    assert sum(got[k].score for k, _ in rows if not held[k]) > sum(got[k].rank_score for k, _ in rows if not held[k])
 
 
 def docs():
@@ -108,7 +126,7 @@ def test_probabilities_of_all_texts_stay_below_one(spark):
     table = spark.createDataFrame(rows + list(zip(held, probes)), "doc_id long, text string")
     found = [r for r in lattice_lm.score(table, MODEL).collect() if r.doc_id >= 1000]
     assert 0.5 < sum(10 ** r.word_score for r in found) <= 1.0 + 1e-9
-    assert sum(10 ** r.score for r in found) <= 1.0 + 1e-9
+    assert sum(10 ** r.score for r in found) <= 1.0 + 1e-9 and sum(10 ** r.rank_score for r in found) <= 1.0 + 1e-9
 
 
 @pytest.mark.parametrize("rows", [[], [(4, "only held out")]])
