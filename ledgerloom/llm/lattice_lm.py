@@ -163,19 +163,24 @@ class Lattice:
 
     def expected(self, words: list[bytes], counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in words that occur ``counts`` times."""
-        logp = np.append(np.log(weights), -np.inf)
-        uses = np.zeros(self.n_pieces + 1)
+        return self.expected_under(words, [counts], [weights])[0]
+
+    def expected_under(self, words: list[bytes], counts: Sequence[np.ndarray], several: Sequence[np.ndarray]) -> np.ndarray:
+        """The same for several pairs of counts and weights, whose edges are looked up once."""
+        logs = [np.append(np.log(weights), -np.inf) for weights in several]
+        uses = np.zeros((len(logs), self.n_pieces + 1))
         for rows, places in self._groups(words):
             m, n = rows.shape
             edges = self._edges(rows)
-            ahead = self._forward(edges, n, m, logp)
-            back = np.zeros((n + 1, m))
-            for j in range(n - 1, -1, -1):
-                back[j] = self._log_sum([logp[e[j]] + back[j + s] for s, e in edges.items() if j + s <= n])
-            for s, ids in edges.items():
-                share = np.exp(ahead[: n - s + 1] + logp[ids] + back[s:] - ahead[n]) * counts[places]
-                uses += np.bincount(ids.ravel() + 1, share.ravel(), self.n_pieces + 1)
-        return uses[1:]
+            for k, logp in enumerate(logs):
+                ahead = self._forward(edges, n, m, logp)
+                back = np.zeros((n + 1, m))
+                for j in range(n - 1, -1, -1):
+                    back[j] = self._log_sum([logp[e[j]] + back[j + s] for s, e in edges.items() if j + s <= n])
+                for s, ids in edges.items():
+                    share = np.exp(ahead[: n - s + 1] + logp[ids] + back[s:] - ahead[n]) * counts[k][places]
+                    uses[k] += np.bincount(ids.ravel() + 1, share.ravel(), self.n_pieces + 1)
+        return uses[:, 1:]
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -327,12 +332,13 @@ def score(
     train_tokens, distinct = n_words + n_ends, totals["distinct"] + (n_ends > 0)
 
     fitted = learned = weights
-    for _ in range(rounds if n_words else 0):
-        uses = _expected_uses(known, shared_pieces, fitted, distinct=True)
-        fitted = (uses + prior_weight * weights) / (uses.sum() + prior_weight)
-    for _ in range(score_rounds if n_words else 0):
-        uses = _expected_uses(known, shared_pieces, learned, distinct=False)
-        learned = (uses + prior_weight * weights) / (uses.sum() + prior_weight)
+    for k in range(max(rounds, score_rounds) if n_words else 0):  # a pass serves both, as long as both are in need of one
+        learn, fit = k < score_rounds, k < rounds
+        uses = iter(_expected_uses(known, shared_pieces, [learned] * learn + [fitted] * fit, [False] * learn + [True] * fit))
+        if learn:
+            learned = _refitted(next(uses), weights, prior_weight)
+        if fit:
+            fitted = _refitted(next(uses), weights, prior_weight)
 
     # Pseudo-counts keep every text possible.  Per class: all words, the share of words
     # new to the class, and the share of those that are new to all classes.
@@ -412,26 +418,31 @@ def _lattice(shared_pieces) -> Lattice:
     return _lattices[key]
 
 
-def _expected_uses(known: DataFrame, shared_pieces, weights: np.ndarray, distinct: bool) -> np.ndarray:
-    """Expected uses of each piece over all training words; one number per piece.
+def _refitted(uses: np.ndarray, prior: np.ndarray, prior_weight: float) -> np.ndarray:
+    return (uses + prior_weight * prior) / (uses.sum() + prior_weight)
+
+
+def _expected_uses(known: DataFrame, shared_pieces, several: list[np.ndarray], distinct: list[bool]) -> np.ndarray:
+    """Expected uses of each piece over all training words, under each of several weights; one number per piece and weights.
 
-    A word weighs its count; with ``distinct`` 1 / its count, since rare words
-    tell how new ones are spelt.
+    A word weighs its count; where ``distinct`` is true 1 / its count, since
+    rare words tell how new ones are spelt.
     """
+    names = [f"u{k}" for k in range(len(several))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, uses = _lattice(shared_pieces), 0.0
         for batch in in_bulk(batches, 20_000):
             counts = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            uses = uses + lattice.expected(batch.column(0).to_pylist(), 1.0 / counts if distinct else counts, weights)
+            uses = uses + lattice.expected_under(batch.column(0).to_pylist(), [1.0 / counts if d else counts for d in distinct], several)
         if np.ndim(uses):
-            used = np.flatnonzero(uses)
-            yield pa.record_batch([pa.array(used, pa.int64()), pa.array(uses[used])], names=["piece", "uses"])
+            used = np.flatnonzero(uses.any(axis=0))
+            yield pa.record_batch([pa.array(used, pa.int64()), *(pa.array(u[used]) for u in uses)], names=["piece", *names])
 
-    found = known.select("word", "c").mapInArrow(work, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    out = np.zeros(len(weights))
-    for piece, uses in found.collect():  # at most one row per piece of the vocabulary
-        out[piece] = uses
+    found = known.select("word", "c").mapInArrow(work, f"piece long, {', '.join(f'{n} double' for n in names)}").groupBy("piece").agg(*(F.sum(n).alias(n) for n in names))
+    out = np.zeros((len(several), len(several[0])))
+    for piece, *uses in found.collect():  # at most one row per piece of the vocabulary
+        out[:, piece] = uses
     return out
 
 
