@@ -173,6 +173,7 @@ def journal_value(value: Column, field: Column) -> Column:
 
 def summary_sentence(year: Column, execution: Column, commitment: Column, moved: Column, cancelled: Column, added: Column) -> Column:
     """The report's opening sentence, from rates and variances."""
+    # The wording of the report.
     first = F.when(
         execution.isNotNull(), F.concat(F.lit("En "), year.cast("string"), F.lit(", "), percent(execution), F.lit(" du budget prévu a été facturé")),
     ).otherwise(F.concat(F.lit("En "), year.cast("string"), F.lit(", aucun budget prévu n'est renseigné")))

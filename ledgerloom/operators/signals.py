@@ -1,5 +1,7 @@
 """Rule-based signals on projects: each one explainable, none a score."""
 
+# Fixed values in this module: codes of the signals and the sentences that they are shown with.
+
 from __future__ import annotations
 
 import datetime as dt

@@ -1,5 +1,7 @@
 """Queries on budgets, signals and the portfolio, with their oracles."""
 
+# Fixed values in this module: the sentences of the signals, as the oracles must give them.
+
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession

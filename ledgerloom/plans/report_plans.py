@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators import budget, export_check, geo, mutations, report
+from ledgerloom.operators import budget, export_check, geo, mutations, report, signals
 from ledgerloom.plans.oracles import SQL_VIEWS, oracle
 from ledgerloom.plans.portfolio_plans import delta_of, doubles, plain, signals_of
 from ledgerloom.plans.registry import register
@@ -57,7 +59,7 @@ simple("t15_derniere_baseline", "SELECT projet_id, id, libelle, CAST(total_ht AS
 simple("k17_valider_brouillons", """SELECT r.id, r.projet_id, CASE WHEN statut = 'brouillon' AND coalesce(n, 0) = 0 THEN 'valide' ELSE statut END AS statut,
     CASE WHEN statut = 'brouillon' AND coalesce(n, 0) = 0 THEN 'valide' WHEN statut = 'brouillon' THEN 'refuse' ELSE 'inchange' END AS decision FROM d_rapport r
     LEFT JOIN (SELECT projet_id, count(*) AS n FROM v_controles WHERE niveau = 'bloquant' GROUP BY 1) c ON c.projet_id = r.projet_id""",
-       lambda d: report.valider(d.rapport, checks_of(d), False, __import__("datetime").datetime(2000, 6, 30)).select("id", "projet_id", "statut", "decision"))
+       lambda d: report.valider(d.rapport, checks_of(d), False, dt.datetime(2000, 6, 30)).select("id", "projet_id", "statut", "decision"))
 simple("t29_bilan", f"""SELECT p.id AS projet_id, CAST(v.prevu AS DOUBLE) AS prevu, CAST(e.revision_prix AS DOUBLE) AS revision_prix, coalesce(l.n, 0) AS nb_lignes, coalesce(c.n, 0) AS nb_controles, coalesce(y.n, 0) AS nb_annees, b.libelle AS baseline FROM d_projet p
     LEFT JOIN v_delta v ON v.projet_id = p.id AND v.annee = 1997 LEFT JOIN v_ecarts e ON e.projet_id = p.id AND e.annee_ref = 1997
     LEFT JOIN (SELECT projet_id, count(*) AS n FROM v_lignes GROUP BY 1) l ON l.projet_id = p.id LEFT JOIN (SELECT projet_id, count(*) AS n FROM v_controles GROUP BY 1) c ON c.projet_id = p.id
@@ -94,11 +96,11 @@ simple("j01_mouvements_et_occurrences", "SELECT m.id, m.champ, o.code, o.annee F
 simple("j02_projets_et_organisations", "SELECT p.id, p.nom, o.nom AS organisation_nom, r.r_name AS region FROM d_projet p JOIN d_organisation o ON o.id = p.organisation_id JOIN region r ON r.r_regionkey = o.region_id",
        lambda d: d.projet.join(d.organisation.select(F.col("id").alias("organisation_id"), F.col("nom").alias("organisation_nom"), F.col("region_id").alias("r_regionkey")), "organisation_id").join(d.raw("region"), "r_regionkey").select("id", "nom", "organisation_nom", F.col("r_name").alias("region")))
 simple("j08_sans_rapport", "SELECT projet_id, annee FROM v_obligation o WHERE NOT EXISTS (SELECT 1 FROM d_rapport r WHERE r.projet_id = o.projet_id AND r.annee = o.annee AND r.statut = 'valide')",
-       lambda d: __import__("ledgerloom.operators.signals", fromlist=["x"]).annees_obligation(d.projet, AS_OF).select("projet_id", "annee").join(d.rapport.filter("statut = 'valide'").select("projet_id", "annee"), ["projet_id", "annee"], "left_anti"))
+       lambda d: signals.annees_obligation(d.projet, AS_OF).select("projet_id", "annee").join(d.rapport.filter("statut = 'valide'").select("projet_id", "annee"), ["projet_id", "annee"], "left_anti"))
 simple("j10_sans_motif", "SELECT projet_id, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM d_mouvement m WHERE m.occurrence_id = o.id AND m.motif IS NOT NULL)) AS nb FROM d_occurrence o GROUP BY projet_id",
        lambda d: d.occurrence.join(d.mouvement.filter("motif is not null").select(F.col("occurrence_id").alias("id")).distinct().withColumn("ok", F.lit(True)), "id", "left").groupBy("projet_id").agg(F.count_if(F.col("ok").isNull()).alias("nb")))
 simple("j12_depliage_ug", "SELECT id, unnest(ug_ids) AS ug FROM d_occurrence", lambda d: d.occurrence.select("id", F.explode("ug_ids").alias("ug")))
-simple("j14_derniere_activite", "SELECT projet_id, CAST(derniere AS DATE) AS derniere FROM v_activite_le", lambda d: __import__("ledgerloom.operators.signals", fromlist=["x"]).derniere_activite(d.projet, d.mouvement, d.rapport).select("projet_id", F.col("derniere_activite").cast("date").alias("derniere")))
+simple("j14_derniere_activite", "SELECT projet_id, CAST(derniere AS DATE) AS derniere FROM v_activite_le", lambda d: signals.derniere_activite(d.projet, d.mouvement, d.rapport).select("projet_id", F.col("derniere_activite").cast("date").alias("derniere")))
 simple("j18_regles_jamais_placees", "SELECT id FROM d_echeance e WHERE NOT EXISTS (SELECT 1 FROM d_occurrence o WHERE o.echeance_id = e.id)", lambda d: d.echeance.join(d.occurrence.select(F.col("echeance_id").alias("id")), "id", "left_anti").select("id"))
 simple("j20_theme_par_cle_composee", "SELECT e.id, coalesce(f.lib_thema, 'autre') AS theme FROM d_echeance e LEFT JOIN d_fiche f ON f.projet_id = e.projet_id AND f.cle = e.action_cle",
        lambda d: d.echeance.join(d.fiche.select("projet_id", F.col("cle").alias("action_cle"), "lib_thema"), ["projet_id", "action_cle"], "left").select("id", F.coalesce("lib_thema", F.lit("autre")).alias("theme")))
@@ -114,7 +116,7 @@ simple("a17_projets_par_departement", "SELECT departement, count(DISTINCT id) AS
 simple("a18_ug_distinctes", "SELECT projet_id, string_agg(DISTINCT u, ',' ORDER BY u) AS ugs FROM (SELECT projet_id, unnest(ug_ids) AS u FROM d_occurrence) WHERE u <> 'ug0' GROUP BY 1",
        lambda d: d.occurrence.select("projet_id", F.explode("ug_ids").alias("u")).filter("u <> 'ug0'").groupBy("projet_id").agg(F.array_join(F.array_sort(F.collect_set("u")), ",").alias("ugs")))
 simple("a19_liste_annees", "SELECT projet_id, string_agg(CAST(annee AS VARCHAR), ', ' ORDER BY annee) AS annees FROM v_obligation GROUP BY 1",
-       lambda d: __import__("ledgerloom.operators.signals", fromlist=["x"]).annees_obligation(d.projet, AS_OF).groupBy("projet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("annee")), lambda y: y.cast("string")), ", ").alias("annees")))
+       lambda d: signals.annees_obligation(d.projet, AS_OF).groupBy("projet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("annee")), lambda y: y.cast("string")), ", ").alias("annees")))
 simple("a20_motifs_en_table", "SELECT occurrence_id, string_agg(champ || '=' || motif, ';' ORDER BY champ) AS motifs FROM v_motifs GROUP BY 1",
        lambda d: report.derniers_motifs(d.mouvement).groupBy("occurrence_id").agg(F.map_from_entries(F.collect_list(F.struct("champ", "motif"))).alias("m")).select("occurrence_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("motifs")))
 simple("a24_largeurs_annees", "SELECT projet_id, annee, round_even(CAST(prevu AS DOUBLE) / greatest(CAST(max(prevu) OVER (PARTITION BY projet_id) AS DOUBLE), 1) * 100, 1) AS largeur FROM v_delta",
