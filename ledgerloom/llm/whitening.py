@@ -56,14 +56,19 @@ def integer_vectors(table: DataFrame, vector_col: str, scale: int, shift: int) -
     return rows.withColumn("x", F.transform("v", lambda c: F.floor(c * scale).cast("long") + shift)).drop("v")
 
 
-def pair_sums(rows: DataFrame, vector: Column, size: int) -> np.ndarray:
-    """Sums of the products of every pair of dimensions, as a symmetric matrix: one aggregation of its upper triangle."""
+def pair_sums(rows: DataFrame, vector: Column, size: int, most_pairs: int = 4000) -> np.ndarray:
+    """Sums of the products of every pair of dimensions, as a symmetric matrix: one aggregation of its upper triangle.
+
+    Beyond ``most_pairs`` pairs (89 dimensions) a plan of them all would be too
+    wide to compile, so the triangle is summed in parts, each by a pass of its own.
+    """
     above = [(i, j) for i in range(size) for j in range(i, size)]
     columns = rows.select(vector.alias("d")).select(*(F.col("d")[k].alias(f"d{k}") for k in range(size)))
-    sums = columns.selectExpr(*(f"sum(d{i} * d{j}) AS s_{i}_{j}" for i, j in above)).first()
     found = np.zeros((size, size))
-    for (i, j), value in zip(above, sums):
-        found[i, j] = found[j, i] = value
+    for at in range(0, len(above), most_pairs):
+        part = above[at : at + most_pairs]
+        for (i, j), value in zip(part, columns.selectExpr(*(f"sum(d{i} * d{j}) AS s_{i}_{j}" for i, j in part)).first()):
+            found[i, j] = found[j, i] = value
     return found
 
 

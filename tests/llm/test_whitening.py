@@ -95,3 +95,12 @@ def test_a_deviation_beyond_64_bits_is_null_and_told_exactly(spark):
     assert {r.vec_id: int(r.deviation_exact) for r in got} == want
     assert all(r.deviation == (want[r.vec_id] if want[r.vec_id] < 2**63 else None) for r in got)
     assert any(r.deviation is None for r in got)
+
+
+def test_a_wide_triangle_is_summed_in_parts(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(v,) for _, v in rows_of(5, 40, 6)], "v array<double>")
+    values = np.array([v for _, v in rows_of(5, 40, 6)])
+    for most in (4000, 4):
+        assert np.allclose(whitening.pair_sums(rows, F.col("v"), 6, most), values.T @ values)
