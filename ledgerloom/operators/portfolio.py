@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import signals
-from ledgerloom.operators.budget import alive, total
+from ledgerloom.operators.budget import DELETED
 
 
 def peut_voir(role: str, organisation_id: int | None, column: str = "organisation_id") -> Column:
@@ -75,22 +75,17 @@ def faits_occurrence(occurrence: DataFrame, journal: DataFrame, as_of: dt.date)
     budget are sums over its lines, so no year has to be formed first.
     """
     changes = journal.groupBy(F.col("occurrence_id").alias("id")).agg(F.max(F.col("motif").isNotNull()).alias("motive"), F.max("modifie_le").alias("change_le"))
-    year, first, frozen = F.col("annee"), F.col("annee_initiale"), F.col("montant_initial").isNotNull() & F.col("annee_initiale").isNotNull()
+    frozen, on, now = "montant_initial IS NOT NULL AND annee_initiale IS NOT NULL", f"statut <> '{DELETED}'", as_of.year
     amounts = {"prevu": "montant_ht", "engage": "montant_engage", "realise": "montant_realise"}
-
-    def current(column: str) -> Column:
-        return F.sum(F.when(alive() & (year == as_of.year), F.coalesce(column, F.lit(0))).when(frozen & (first == as_of.year), 0))
-
-    return occurrence.join(changes, "id", "left").groupBy("projet_id").agg(
-        total("montant_initial", frozen).alias("total_initial"), *[total(c, alive()).alias(f"total_{m}") for m, c in amounts.items()],
-        *[current(amounts[m]).alias(f"{m}_annee_courante") for m in ("prevu", "realise")],
-        F.least(F.min(F.when(alive(), year)), F.min(F.when(frozen, first))).alias("premiere_annee"),
-        F.greatest(F.max(F.when(alive(), year)), F.max(F.when(frozen, first))).alias("derniere_annee"),
-        F.count_if(alive()).alias("nb_occurrences"), F.count_if(F.col("statut") == "realise").alias("nb_occurrences_realisees"),
-        F.count_if(F.col("statut") == "repousse").alias("nb_occurrences_reportees"),
-        *[total(amounts[m], alive() & (year < as_of.year)).alias(f"{m}_echu") for m in ("prevu", "realise")],
-        *signals.sommes_retard(as_of), *signals.sommes_derive(), F.max("change_le").alias("change_le"),
-    )
+    # As text: each expression is one call to the JVM, where columns would take a dozen.
+    sums = [
+        f"coalesce(sum(CASE WHEN {frozen} THEN montant_initial END), 0) AS total_initial", *[f"coalesce(sum(CASE WHEN {on} THEN {c} END), 0) AS total_{m}" for m, c in amounts.items()],
+        *[f"sum(CASE WHEN {on} AND annee = {now} THEN coalesce({amounts[m]}, 0) WHEN {frozen} AND annee_initiale = {now} THEN 0 END) AS {m}_annee_courante" for m in ("prevu", "realise")],
+        *[f"{pick}({of}(CASE WHEN {on} THEN annee END), {of}(CASE WHEN {frozen} THEN annee_initiale END)) AS {n}_annee" for n, pick, of in (("premiere", "least", "min"), ("derniere", "greatest", "max"))],
+        f"count_if({on}) AS nb_occurrences", "count_if(statut = 'realise') AS nb_occurrences_realisees", "count_if(statut = 'repousse') AS nb_occurrences_reportees",
+        *[f"coalesce(sum(CASE WHEN {on} AND annee < {now} THEN {amounts[m]} END), 0) AS {m}_echu" for m in ("prevu", "realise")], "max(change_le) AS change_le",
+    ]
+    return occurrence.join(changes, "id", "left").groupBy("projet_id").agg(*map(F.expr, sums), *signals.sommes_retard(as_of), *signals.sommes_derive())
 
 
 def faits_rapport(rapport: DataFrame) -> DataFrame:
@@ -163,10 +158,9 @@ def _completer(joined: DataFrame) -> DataFrame:
         "nb_critique", "nb_attention", "total_initial", "total_prevu", "total_engage", "total_realise", "prevu_annee_courante", "realise_annee_courante",
         "nb_occurrences", "nb_occurrences_realisees", "nb_occurrences_reportees", "nb_bilans_manquants", "nb_bilans_valides",
     ]
-    filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros})
-    return filled.withColumns({
-        "gravite": F.when(F.col("nb_critique") > 0, 2).when(F.col("nb_attention") > 0, 1).otherwise(0),
-        "delta_total": F.col("total_prevu") - F.col("total_initial"),
+    filled = {c: F.expr(f"coalesce({c}, 0)") for c in zeros}
+    return joined.withColumns(filled | {
+        "gravite": F.expr("CASE WHEN nb_critique > 0 THEN 2 WHEN nb_attention > 0 THEN 1 ELSE 0 END"), "delta_total": F.expr("coalesce(total_prevu, 0) - coalesce(total_initial, 0)"),
     })
 
 

@@ -72,12 +72,12 @@ def _late(as_of: dt.date) -> Column:
 
 
 def sommes_retard(as_of: dt.date) -> list[Column]:
-    late = _late(as_of)
-    return [
-        F.count_if(late).alias("retard_n"), F.min(F.when(late, F.col("annee"))).alias("retard_annee"),
-        F.coalesce(F.sum(F.when(late, F.col("montant_ht"))), F.lit(0)).alias("retard_montant"),
-        F.transform(F.array_sort(F.collect_list(F.when(late, F.struct("annee", "id")))), lambda x: x["id"]).alias("retard_occurrences"),
-    ]
+    states = ", ".join(f"'{s}'" for s in OPEN_STATES)
+    late = f"statut IN ({states}) AND annee < {as_of.year}"
+    return [F.expr(e) for e in (
+        f"count_if({late}) AS retard_n", f"min(CASE WHEN {late} THEN annee END) AS retard_annee", f"coalesce(sum(CASE WHEN {late} THEN montant_ht END), 0) AS retard_montant",
+        f"transform(array_sort(collect_list(CASE WHEN {late} THEN struct(annee, id) END)), x -> x.id) AS retard_occurrences",
+    )]
 
 
 def regle_retard(as_of: dt.date, limits: dict[str, float] = _LIMITS) -> Signal:
@@ -114,12 +114,11 @@ def sous_consommation(delta: DataFrame, as_of: dt.date, limits: dict[str, float]
 
 def sommes_derive() -> list[Column]:
     """Over occurrences with a column ``motive``: true where a reason was given, else null or false."""
-    counted = F.col("montant_initial").isNotNull() & (F.col("statut") != "supprime")
-    moved = F.abs(F.coalesce("montant_ht", F.lit(0)) - F.col("montant_initial")) >= 1
-    return [
-        F.sum(F.when(counted, F.col("montant_initial"))).alias("derive_initial"), F.sum(F.when(counted, F.col("montant_ht"))).alias("derive_prevu"),
-        F.count_if(counted & moved & ~F.coalesce("motive", F.lit(False))).alias("lignes_sans_motif"),
-    ]
+    counted = "montant_initial IS NOT NULL AND statut <> 'supprime'"
+    return [F.expr(e) for e in (
+        f"sum(CASE WHEN {counted} THEN montant_initial END) AS derive_initial", f"sum(CASE WHEN {counted} THEN montant_ht END) AS derive_prevu",
+        f"count_if({counted} AND abs(coalesce(montant_ht, 0) - montant_initial) >= 1 AND NOT coalesce(motive, false)) AS lignes_sans_motif",
+    )]
 
 
 def regle_derive(limits: dict[str, float] = _LIMITS) -> Signal:

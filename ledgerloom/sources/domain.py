@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.session import load
 
@@ -28,9 +29,15 @@ class Domain:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._schemas: dict[str, StructType] = {}
 
     def raw(self, table: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, table)
+        """A table of the driver; its schema is read from the files once."""
+        if table in self._schemas:
+            return self.spark.read.schema(self._schemas[table]).parquet(f"{self.sf_dir}/{table}.parquet")
+        found = load(self.spark, self.sf_dir, table)
+        self._schemas[table] = found.schema
+        return found
 
     @cached_property
     def organisation(self) -> DataFrame:
