@@ -10,6 +10,7 @@ the record.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -80,15 +81,28 @@ def _text(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
+def _all(rules: list[Column]) -> Column:
+    """The violations of several rules, in one array."""
+    return F.flatten(F.array(*rules))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _check(v: Column, schema: Any, path: Column) -> Column:
-    """Violations of a present value."""
+    """Violations of a present value, which must be cheap to name: a column or a bound value."""
     if schema is True or schema == {}:
         return _none()
     if schema is False:
         return _one(path, "false", F.lit(True))
     if DEEPER in schema:
         return _one(path, "depth", F.lit(True))
-    kind = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return _bound(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0), lambda kind: _check_kind(v, kind, schema, path))
+
+
+def _check_kind(v: Column, kind: Column, schema: Any, path: Column) -> Column:
     rules: list[Column] = []
     if "enum" in schema or "const" in schema:
         name = "enum" if "enum" in schema else "const"
@@ -118,20 +132,12 @@ def _check(v: Column, schema: Any, path: Column) -> Column:
             rules.append(F.coalesce(F.flatten(each), _none()))
     if {"properties", "required", "additionalProperties"} & schema.keys():
         fields = F.when(kind == "OBJECT", F.try_variant_get(v, "$", "map<string,variant>"))
-        named = schema.get("properties", {})
-        for name in schema.get("required", []):
-            rules.append(_one(F.concat(path, F.lit(f".{name}")), "required", ~F.map_contains_key(fields, name)))
-        for name, below in named.items():
-            value = F.try_element_at(fields, F.lit(name))
-            rules.append(F.when(F.coalesce(F.map_contains_key(fields, name), F.lit(False)), _check(value, below, F.concat(path, F.lit(f".{name}")))).otherwise(_none()))
-        if schema.get("additionalProperties") is False:
-            unknown = F.filter(F.map_keys(fields), lambda k: ~k.isin(*named)) if named else F.map_keys(fields)
-            rules.append(F.coalesce(F.transform(unknown, lambda k: F.struct(F.concat(path, F.lit("."), k).alias("chemin"), F.lit("additionalProperties").alias("regle"))), _none()))
+        rules.append(_bound(fields, lambda f: _check_fields(f, schema, path)))
     for several, wrong in (("anyOf", lambda sizes: F.forall(sizes, lambda n: n > 0)), ("oneOf", lambda sizes: F.size(F.filter(sizes, lambda n: n == 0)) != 1)):
         if several in schema:
             rules.append(_one(path, several, wrong(F.array(*(F.size(_check(v, s, path)) for s in schema[several])))))
     rules += [_check(v, s, path) for s in schema.get("allOf", [])]
-    found = F.concat(*rules) if rules else _none()
+    found = _all(rules) if rules else _none()
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         fits = F.lit(False)
@@ -141,6 +147,23 @@ def _check(v: Column, schema: Any, path: Column) -> Column:
     return found
 
 
+def _check_fields(fields: Column, schema: dict, path: Column) -> Column:
+    """Violations of the rules on an object's fields; null fields (no object) have none."""
+    rules = [_none()]
+    named = schema.get("properties", {})
+    for name in schema.get("required", []):
+        rules.append(_one(F.concat(path, F.lit(f".{name}")), "required", ~F.map_contains_key(fields, name)))
+
+    def field(name: str, below: Any) -> Column:
+        return _bound(F.try_element_at(fields, F.lit(name)), lambda value: _check(value, below, F.concat(path, F.lit(f".{name}"))))
+
+    rules += [F.when(F.coalesce(F.map_contains_key(fields, name), F.lit(False)), field(name, below)).otherwise(_none()) for name, below in named.items()]
+    if schema.get("additionalProperties") is False:
+        unknown = F.filter(F.map_keys(fields), lambda k: ~k.isin(*named)) if named else F.map_keys(fields)
+        rules.append(F.coalesce(F.transform(unknown, lambda k: F.struct(F.concat(path, F.lit("."), k).alias("chemin"), F.lit("additionalProperties").alias("regle"))), _none()))
+    return _all(rules)
+
+
 def violations(text: Column, schema: dict, depth: int = 4) -> Column:
     """Every violation (chemin, regle) of a JSON text, in the order of its paths; empty if it conforms.
 
@@ -148,8 +171,9 @@ def violations(text: Column, schema: dict, depth: int = 4) -> Column:
     the root.  What is nested more deeply than a recursive schema was followed
     is reported as ``depth``, not passed.
     """
-    v = F.try_parse_json(text)
-    return F.when(v.isNull(), F.array(F.struct(F.lit("$").alias("chemin"), F.lit("json").alias("regle")))).otherwise(F.array_sort(_check(v, inline(schema, depth), F.lit("$"))))
+    unread = F.array(F.struct(F.lit("$").alias("chemin"), F.lit("json").alias("regle")))
+    whole = inline(schema, depth)
+    return _bound(F.try_parse_json(text), lambda v: F.when(v.isNull(), unread).otherwise(F.array_sort(_check(v, whole, F.lit("$")))))
 
 
 def feedback(found: Column) -> Column:

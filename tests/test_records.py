@@ -136,3 +136,12 @@ def test_a_view_shows_what_its_reader_may_see(spark, tmp_path):
     assert counts == {("admin", None): 100, ("controleur", 1): 100, ("operateur", 3): 20, ("operateur", None): 0, ("inconnu", 3): 0, (None, 3): 0}
     assert "organisation_id" in plans["operateur", 3].split("PushedFilters")[1]  # the condition is in the scan
     assert "Filter" not in plans["admin", None].split("Scan")[0]
+
+
+def test_a_record_is_parsed_once_however_many_rules_there_are(spark):
+    schema = json_schema.harden({"type": "object", "properties": {name: {"type": "object", "properties": {"n": {"type": "integer", "minimum": 1}}} for name in "abcde"}})
+    rows = spark.createDataFrame([('{"a": {"n": 0}, "b": {}, "c": {"n": 2}, "d": 1, "e": {"n": 1, "m": 1}}',)], "j string")
+    found = rows.select(json_schema.violations(F.col("j"), schema).alias("f"))
+    assert [tuple(f) for f in found.head().f] == [("$.a.n", "minimum"), ("$.b.n", "required"), ("$.d", "type"), ("$.e.m", "additionalProperties")]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_parse_json") == 1 and plan.count("map<string,variant>") + plan.count("MapType(StringType,VariantType") == 6
