@@ -25,9 +25,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,91 +55,158 @@ def edges(polygons: DataFrame, key_col: str, rings_col: str, grid: float) -> Dat
     return pairs.select("key", "part", low.alias("lo"), high.alias("hi")).select("key", "part", F.col("lo.x").alias("x1"), F.col("lo.y").alias("y1"), F.col("hi.x").alias("x2"), F.col("hi.y").alias("y2"))
 
 
-def _crossings(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> dict[tuple[int, float], float]:
-    """Where edges meet, by edge and level: the rounded x of the meeting point."""
-    met: dict[tuple[int, float], float] = {}
+def _meetings(group: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where edges of a group meet: edge, level and the rounded x of the meeting point, once per edge and level, sorted."""
     left, right = np.minimum(x1, x2), np.maximum(x1, x2)
     dx, dy = x2 - x1, y2 - y1
-    for i in range(len(x1) - 1):
-        near = i + 1 + np.flatnonzero((y1[i + 1 :] <= y2[i]) & (y2[i + 1 :] >= y1[i]) & (left[i + 1 :] <= right[i]) & (right[i + 1 :] >= left[i]))
-        cross = dx[i] * dy[near] - dy[i] * dx[near]
-        near, cross = near[cross != 0], cross[cross != 0]
-        t = ((x1[near] - x1[i]) * dy[near] - (y1[near] - y1[i]) * dx[near]) / cross
-        u = ((x1[near] - x1[i]) * dy[i] - (y1[near] - y1[i]) * dx[i]) / cross
+    seen: list[tuple[np.ndarray, ...]] = []
+    for apart in range(1, int(np.bincount(group).max())):
+        i = np.flatnonzero(group[apart:] == group[:-apart])
+        j = i + apart
+        near = (y1[j] <= y2[i]) & (y2[j] >= y1[i]) & (left[j] <= right[i]) & (right[j] >= left[i])
+        i, j = i[near], j[near]
+        cross = dx[i] * dy[j] - dy[i] * dx[j]
+        i, j, cross = i[cross != 0], j[cross != 0], cross[cross != 0]
+        t = ((x1[j] - x1[i]) * dy[j] - (y1[j] - y1[i]) * dx[j]) / cross
+        u = ((x1[j] - x1[i]) * dy[i] - (y1[j] - y1[i]) * dx[i]) / cross
         inside = (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        for j, at in zip(near[inside].tolist(), t[inside].tolist()):
-            y, x = float(round(y1[i] + at * dy[i])), float(round(x1[i] + at * dx[i]))
-            for edge in (i, j):
-                if y not in (y1[edge], y2[edge]):  # an end keeps its own place
-                    met[edge, y] = x
-    return met
-
-
-def _places(level: float, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, met: dict[tuple[int, float], float]) -> np.ndarray:
-    """Each edge's x at a level (not a number where it doesn't reach), equal for edges that meet there."""
-    xs = np.full(len(x1), np.nan)
-    reach = np.flatnonzero((y1 <= level) & (y2 >= level))
-    at = (level - y1[reach]) / (y2[reach] - y1[reach])
-    xs[reach] = x1[reach] + at * (x2[reach] - x1[reach])
-    if level % 1:  # a border of bands cuts edges, but nothing meets there
-        return xs
-    xs[reach] = np.round(xs[reach])
-    for edge in reach.tolist():
-        if (edge, level) in met:
-            xs[edge] = met[edge, level]
-    order = reach[np.argsort(xs[reach], kind="stable")]
-    for before, after in zip(order[:-1].tolist(), order[1:].tolist()):
-        if xs[after] - xs[before] <= 1:
-            xs[after] = xs[before]
-    return xs
-
-
-def sweep(low: float, high: float, part: np.ndarray, edge: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> list[tuple]:
-    """Trapezoids (y0, y1, l0, l1, r0, r1, left edge, right edge) of the union inside a band."""
-    met = _crossings(x1, y1, x2, y2)
-    inner = np.array([*y1, *y2, *(y for _, y in met)])
-    levels = np.unique(np.concatenate([[low, high], inner[(inner > low) & (inner < high)]]))
-    found: list[tuple] = []
-    below = None
-    for bottom, top in zip(levels[:-1].tolist(), levels[1:].tolist()):
-        active = np.flatnonzero((y1 <= bottom) & (y2 >= top))
-        if not len(active):
-            below = None
+        i, j, t = i[inside], j[inside], t[inside]
+        y, x = np.rint(y1[i] + t * dy[i]) + 0.0, np.rint(x1[i] + t * dx[i]) + 0.0
+        for edge in (i, j):
+            own = (y != y1[edge]) & (y != y2[edge])  # an end keeps its own place
+            seen.append((edge[own], y[own], x[own], i[own], j[own]))
+    edge, y, x, i, j = (np.concatenate(c) for c in zip(*seen)) if seen else (np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+    order = np.lexsort((j, i, y, edge))
+    edge, y, x = edge[order], y[order], x[order]
+    last = np.append((edge[1:] != edge[:-1]) | (y[1:] != y[:-1]), True)[: len(edge)]  # of several pairs that meet there the last one counts
+    return edge[last], y[last], x[last]
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, and to which range each belongs."""
+    owner = np.repeat(np.arange(len(first)), count)
+    return first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count), owner
+
+
+def _joined(level: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places, sorted by level and x, with those that lie one unit or less behind the one before drawn to it."""
+    starts = np.flatnonzero(np.append(True, (level[1:] != level[:-1]) | (x[1:] - x[:-1] > 1)))
+    sizes = np.diff(np.append(starts, len(x)))
+    out = np.repeat(x[starts], sizes)
+    for k in np.flatnonzero(x[starts + sizes - 1] - x[starts] > 1).tolist():  # a longer run falls into several places
+        for at in range(starts[k] + 1, starts[k] + sizes[k]):
+            out[at] = out[at - 1] if x[at] - out[at - 1] <= 1 else x[at]
+    return out
+
+
+def _before_and_at(group: np.ndarray) -> np.ndarray:
+    """How many rows of its group stand before each row, itself included; groups need not be adjacent."""
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
+    rank = np.empty(len(group), int)
+    rank[order] = np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group)))) + 1
+    return rank
+
+
+def sweep(group: np.ndarray, low: np.ndarray, high: np.ndarray, part: np.ndarray, edge: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Trapezoids (y0, y1, l0, l1, r0, r1, left edge, right edge) of the unions inside many bands at once, and each one's band.
+
+    ``group`` numbers the bands from 0, and rows are sorted by it; ``low`` and
+    ``high`` are the band's, on every row.
+    """
+    met_edge, met_y, met_x = _meetings(group, x1, y1, x2, y2)
+    # All levels of all bands, sorted; every edge reaches from one number to another.
+    inner = (met_y > low[met_edge]) & (met_y < high[met_edge])
+    in_group = np.concatenate([group, group, group, group, group[met_edge[inner]]])
+    at_level = np.concatenate([low, high, np.maximum(y1, low), np.minimum(y2, high), met_y[inner]])
+    order = np.lexsort((at_level, in_group))
+    sorted_group, sorted_level = in_group[order], at_level[order]
+    fresh = np.append(True, (sorted_group[1:] != sorted_group[:-1]) | (sorted_level[1:] != sorted_level[:-1]))
+    number = np.empty(len(order), int)
+    number[order] = np.cumsum(fresh) - 1
+    levels, level_group = sorted_level[fresh], sorted_group[fresh]
+    n = len(group)
+    first, last = number[2 * n : 3 * n], number[3 * n : 4 * n]
+    # Each edge's x at the levels that it reaches, equal for edges that meet there.
+    level, owner = _ranges(first, last - first + 1)
+    at = (levels[level] - y1[owner]) / (y2[owner] - y1[owner])
+    x = x1[owner] + at * (x2[owner] - x1[owner])
+    whole = levels[level] % 1 == 0  # a border of bands cuts edges, but nothing meets there
+    offset = np.cumsum(last - first + 1) - (last - first + 1) - first  # of an edge's place at a level
+    x[whole] = np.rint(x[whole])
+    x[offset[met_edge[inner]] + number[4 * n :]] = met_x[inner]
+    order = np.flatnonzero(whole)
+    order = order[np.lexsort((x[order], level[order]))] if len(order) else order
+    if len(order):
+        x[order] = _joined(level[order], x[order])
+    # Between two levels the pieces stand side by side.
+    piece, k = _ranges(first, last - first)
+    bottom, top = levels[piece], levels[piece + 1]
+    middle = x1[k] + ((bottom + top) / 2 - y1[k]) / (y2[k] - y1[k]) * (x2[k] - x1[k])
+    order = np.lexsort((k, part[k], middle, piece))
+    piece, k = piece[order], k[order]
+    # A polygon's first edge enters it, its second leaves it; the depth is the number of polygons entered.
+    pair = np.unique(np.stack([piece, part[k]]), axis=1, return_inverse=True)[1].reshape(-1)
+    turn = np.where(_before_and_at(pair) % 2 == 1, 1, -1)
+    total = np.cumsum(turn)
+    begins = np.append(True, piece[1:] != piece[:-1])
+    depth = total - np.repeat((total - turn)[begins], np.diff(np.append(np.flatnonzero(begins), len(piece))))
+    event = np.flatnonzero(((depth == 1) & (turn == 1)) | (depth == 0))
+    opens = np.flatnonzero((depth[event[:-1]] == 1) & (depth[event[1:]] == 0) & (piece[event[:-1]] == piece[event[1:]]))
+    start, end, piece = k[event[opens]], k[event[opens + 1]], piece[event[opens]]
+    l0, l1, r0, r1 = x[offset[start] + piece], x[offset[start] + piece + 1], x[offset[end] + piece], x[offset[end] + piece + 1]
+    broad = (l0 != r0) | (l1 != r1)
+    start, end, piece, l0, l1, r0, r1 = (c[broad] for c in (start, end, piece, l0, l1, r0, r1))
+    # What ends where the next one starts is joined with it.
+    cut = (piece[1:] != piece[:-1]) | (r0[:-1] != l0[1:]) | (r1[:-1] != l1[1:])
+    head, tail = np.append(True, cut)[: len(piece)], np.append(cut, True)[: len(piece)]
+    piece = piece[head]
+    return level_group[piece], [levels[piece], levels[piece + 1], l0[head], l1[head], r0[tail], r1[tail], edge[start[head]], edge[end[tail]]]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches sorted by ``names``, with the first row of each group; a batch's last group waits for the next."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        changes = np.zeros(table.num_rows, bool)
+        changes[:1] = True
+        for name in names:
+            column = table.column(name)
+            changes[1:] |= pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1)).to_numpy()
+        return np.flatnonzero(changes)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and all(held[0].column(n)[0] == batch.column(n)[batch.num_rows - 1] for n in names):
+            held.append(batch)
             continue
-        below = _places(bottom, x1, y1, x2, y2, met) if below is None else below
-        above = _places(top, x1, y1, x2, y2, met)
-        middle = x1[active] + ((bottom + top) / 2 - y1[active]) / (y2[active] - y1[active]) * (x2[active] - x1[active])
-        odd: set[int] = set()
-        start = None
-        for k in active[np.lexsort((part[active], middle))].tolist():
-            was = bool(odd)
-            odd ^= {int(part[k])}
-            if bool(odd) == was:
-                continue
-            if start is None:
-                start = k
-                continue
-            if below[start] != below[k] or above[start] != above[k]:
-                last = found[-1] if found and found[-1][0] == bottom else None
-                if last and last[4] == below[start] and last[5] == above[start]:  # joins what ends where it starts
-                    found[-1] = (*last[:4], below[k], above[k], last[6], edge[k])
-                else:
-                    found.append((bottom, top, below[start], above[start], below[k], above[k], edge[start], edge[k]))
-            start = None
-        below = above
-    return found
-
-
-def _in_band(table: pa.Table) -> pa.Table:
-    column = {name: table.column(name).to_numpy(zero_copy_only=False) for name in table.column_names if name != "key"}
-    order = np.lexsort([column[c] for c in ("part", "y2", "x2", "y1", "x1")])  # the same for every cut of the input
-    column = {name: values[order] for name, values in column.items()}
-    rows = sweep(float(column["low"][0]), float(column["high"][0]), column["part"], column["edge"], *(column[c].astype(float) for c in ("x1", "y1", "x2", "y2")))
-    kinds = [pa.float64()] * 6 + [pa.int64()] * 2
-    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        at = starts(table)
+        yield table.slice(0, at[-1]), at[:-1]
+        held = table.slice(at[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), np.zeros(1, int)
+
+
+def _in_groups(rows: DataFrame, names: list[str], order: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``work`` on many whole groups at a time: one call per group would cost far more than these small groups' work."""
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _runs(batches, names):
+            if table.num_rows:
+                yield from work(table, starts).to_batches()
+
+    return rows.repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(stream, schema)
+
+
+def _in_bands(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    column = {name: table.column(name).to_numpy() for name in table.column_names if name != "key"}
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+    found, columns = sweep(group, *(column[c] for c in ("low", "high", "part", "edge", "x1", "y1", "x2", "y2")))
     # Of two numbers (bottom, top), (l0, l1), (r0, r1) the first is at the bottom.
     names = ["y0", "y1", "l0", "l1", "r0", "r1", "left_edge", "right_edge"]
-    return pa.table([pa.array([table.column("key")[0].as_py()] * len(rows), pa.string()), *columns], names=["key", *names])
+    return pa.table([table.column("key").take(pa.array(starts[found])), *map(pa.array, columns)], names=["key", *names])
 
 
 def trapezoids(polygons: DataFrame, key_col: str = "key", rings_col: str = "rings", grid: float = 1e-4, edges_per_band: int = 256) -> DataFrame:
@@ -147,12 +216,13 @@ def trapezoids(polygons: DataFrame, key_col: str = "key", rings_col: str = "ring
     spans = rows.groupBy("key").agg(F.min("y1").alias("bottom"), F.max("y2").alias("top"), F.ceil(F.count("*") / edges_per_band).cast("int").alias("bands"))
     spans = spans.withColumn("step", F.ceil((F.col("top") - F.col("bottom") + 1) / F.col("bands")))
     # A band ends half a unit off the levels of all points.
-    placed = rows.join(spans, "key").withColumn("edge", F.xxhash64("part", "x1", "y1", "x2", "y2"))
+    placed = rows.join(spans.hint("merge"), "key").withColumn("edge", F.xxhash64("part", "x1", "y1", "x2", "y2"))
     first, last = (F.floor((F.col(y) - F.col("bottom")) / F.col("step")).cast("int") for y in ("y1", "y2"))
     placed = placed.withColumn("band", F.explode(F.sequence(first, last)))
     low = F.col("bottom") + F.col("band") * F.col("step") - 0.5
     placed = placed.select("key", "band", low.alias("low"), (low + F.col("step")).alias("high"), "part", "edge", "x1", "y1", "x2", "y2")
-    return placed.groupBy("key", "band").applyInArrow(_in_band, _TRAPEZOIDS)
+    # The order of a band's edges is the same for every cut of the input.
+    return _in_groups(placed, ["key", "band"], ["x1", "y1", "x2", "y2", "part"], _in_bands, _TRAPEZOIDS)
 
 
 def outline(found: DataFrame) -> DataFrame:
@@ -249,14 +319,16 @@ def _strung(grid: float, digits: int):
     def text(ring: list[tuple[float, float]]) -> str:
         return "(" + ", ".join(f"{x * grid:.{digits}f} {y * grid:.{digits}f}" for x, y in [*ring, ring[0]]) + ")"
 
-    def work(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).to_pylist() for c in ("x1", "y1", "x2", "y2", "edge")]
-        parts = parts_of(sorted(zip(*columns)))
-        wkt = "MULTIPOLYGON (" + ", ".join("(" + ", ".join(map(text, p)) + ")" for p in parts) + ")" if parts else "MULTIPOLYGON EMPTY"
-        exact = repr([[[(int(x), int(y)) for x, y in ring] for ring in p] for p in parts]) if parts else "empty"
-        return pa.table([
-            pa.array([table.column("key")[0].as_py()], pa.string()), pa.array([wkt], pa.string()), pa.array([len(parts)], pa.int32()), pa.array([sum(len(p) - 1 for p in parts)], pa.int32()),
-            pa.array([hashlib.md5(exact.encode()).hexdigest()], pa.string())], names=["key", "wkt", "nb_parties", "nb_trous", "empreinte"])
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        segments = list(zip(*(table.column(c).to_pylist() for c in ("x1", "y1", "x2", "y2", "edge"))))
+        rows = []
+        for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(segments)]):
+            parts = parts_of(sorted(segments[at:to]))
+            wkt = "MULTIPOLYGON (" + ", ".join("(" + ", ".join(map(text, p)) + ")" for p in parts) + ")" if parts else "MULTIPOLYGON EMPTY"
+            exact = repr([[[(int(x), int(y)) for x, y in ring] for ring in p] for p in parts]) if parts else "empty"
+            rows.append((wkt, len(parts), sum(len(p) - 1 for p in parts), hashlib.md5(exact.encode()).hexdigest()))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+        return pa.table([table.column("key").take(pa.array(starts)), *(pa.array(c, kind) for c, kind in zip(zip(*rows), kinds))], names=["key", "wkt", "nb_parties", "nb_trous", "empreinte"])
 
     return work
 
@@ -266,7 +338,7 @@ def surfaces(polygons: DataFrame, key_col: str = "key", rings_col: str = "rings"
     area = F.sum(((F.col("r0") - F.col("l0")) + (F.col("r1") - F.col("l1"))) / 2 * (F.col("y1") - F.col("y0"))) * (grid * grid)
     found = trapezoids(polygons, key_col, rings_col, grid, edges_per_band).groupBy("key").agg(area.alias("surface"))
     keys = polygons.select(F.col(key_col).cast("string").alias("key")).distinct()
-    return keys.join(found, "key", "left").select("key", F.coalesce("surface", F.lit(0.0)).alias("surface"))
+    return keys.join(found.hint("merge"), "key", "left").select("key", F.coalesce("surface", F.lit(0.0)).alias("surface"))
 
 
 def unions(polygons: DataFrame, key_col: str = "key", rings_col: str = "rings", grid: float = 1e-4, digits: int = 4, edges_per_band: int = 256) -> DataFrame:
@@ -275,10 +347,10 @@ def unions(polygons: DataFrame, key_col: str = "key", rings_col: str = "rings",
     ``empreinte`` is a digest of the normalised rings; that of no geometry is the
     digest of the word empty.
     """
-    found = outline(trapezoids(polygons, key_col, rings_col, grid, edges_per_band)).groupBy("key").applyInArrow(
-        _strung(grid, digits), "key string, wkt string, nb_parties int, nb_trous int, empreinte string")
+    found = _in_groups(
+        outline(trapezoids(polygons, key_col, rings_col, grid, edges_per_band)), ["key"], [], _strung(grid, digits), "key string, wkt string, nb_parties int, nb_trous int, empreinte string")
     keys = polygons.select(F.col(key_col).cast("string").alias("key")).distinct()
-    return keys.join(found, "key", "left").select(
+    return keys.join(found.hint("merge"), "key", "left").select(
         "key", F.coalesce("wkt", F.lit("MULTIPOLYGON EMPTY")).alias("wkt"), F.coalesce("nb_parties", F.lit(0)).alias("nb_parties"), F.coalesce("nb_trous", F.lit(0)).alias("nb_trous"),
         F.coalesce("empreinte", F.md5(F.lit("empty"))).alias("empreinte"))
 

@@ -72,7 +72,7 @@ def _repaired(d: Domain) -> DataFrame:
         f"array({ring(*corners)})", f"array({ring(*corners)}, {box('1', '1', '1', '1')})", f"array({ring(corners[0], corners[2], corners[1], corners[3])})", f"array({ring(*corners, *corners)})",
     )
     rows = d.raw("customer").selectExpr("c_custkey AS key", *_SIDES.split(", ")).withColumn("rings", F.expr("CASE key % 5 " + " ".join(f"WHEN {k} THEN {s}" for k, s in enumerate(shapes)) + " END"))
-    return rows.join(overlay.surfaces(rows).withColumn("key", F.col("key").cast("long")), "key").select(
+    return rows.join(overlay.surfaces(rows).withColumn("key", F.col("key").cast("long")).hint("merge"), "key").select(
         "key", F.round("surface", 6).alias("surface"), overlay.was_valid(F.col("rings"), F.col("surface")).alias("valide"))
 
 

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,24 @@ def test_unknown_codes_and_nulls(spark):
     df = spark.createDataFrame([(1.0, 45.0, 4326), (1.0, 45.0, 999), (None, 45.0, 2154), (1.0, 45.0, None)], "lon double, lat double, srid int")
     got = [r.p for r in df.select(projection.project(F.col("lon"), F.col("lat"), F.col("srid")).alias("p")).collect()]
     assert tuple(got[0]) == (1.0, 45.0) and got[1] is None and got[2].x is None and got[3] is None
+
+
+def test_many_keys_share_a_call(spark):
+    """Groups are cut out of the batches that they arrive in, whatever their borders, and no task gets a call per group."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def work(found, starts):
+        calls.add(1)
+        ends = [*starts[1:].tolist(), found.num_rows]
+        return pa.table([found.column("key").take(pa.array(starts)), pa.array([e - s for s, e in zip(starts.tolist(), ends)], pa.int64())], names=["key", "n"])
+
+    rows = spark.range(30000).select(F.when(F.col("id") < 9000, 0).otherwise(F.col("id") % 5000 + 1).cast("string").alias("key"), "id")
+    got = {r.key: r.n for r in overlay._in_groups(rows, ["key"], ["id"], work, "key string, n long").collect()}
+    want = {r.key: r["count"] for r in rows.groupBy("key").count().collect()}
+    assert got == want and calls.value < 100
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    df = table(spark, [(str(k), [[(k, 0), (k + 2, 0), (k + 2, 2), (k, 2)]]) for k in range(40)])
+    for found in (overlay.surfaces(df), overlay.unions(df)):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
