@@ -7,7 +7,7 @@ depend on how the rows are cut into micro-batches or in which order these come.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -91,51 +91,72 @@ def follow_threads(messages: DataFrame, wait: str = "15 days", delay: str = "1 h
 
 
 class ChangeCapture(StatefulProcessor):
-    """Field-level events between the last known row of a key and a newer one."""
+    """Field-level events between the last known row of an id and a newer one.
+
+    A key is a lot of neighbouring ids whose last rows are one value of the state:
+    each access to the state is a call to the JVM, and one per id would cost far
+    more than the work on its rows.
+    """
 
     def __init__(self, fields: list[str], motif: str, author: str):
         self._fields, self._motif, self._author = fields, motif, author
+        self._names = ("id", "modifie_le", "projet_id", *fields)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._row = handle.getValueState("ligne", "modifie_le long, projet_id long, " + ", ".join(f"{f} string" for f in self._fields))
+        self._rows = handle.getValueState("lignes", f"lignes array<struct<{_row_fields(self._fields)}>>")
+
+    def _by_id(self, rows: Iterable[Row | dict]) -> dict[int, tuple]:
+        return {r["id"]: tuple(r[n] for n in self._names) for r in rows}
 
-    def _of(self, r: Row) -> tuple:
-        return (r.modifie_le, r.projet_id, *(r[f] for f in self._fields))
+    def _known(self) -> dict[int, tuple]:
+        found = self._rows.get()
+        return self._by_id(found[0]) if found is not None else {}
 
     def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
-        self._row.update(self._of(initialState))
+        known = self._known() | self._by_id(initialState.lignes)
+        self._rows.update((list(known.values()),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = tuple(self._row.get()) if self._row.exists() else None
-        for new in sorted((self._of(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-            if known is not None:
-                if (new[0] or 0) <= (known[0] or 0):
+        known = self._known()
+        for new in sorted((tuple(r[n] for n in self._names) for r in rows), key=lambda r: (r[1] is not None, r[1] or 0)):
+            old = known.get(new[0])
+            if old is not None:
+                if (new[1] or 0) <= (old[1] or 0):
                     continue  # older than what is known, or the same again
-                for f, before, after in zip(self._fields, known[2:], new[2:]):
+                for f, before, after in zip(self._fields, old[3:], new[3:]):
                     if before != after:
-                        yield Row(occurrence_id=key[0], projet_id=new[1], champ=f, ancienne_val=before, nouvelle_val=after, motif=self._motif, modifie_par=self._author)
-            known = new
-        self._row.update(known)
+                        yield Row(occurrence_id=new[0], projet_id=new[2], champ=f, ancienne_val=before, nouvelle_val=after, motif=self._motif, modifie_par=self._author)
+            known[new[0]] = new
+        if known:
+            self._rows.update((list(known.values()),))
 
     def close(self) -> None:
         pass
 
 
-def capture_keyed(changes: DataFrame, current: DataFrame, motif: str | None = None, author: str | None = None, fields: list[str] = WATCHED) -> DataFrame:
+def _row_fields(fields: list[str]) -> str:
+    return "id: long, modifie_le: long, projet_id: long, " + ", ".join(f"{f}: string" for f in fields)
+
+
+def capture_keyed(changes: DataFrame, current: DataFrame, motif: str | None = None, author: str | None = None, fields: list[str] = WATCHED, ids_per_lot: int = 64) -> DataFrame:
     """Events of a stream of full new rows (id, projet_id, modifie_le, fields), against the last row of each id.
 
     ``current`` is read once, when the query first starts, as the initial state.
     Several rows of an id give the events of each step, in order of
     ``modifie_le``; a row that is not newer than the last known one gives none, a
-    row of an unknown id only makes it known.
+    row of an unknown id only makes it known.  A change reads and writes the
+    last rows of its lot, ``ids_per_lot`` at most, however many ids there are;
+    the number must stay the same for a checkpoint.
     """
     ship_package(changes.sparkSession)
 
     def side(df: DataFrame) -> DataFrame:
-        return df.select("id", F.unix_millis("modifie_le").alias("modifie_le"), F.col("projet_id").cast("long").alias("projet_id"), *(F.col(f).cast("string").alias(f) for f in fields))
+        lot = F.expr(f"id div {ids_per_lot}").alias("groupe")
+        return df.select(lot, F.col("id").cast("long").alias("id"), F.unix_millis("modifie_le").alias("modifie_le"), F.col("projet_id").cast("long").alias("projet_id"), *(F.col(f).cast("string").alias(f) for f in fields))
 
     processor = ChangeCapture(fields, motif or "", author or "")
-    return side(changes).groupBy("id").transformWithState(processor, EVENTS, "append", "None", initialState=side(current).groupBy("id"))
+    lots = side(current).groupBy("groupe").agg(F.collect_list(F.struct("id", "modifie_le", "projet_id", *fields)).alias("lignes"))
+    return side(changes).groupBy("groupe").transformWithState(processor, EVENTS, "append", "None", initialState=lots.groupBy("groupe"))
 
 
 @contextmanager

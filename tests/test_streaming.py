@@ -101,3 +101,28 @@ def test_mails_without_a_key_all_count(spark, tmp_path):
     frames = [spark.createDataFrame(rows[:6], SCHEMA), spark.createDataFrame(rows[6:], SCHEMA)]
     got = stateful.replay(frames, lambda s: threads.once_per_key(s, delay="2 days"), f"file://{tmp_path}/mails", partitions=2).collect()
     assert sorted(r.email_message_id or "" for r in got) == [""] * 6 + ["m0", "m2"]
+
+
+def test_capture_calls_the_state_once_a_lot(spark, tmp_path, monkeypatch):
+    from ledgerloom.streaming import stateful
+
+    def side(df):
+        return df.selectExpr("id", "1L AS projet_id", "2020 AS annee", "'x' AS statut", "n AS montant_ht", "1 AS montant_engage", "1 AS montant_realise", "TIMESTAMP '2020-01-01' + make_interval(0, 0, 0, n) AS modifie_le")
+
+    old = side(spark.range(1000).selectExpr("id - 200 AS id", "0 AS n"))
+    parts = [side(spark.range(1000).selectExpr("id - 100 AS id", f"{n} AS n")) for n in (1, 2)]
+    seen = spark.sparkContext.accumulator(0)
+    handle = stateful.ChangeCapture.handleInputRows
+
+    def counted(self, key, rows, timers):
+        seen.add(1)
+        yield from handle(self, key, rows, timers)
+
+    class Counted(stateful.ChangeCapture):
+        handleInputRows = counted
+
+    monkeypatch.setattr(stateful, "ChangeCapture", Counted)
+    got = stateful.replay(parts, lambda s: stateful.capture_keyed(s, old), f"file://{tmp_path}/lots", partitions=2)
+    # The last 100 ids are unknown at first, and known when the second part comes.
+    assert sorted((r.occurrence_id, r.ancienne_val, r.nouvelle_val) for r in got.collect()) == sorted([(k, "0", "1") for k in range(-100, 800)] + [(k, "1", "2") for k in range(-100, 900)])
+    assert seen.value < 100
