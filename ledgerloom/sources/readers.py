@@ -104,11 +104,12 @@ def flatten_sheet(cells: DataFrame) -> DataFrame:
     anchor), is_sum.  Text of a merged range spreads over it, a number stays on
     its anchor; empty rows and columns go; rows with a column sum are marked.
 
-    The cells are read and dealt out once: a sheet's cells meet as one array, and
-    its rows, which follow from it, stay where it is.
+    The cells are read and dealt out once, without those that can show nothing: a
+    sheet's cells meet as one sorted array, and its lines are cut from that.
     """
+    shows = (F.coalesce("value", F.lit("")) != "") | (F.col("merge_id").isNotNull() & (F.coalesce("merge_rank", F.lit(0)) > 0))
     cell = F.struct("row", "col", "value", F.coalesce("is_text", F.lit(False)).alias("is_text"), "merge_id", F.coalesce("merge_rank", F.lit(0)).alias("merge_rank"), F.coalesce("is_sum", F.lit(False)).alias("is_sum"))
-    sheets = cells.groupBy("sheet").agg(F.collect_list(cell).alias("c"))
+    sheets = cells.filter(shows).groupBy("sheet").agg(F.collect_list(cell).alias("c"))
     anchors = F.filter("c", lambda c: c["merge_id"].isNotNull() & (c["merge_rank"] == 0) & c["is_text"])
     sheets = sheets.withColumn("labels", F.map_from_entries(F.transform(anchors, lambda c: F.struct(c["merge_id"], c["value"]))))
 
@@ -117,11 +118,22 @@ def flatten_sheet(cells: DataFrame) -> DataFrame:
         return F.when(follows, F.try_element_at("labels", c["merge_id"])).otherwise(c["value"])
 
     filled = F.filter(F.transform("c", lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), shown(c).alias("value"), c["is_sum"].alias("is_sum"))), lambda c: F.coalesce(c["value"], F.lit("")) != "")
-    sheets = sheets.select("sheet", filled.alias("c")).withColumn("used", F.array_sort(F.array_distinct(F.transform("c", lambda c: c["col"]))))
-    rows = sheets.select("sheet", "used", F.explode("c").alias("c")).groupBy("sheet", "c.row").agg(
-        F.first("used").alias("used"), F.map_from_entries(F.collect_list(F.struct("c.col", "c.value"))).alias("m"), F.max("c.is_sum").alias("total"))
-    line = F.array_join(F.transform("used", lambda col: F.coalesce(F.try_element_at("m", col), F.lit(""))), " | ")
-    return rows.select("sheet", "row", F.concat(line, F.when(F.col("total"), " [TOTAL?]").otherwise("")).alias("ligne"))
+    sheets = sheets.select("sheet", F.sort_array(filled).alias("c")).filter(F.size("c") > 0)
+    changes = F.filter(F.sequence(F.lit(1), F.size("c")), lambda i: (i == 1) | ~F.get("c", i - 1)["row"].eqNullSafe(F.get("c", i - 2)["row"]))
+    sheets = sheets.select("sheet", "c", F.array_sort(F.array_distinct(F.transform("c", lambda c: c["col"]))).alias("used"), changes.alias("starts"))
+    lines = F.transform("starts", lambda at, k: _line(F.slice("c", at, F.coalesce(F.get("starts", k + 1), F.size("c") + 1) - at)))
+    return sheets.select("sheet", F.explode(lines).alias("l")).select("sheet", "l.row", "l.ligne")
+
+
+def _line(cells: Column) -> Column:
+    """A line (row, ligne) from the cells of one row of a sheet whose used columns are ``used``."""
+    def joined(row: Column) -> Column:
+        line = F.array_join(F.transform("used", lambda col: F.coalesce(F.try_element_at(row["m"], col), F.lit(""))), " | ")
+        return F.struct(row["row"].alias("row"), F.concat(line, F.when(row["total"], " [TOTAL?]").otherwise("")).alias("ligne"))
+
+    of_row = F.transform(F.array(cells), lambda c: F.struct(
+        F.get(c, F.lit(0))["row"].alias("row"), F.map_from_entries(F.transform(c, lambda x: F.struct(x["col"], x["value"]))).alias("m"), F.exists(c, lambda x: x["is_sum"]).alias("total")))
+    return F.get(F.transform(of_row, joined), F.lit(0))
 
 
 def mock_occurrences(spark: SparkSession, n: int, first_year: int, last_year: int, year_now: int, seed: int = 1) -> DataFrame:

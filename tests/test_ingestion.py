@@ -79,3 +79,14 @@ def test_batch_goes_on_after_a_failure(spark):
 
 def test_audit_rows(spark):
     assert ingestion.audit("bilan.valider", 3, "rapport", {"b": 1}, spark).filter(F.col("detail").contains("b")).count() == 1
+
+
+def test_sheet_lines_need_one_aggregate(spark):
+    from ledgerloom.sources import readers
+
+    schema = "sheet string, row int, col int, value string, is_text boolean, merge_id int, merge_rank int, is_sum boolean"
+    cells = [("a", 2, 3, "x", True, None, None, False), ("a", 2, 1, "T", True, 7, 0, False), ("a", 2, 2, None, True, 7, 1, False), ("a", 9, 1, "4", False, 8, 0, True), ("a", 9, 2, None, False, 8, 1, True), ("b", 1, 1, "", True, None, None, True)]
+    found = readers.flatten_sheet(spark.createDataFrame(cells, schema))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 2, "T | T | x"), ("a", 9, "4 |  |  [TOTAL?]")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
