@@ -169,3 +169,24 @@ def test_workbooks_become_lines_and_bad_files_a_reason(spark, tmp_path):
     assert {r.fichier: r.motif.split(":")[0] for r in got.filter("motif is not null").collect()} == {"b.xlsx": "Classeur illisible"}
     lines = readers.flatten_sheet(got.filter("motif is null").withColumnRenamed("feuille", "sheet")).collect()
     assert sorted((r.sheet, r.row, r.ligne) for r in lines) == [("S2", 2, "4"), ("S<1>", 1, "T | T"), ("S<1>", 2, " | 4"), ("S<1>", 3, " | 9 [TOTAL?]")]
+
+
+def test_a_sheet_is_parsed_once_and_reads_alike_held_or_streamed(monkeypatch):
+    from xml.etree import ElementTree
+
+    from ledgerloom.plans.file_plans import workbook_bytes
+    from ledgerloom.sources import workbooks
+
+    cells = [{"row": r, "col": c, "value": v, "is_text": t, "merge_id": m, "is_sum": s} for r, c, v, t, m, s in [(1, 1, "T", True, 1, False), (1, 2, None, True, 1, False), (2, 1, "5", False, None, False), (3, 1, "5", False, None, True), (3, 2, "é&", False, None, False)]]
+    content = workbook_bytes({f"s{k}": cells for k in range(5)})
+    parses = []
+    monkeypatch.setattr(workbooks.ElementTree, "iterparse", lambda *a, real=ElementTree.iterparse: parses.append(1) or real(*a))
+
+    def read():
+        book = workbooks.Workbook(content)
+        return [(name, list(book.cells(part))) for name, part in book.sheets]
+
+    held = read()
+    assert not parses and len(held) == 5 and len(held[0][1]) == 5
+    monkeypatch.setattr(workbooks, "_HELD", 0)
+    assert read() == held and parses
